@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, tokenbits, warc
+from . import linededup, mixing, quality, setjoin, substrings, tokenbits, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1,
+        "op3_substring_dedup": substrings.op3,
+        "op6_set_join": setjoin.op6,
         "op7_line_dedup": linededup.op7,
         "op8_token_bits": tokenbits.op8,
         "op9_warc": warc.op9,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op6_set_join": setjoin.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_warc": warc.ORACLE}
