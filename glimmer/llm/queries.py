@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, setjoin, substrings, tokenbits, warc
+from . import decontamination, licenses, linededup, mixing, quality, setjoin, substrings, tokenbits, tokencounts, warc
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1,
+        "op2_decontamination": decontamination.op2,
         "op3_substring_dedup": substrings.op3,
+        "op4_license_scan": licenses.op4,
+        "op5_token_counts": tokencounts.op5,
         "op6_set_join": setjoin.op6,
         "op7_line_dedup": linededup.op7,
         "op8_token_bits": tokenbits.op8,
