@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .mixing import n_words
-from .shared import documents, keyed
+from .shared import documents, keep, keyed, keyed_join, tagged, untagged
 
 #: Fixed masks of weight 6; with a fifth of the words replaced, thirty words miss all of them once in millions.
 MASKS = ("111111", "1101100101", "1110010011", "10110001011")
@@ -150,12 +150,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns; decided where they are read."""
-    from .shared import keep, small
-
-    bad = keep(leaks(docs, items).select(F.col("doc_id").alias("__d"), F.col("xh").alias("__x")).distinct(), "leaks")
-    rows = docs.withColumn("__k", F.xxhash64("text"))
-    rows = rows.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__x")), "left_anti")
-    return rows.select(*docs.columns)
+    bad = keep(leaks(docs, items).select("doc_id", "xh").distinct(), "leaks")
+    return untagged(keyed_join(tagged(docs), bad, "left_anti"), docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

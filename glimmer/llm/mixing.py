@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import documents, keep
+from .shared import documents, keep, keyed_join, tagged, untagged
 
 #: Relative intensity at times 0, 1/2 and 1 for the 1st, 2nd and 3rd weight class; each has integral 1.
 SHAPES = ((1.5, 1.0, 0.5), (0.75, 1.25, 0.75), (0.5, 1.0, 1.5))
@@ -125,24 +125,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents' own columns, one row for each copy taken, in training order.
 
     The plan is made from narrow rows and written down; the texts move once, in the range sort. Rows that agree in
-    doc_id and text are planned as one group: the group takes the copies of all of them."""
+    doc_id and text are planned as one group: one of them stands for the copies of all."""
     planned = keep(plan(sized(docs), **{k: v for k, v in options.items() if k != "shapes"}), "mix-plan")
-    shapes = options.get("shapes", SHAPES)
-    where = planned.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    where = where.select(F.col("doc_id").alias("__doc"), F.col("xh").alias("__xh"), inverse_demand(position_of(F.col("copy")), F.col("cls"), shapes).alias("__at"))
-    where = where.groupBy("__doc", "__xh").agg(F.sort_array(F.collect_list("__at")).alias("__ats"))
-    keyed = docs.withColumn("__doc0", F.col("doc_id").cast("long")).withColumn("__xh0", F.xxhash64("text"))
-    # equal rows share a group's places: the i-th takes every i-th of them
-    many = keep(planned.groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").select(F.col("doc_id").alias("__doc"), F.col("xh").alias("__xh"), "__rows"), "mix-equal")
-    on = F.col("__doc0").eqNullSafe(F.col("__doc")) & (F.col("__xh0") == F.col("__xh"))
-    if many.isEmpty():
-        out = keyed.join(where, on).withColumn("__at", F.explode("__ats"))
-    else:
-        rows = keyed.join(many, on, "left").drop("__doc", "__xh")
-        single = rows.filter("__rows is null").drop("__rows").join(where, on).withColumn("__at", F.explode("__ats"))
-        equal = rows.filter("__rows is not null").dropDuplicates(["__doc0", "__xh0"]).drop("__rows").join(where, on).withColumn("__at", F.explode("__ats"))
-        out = single.unionByName(equal)
-    return out.repartitionByRange("__at", "__doc0").sortWithinPartitions("__at", "__doc0").select(*[docs[c] for c in docs.columns])
+    placed = planned.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    at = inverse_demand(position_of(F.col("copy")), F.col("cls"), options.get("shapes", SHAPES))
+    places = placed.select("doc_id", "xh", at.alias("at")).groupBy("doc_id", "xh").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    equal = planned.groupBy("doc_id", "xh").agg((F.count(F.lit(1)) > 1).alias("equal"))
+    places = keep(places.alias("p").join(equal.alias("e"), F.col("p.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("p.xh") == F.col("e.xh"))).select("p.doc_id", "p.xh", "ats", "equal"), "mix-places")
+    rows = tagged(docs)
+
+    def taken(rows: DataFrame, some: DataFrame) -> DataFrame:
+        return keyed_join(rows, some, "inner").select("r.row", "r.k", F.explode("s.ats").alias("at"))
+
+    out = taken(rows, keep(places.filter("not equal"), "mix-single"))
+    twice = keep(places.filter("equal"), "mix-equal")
+    if not twice.isEmpty():
+        out = out.unionByName(taken(keyed_join(rows, twice, "left_semi").dropDuplicates(["k", "xh"]), twice))
+    return untagged(out.repartitionByRange("at", "k").sortWithinPartitions("at", "k"), docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

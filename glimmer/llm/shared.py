@@ -53,3 +53,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text key and the text; other columns, whatever their names, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("xh"), F.col("text").cast("string").alias("text"), *more)
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """(row, k, xh): all columns as one struct, so that no name of theirs meets one of ours, and the row's key."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("xh"))
+
+
+def untagged(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
+def keyed_join(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Tagged rows (r) joined with a kept table that has doc_id and xh (s); broadcast if it is small."""
+    return rows.alias("r").join(small(keys).alias("s"), F.col("r.k").eqNullSafe(F.col("s.doc_id")) & (F.col("r.xh") == F.col("s.xh")), how)
