@@ -183,3 +183,39 @@ def normalize_code(code, prefix: str = "GLIM", length: int = 16, alphabet: str =
 
 def answer_form(text) -> Column:
     return F.array_join(ascii_words(text), " ")
+
+
+CHOICE_STOPWORDS = "a an and are because is it of or that the this to with".split()
+
+
+def resolve_choice(value: Column, choices: Column) -> Column:
+    """Index of the choice that a normalised answer means: its letter, a letter after "answer is", the first choice
+    contained either way, or the largest share of a choice's words if it is 0.6 or more; else null."""
+    place = lambda letter_: F.when(F.length(letter_) == 1, F.ascii(letter_) - 97)
+    inside = lambda i: F.when(i < F.size(choices), i)
+    forms = F.transform(choices, lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), " "))
+    bare = lambda c: F.regexp_replace(c, r"^[a-z]\s+", "")
+    holds = lambda c: (value == c) | F.contains(value, c) | ((bare(c) != "") & ((value == bare(c)) | F.contains(value, bare(c)) | F.contains(bare(c), value)))
+    first = F.array_min(F.filter(F.transform(forms, lambda c, i: F.when(holds(c), i)), lambda i: i.isNotNull()))
+    content = lambda s: F.array_except(F.filter(F.split(s, " "), lambda w: w != ""), words_in(CHOICE_STOPWORDS))
+    share = lambda c: F.coalesce(F.try_divide(F.size(F.array_intersect(content(value), content(bare(c)))), F.size(content(bare(c)))), F.lit(0.0))
+    best = F.array_max(F.transform(forms, lambda c, i: F.struct(share(c).alias("s"), (-i).alias("i"))))
+    return F.coalesce(
+        inside(place(F.when(value.rlike("^[a-z]$"), value))),
+        inside(place(F.regexp_extract(value, r"\b(?:answer|option|choice|letter)(?:\s+is)?\s+([a-z])\b", 1))),
+        first,
+        F.when(best["s"] >= 0.6, -best["i"]),
+    )
+
+
+def answer_score(predicted: Column, expected: Column, choices: Column) -> Column:
+    """1 or 0; null when nothing is expected."""
+    p, e = answer_form(predicted), answer_form(expected)
+    want = F.when(F.size(choices) > 0, resolve_choice(e, choices))
+    return (
+        F.when(expected.isNull() | (F.trim(expected) == ""), F.lit(None).cast("double"))
+        .when(predicted.isNull() | (F.trim(predicted) == ""), 0.0)
+        .when(p == e, 1.0)
+        .when(want.isNotNull(), F.when(F.coalesce(resolve_choice(p, choices) == want, F.lit(False)), 1.0).otherwise(0.0))
+        .otherwise(F.contains(p, e).cast("double"))
+    )

@@ -235,6 +235,13 @@ def t21(spark, sf_dir):
     return m.withColumn("score", F.when(F.col("p") == "", 0.0).when((F.col("p") == F.col("e")) | F.contains("p", F.col("e")), 1.0).otherwise(0.0))
 
 
+@query("t21_multiple_choice", """SELECT * FROM (VALUES ('m1', 1.0::DOUBLE), ('m2', 1.0), ('m3', 1.0), ('m4', 0.0), ('m5', 1.0), ('m6', 0.0), ('m7', 0.0)) t(id, score)""")
+def t21_choice(spark, sf_dir):
+    """Letters, "the answer is a", contained choices, shared words."""
+    m = spark.createDataFrame(MC, "id string, p string, e string, choices array<string>")
+    return m.select("id", T.answer_score(F.col("p"), F.col("e"), F.col("choices")).alias("score"))
+
+
 @query("t22_letter", r"SELECT conv_id, turn, role, regexp_extract(upper(text), '\b([ABCD])\b', 1) AS letter FROM conversations")
 def t22(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.letter("text").alias("letter"))
