@@ -39,6 +39,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: a worker's free lists otherwise stay as large as its largest batch."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    import ctypes
+
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64, kept up to STEP."""
 
@@ -74,6 +94,8 @@ def texts(batch: pa.RecordBatch, column: str, limit: int = 4 * STEP) -> Iterator
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    if len(data) > limit:
+        _trim()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
