@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side (some tens of bytes a row) is broadcast; beyond, the join shuffles both sides.
+#: A kept table is broadcast up to so many rows and stored bytes; beyond, the join shuffles both sides.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def base(spark: SparkSession) -> str:
@@ -36,9 +37,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a kept table for broadcast if it has few rows; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a kept table for broadcast if it is small by rows and bytes; otherwise leave the join to shuffle."""
+    stored = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if stored <= BROADCAST_BYTES and df.count() <= limit else df
 
 
 def text_key(text: str = "text") -> Column:
