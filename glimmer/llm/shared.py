@@ -39,7 +39,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a kept table for broadcast if it is small by rows and bytes; otherwise leave the join to shuffle."""
-    stored = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if stored <= BROADCAST_BYTES and df.count() <= limit else df
 
 
