@@ -6,8 +6,8 @@ sure to share. What the lists hold is then skipped in three ways instead of bein
 
 * Order: shingles whose list is long (boilerplate, passages that many texts quote) are put last in the order and the
   prefixes concerned are drawn again, so lists stay short unless a text consists of such shingles.
-* Answers: every entry is first compared with its list's leader, exactly. Linked ones are answered by the leader: a
-  list whose entries are all in one component is skipped whole. Of two others, the overlaps with the leader bound
+* Answers: every entry is first compared with its list's leaders, exactly. Linked ones are answered by a leader: a
+  list whose entries are all in one component is skipped whole. Of two others, the overlaps with any leader bound
   their own: |x & y| <= |x & l| + |y| - |y & l|, so a set's answers are derived from those of a similar set.
 * Position: entries too far apart in length or in position (|x & y| <= min(i, j) + min(|x| - i, |y| - j) for a
   shingle at i in x and j in y) skip each other, and pairs that share too few prefix shingles are skipped: at most
@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import components
-from .shared import documents, keep, keyed, small
+from .shared import documents, keep, keyed, keyed_join, small, tagged, untagged
 
 WORDS = 5
 PERCENT = 75
@@ -42,6 +43,11 @@ LONG = 64
 #: At most so many shingles are put last (8 bytes each are broadcast); if more lists are long, the longest are.
 MOST_LONG = 200_000
 ROUNDS = 2
+#: Leaders of a long list (of each block of lengths): its entries with the most shingles that are put last, which are
+#: nearest to what a group of near copies has in common.
+LEADERS = 8
+#: Members of a block where what long lists leave open is compared block by block.
+BLOCK = 128
 BITS = 1 << 26
 
 U64 = np.uint64
@@ -74,13 +80,25 @@ def prefix_size(n, percent: int = PERCENT):
     return n - (-((-percent * n) // 100)) + 1
 
 
-def _prefix(x: np.ndarray, long: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a sorted set when the shingles in ``long`` come last."""
+def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which members of x are in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x if len(table) else np.zeros(len(x), bool)
+
+
+def _prefix(x: np.ndarray, late: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a sorted set when the shingles in ``late`` come last, by rank."""
     p = int(prefix_size(len(x), percent)) if len(x) else 0
-    if not len(long):
+    if not len(late):
         return x[:p]
-    late = np.isin(x, long)
-    return np.concatenate([x[~late], x[late]])[:p]
+    hit = _in(x, late)
+    front = x[~hit][:p]
+    if len(front) == p:
+        return front
+    back = x[hit]
+    return np.concatenate([front, back[np.argsort(rank[np.searchsorted(late, back)], kind="stable")][: p - len(front)]])
+
+
+_NONE = (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
 def _index(percent: int, words: int):
@@ -91,7 +109,7 @@ def _index(percent: int, words: int):
                 with np.errstate(over="ignore"):
                     f1 = np.array([B.mix(x).sum() if len(x) else 0 for x in xs], U64)
                     f2 = np.array([B.mix(x ^ U64(0x5851F42D4C957F2D)).sum() if len(x) else 0 for x in xs], U64)
-                cut = [_prefix(x, np.zeros(0, U64), percent) for x in xs]
+                cut = [_prefix(x, *_NONE, percent) for x in xs]
                 bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
                 yield pa.record_batch(
                     [batch.column("doc_id")[a:b], batch.column("xh")[a:b], pa.array([len(x) for x in xs], pa.int32()), pa.array(B.signed(f1)), pa.array(B.signed(f2)), B.lists(B.signed(np.concatenate([*cut, np.zeros(0, U64)])), bounds, pa.int64())],
@@ -120,8 +138,9 @@ def _redrawn(before, now, percent: int, words: int, late_only: bool):
             for a, b, data, offs in B.texts(batch, "text"):
                 us, hs, ns, ks = [], [], [], []
                 for i, x in enumerate(sets(data, offs, words)[0]):
-                    p = _prefix(x, new, percent)
-                    fresh = p[np.isin(p, new)] if late_only else p[~np.isin(p, new) & ~np.isin(p, _prefix(x, old, percent))]
+                    p = _prefix(x, *new, percent)
+                    late = _in(p, new[0])
+                    fresh = p[late] if late_only else p[~late & ~_in(p, np.sort(_prefix(x, *old, percent)))]
                     us.append(np.full(len(fresh), units[a + i].as_py()))
                     hs.append(fresh)
                     ns.append(np.full(len(fresh), len(x)))
@@ -181,6 +200,46 @@ def _overlap(words: int):
     return task
 
 
+def _blocks(words: int, percent: int):
+    """Rows (probe chunk, block): links between their members of different components, one for each member of the
+    block and component of the chunk; overlaps come from one sorted index of the block."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+
+        def side(name: str, row: pa.StructScalar | dict, key) -> tuple:
+            if kept.get(name, (None,))[0] != key:
+                part = pa.record_batch([pa.array([x["text"] for x in row], pa.string())], names=["t"])
+                xs = [x for _, _, d, o in B.texts(part, "t") for x in sets(d, o, words)[0]]
+                kept[name] = (key, np.array([x["u"] for x in row]), np.array([x["comp"] for x in row]), xs)
+            return kept[name][1:]
+
+        for batch in batches:
+            src, dst = [], []
+            for g, pb, b, probe, block in zip(*(batch.column(c) for c in ("g", "pb", "b", "probe", "block"))):
+                us, comps, xs = side("block", block.as_py(), (g.as_py(), b.as_py()))
+                vs, vcomps, ys = side("probe", probe.as_py(), (g.as_py(), pb.as_py()))
+                sizes = np.array([len(x) for x in xs])
+                owner = np.repeat(np.arange(len(xs)), sizes)
+                flat = np.concatenate(xs)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                done: set[tuple[int, int]] = set()
+                for v, comp, y in zip(vs.tolist(), vcomps.tolist(), ys):
+                    lo, hi = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
+                    k = hi - lo
+                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+                    shared = np.bincount(owner[at], minlength=len(xs))
+                    for i in np.flatnonzero((shared >= need(sizes, len(y), percent)) & (comps != comp)).tolist():
+                        if (i, comp) not in done:
+                            done.add((i, comp))
+                            src.append(int(us[i]))
+                            dst.append(v)
+            yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return task
+
+
 class Join:
     """One self-join of a document table."""
 
@@ -213,17 +272,23 @@ class Join:
         entries = self.units.select("u", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("slack", F.lit(0))
         counts = entries.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         lists = keep(entries.join(counts, "h").select("h", "u", "n", "pos", "slack", "c"), "lists")
-        late, self.fresh = np.zeros(0, U64), []
+        late, counts, self.fresh = _NONE, {}, []
         for _ in range(ROUNDS):
             bound = self.long
-            while (hot := lists.filter(F.col("c") > bound).select("h").distinct()).count() + len(late) > MOST_LONG:
+            while (hot := lists.filter(F.col("c") > bound).groupBy("h").agg(F.max("c").alias("c"))).count() + len(late[0]) > MOST_LONG:
                 bound *= 4
-            hot = hot.toPandas()["h"].to_numpy(np.int64).view(U64)
-            if not len(hot):
+            hot = {r.h: r.c for r in hot.toLocalIterator()}
+            if not set(hot) - set(counts):
                 break
-            lists, late = self._put_last(lists, late, np.union1d(late, hot))
-        if len(late):
-            touched = self._touched(lists, late)
+            counts = hot | counts
+            # the rarest of them first, so that a prefix that does reach them meets short lists
+            h = np.array(sorted(counts), np.int64)
+            c = np.array([counts[x] for x in h.tolist()])
+            lists, late = self._put_last(lists, late, (h.view(U64), np.argsort(np.lexsort((h, c)))))
+        self.central = None
+        if len(late[0]):
+            touched = self._touched(lists)
+            self.central = keep(lists.filter("late").groupBy("u").agg(F.count(F.lit(1)).cast("int").alias("k")), "central")
             tail = self.texts_of(touched).mapInArrow(_redrawn(self._cast(late), self._cast(late), self.percent, self.words, True), "h long, u long, n int, pos int, slack int")
             tail = keep(tail, "tail")
             lists = lists.filter("not late").drop("late", "c").unionByName(tail)
@@ -232,15 +297,15 @@ class Join:
             lists = lists.drop("late")
         self.lists = lists.select("h", "u", "n", "pos", "slack", "c")
 
-    def _touched(self, lists: DataFrame, late: np.ndarray) -> DataFrame:
+    def _touched(self, lists: DataFrame) -> DataFrame:
         return keep(lists.filter("late").select("u").distinct().join(self.units.select("u", "d", "x"), "u"), "touched")
 
-    def _put_last(self, lists: DataFrame, old: np.ndarray, new: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    def _put_last(self, lists: DataFrame, old: tuple, new: tuple) -> tuple[DataFrame, tuple]:
         """Draw the prefixes that hold newly late shingles again; entries of late shingles stay, marked, until the end."""
-        late = small(keep(self.spark.createDataFrame(pa.table({"h": new.astype(np.int64)})), "late"))
+        late = small(keep(self.spark.createDataFrame(pa.table({"h": new[0].astype(np.int64)})), "late"))
         marked = lists.drop("late").join(late.withColumn("late", F.lit(True)), "h", "left").withColumn("late", F.coalesce("late", F.lit(False)))
         marked = keep(marked, "marked")
-        touched = self._touched(marked, new)
+        touched = self._touched(marked)
         fresh = keep(self.texts_of(touched).mapInArrow(_redrawn(self._cast(old), self._cast(new), self.percent, self.words, False), "h long, u long, n int, pos int, slack int"), "fresh")
         bits = self._cast(_bit_set(fresh.select("h")))
         met = self.units.select("u", "n", "prefix").mapInArrow(_entries_of(bits), "h long, u long, n int, pos int, slack int")
@@ -264,13 +329,35 @@ class Join:
     def _fits(self, a: str, b: str):
         return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
 
+    def _dense(self, members: DataFrame) -> DataFrame | None:
+        """Links inside the groups that long lists leave open: (g, u, comp) -> (src, dst), or None.
+
+        Who is not in a group's largest component is compared with the whole group, BLOCK by BLOCK: what is joined is
+        blocks, never pairs of their members."""
+        members = keep(members, "members")
+        if members.isEmpty():
+            return None
+        sizes = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
+        per = sizes.groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("rest"))
+        texts = keep(self.texts_of(keep(self.units.select("u", "d", "x").join(members.select("u").distinct(), "u"), "units")).dropDuplicates(["u"]), "texts")
+        rows = members.join(per, "g").join(texts, "u").withColumn("r", F.xxhash64("u"))
+        chunk = lambda n: F.pmod("r", F.ceil(n / F.lit(float(BLOCK))))
+        both = lambda name: F.collect_list(F.struct("u", "comp", "text")).alias(name)
+        probes = keep(rows.groupBy("g", chunk(F.col("k")).alias("pb")).agg(both("probe")), "probes")
+        blocks = keep(rows.filter(F.col("comp") != F.col("main")).groupBy("g", chunk(F.col("rest")).alias("b")).agg(both("block")), "blocks")
+        pairs = probes.join(blocks, "g").select("g", "pb", "b", "probe", "block")
+        return keep(pairs.repartition(self.spark.sparkContext.defaultParallelism * 4).mapInArrow(_blocks(self.words, self.percent), "src long, dst long").distinct(), "dense")
+
     def link(self) -> DataFrame:
         """(node, root) of the units that link."""
         lists = self.lists.withColumn("size_block", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / self.percent)).cast("int"))
-        # answers of the leaders: the first unit of each block of lengths
-        lead = lists.groupBy("h", "size_block").agg(F.min(F.struct("u", "n")).alias("l"))
-        asks = lists.join(lead.select("h", "size_block", F.col("l.u").alias("a"), F.col("l.n").alias("na")), ["h", "size_block"])
-        below = lists.join(lead.select("h", (F.col("size_block") + 1).alias("size_block"), F.col("l.u").alias("a"), F.col("l.n").alias("na")), ["h", "size_block"])
+        # answers of the leaders of each block of lengths: of long lists several, of others the first unit
+        ranked = lists.withColumn("k", F.lit(0)) if self.central is None else lists.join(small(self.central), "u", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+        place = F.row_number().over(W.partitionBy("h", "size_block").orderBy(F.desc("k"), "u"))
+        lead = ranked.withColumn("place", place).filter(F.col("place") <= LEADERS).filter((F.col("place") == 1) | (F.col("c") > self.long))
+        lead = lead.select("h", "size_block", F.col("u").alias("a"), F.col("n").alias("na"))
+        asks = lists.join(lead, ["h", "size_block"])
+        below = lists.join(lead.withColumn("size_block", F.col("size_block") + 1), ["h", "size_block"])
         asked = keep(asks.unionByName(below).filter(F.col("u") != F.col("a")).filter(self._fits("n", "na")).groupBy("a", F.col("u").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c"), F.first("n").alias("nb"), F.first("na").alias("na")), "asked")
         worth = keep(asked.filter((F.col("c") > self.long) | (F.col("k") >= F.greatest(F.lit(1), F.floor(F.least("na", "nb") * 0.1)))).select("a", "b", "na", "nb"), "worth")
         answers = keep(self.overlaps(worth.select("a", "b"), "overlaps").join(worth, ["a", "b"]), "answers")
@@ -279,13 +366,14 @@ class Join:
         # what the answers leave open
         named = lists.join(roots, lists["u"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "u")).drop("node", "root")
         open_ = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        named = named.join(open_, "h").join(lead.select("h", "size_block", F.col("l.u").alias("leader")), ["h", "size_block"])
-        told = answers.select(F.col("a").alias("leader"), F.col("b").alias("u"), "o")
-        named = named.join(told, ["leader", "u"], "left").withColumn("o", F.when(F.col("u") == F.col("leader"), F.col("n")).otherwise(F.col("o")))
-        named = keep(named.select("h", "u", "n", "pos", "slack", "comp", "leader", "o"), "open")
+        told = answers.select(F.col("b").alias("u"), F.col("a").alias("l"), "o").unionByName(answers.select(F.col("a").alias("u"), F.col("a").alias("l"), F.col("na").alias("o")).distinct())
+        told = told.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("l", "o"))).alias("told"))
+        dense = self._dense(named.filter(F.col("c") > self.long).join(open_, "h").join(ranked.groupBy("h").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("g")), "h").select("g", "u", "comp").distinct())
+        named = keep(named.filter(F.col("c") <= self.long).join(open_, "h").join(told, "u", "left").select("h", "u", "n", "pos", "slack", "comp", "told"), "open")
         x, y = named.alias("x"), named.alias("y")
         least = self._need("x.n", "y.n")
-        by_leader = F.coalesce((F.col("x.leader") != F.col("y.leader")) | (F.least(F.col("x.o") + F.col("y.n") - F.col("y.o"), F.col("y.o") + F.col("x.n") - F.col("x.o")) >= least), F.lit(True))
+        bounds = F.map_values(F.map_zip_with("x.told", "y.told", lambda _, a, b: F.least(a + F.col("y.n") - b, b + F.col("x.n") - a)))
+        by_leader = ~F.coalesce(F.exists(bounds, lambda v: v < least), F.lit(False))
         apart = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.col("x.slack") + F.col("y.slack")
         pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.u") < F.col("y.u")) & (F.col("x.comp") != F.col("y.comp")) & self._fits("x.n", "y.n") & (apart >= least) & by_leader)
         pairs = pairs.groupBy(F.col("x.u").alias("a"), F.col("y.u").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
@@ -295,6 +383,7 @@ class Join:
         self.verified = pairs
         more = self.overlaps(pairs.select("a", "b"), "overlaps").join(pairs, ["a", "b"]).filter(F.col("o") >= self._need("na", "nb"))
         more = more.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        more = more if dense is None else more.unionByName(dense)
         if more.isEmpty():
             return roots
         return components(links.unionByName(more))
@@ -316,18 +405,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     with that id, the one with the least text key; of equal rows, one). Documents without words all stay."""
     names = keep(Join(docs).classes(), "names")
     best = names.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "xh")).alias("b"))
-    gone = names.join(best, "root").filter((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("b.d")) | (F.col("xh") != F.col("b.xh"))).select(F.col("doc_id").alias("__d"), F.col("xh").alias("__x")).distinct()
-    gone = keep(gone, "gone")
-    rows = docs.withColumn("__k", F.xxhash64("text"))
-    left = rows.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__x")), "left_anti")
-    equal = names.filter("root is not null").groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("__d"), F.col("xh").alias("__x"))
+    gone = names.join(best, "root").filter((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("b.d")) | (F.col("xh") != F.col("b.xh"))).select("doc_id", "xh").distinct()
+    left = keyed_join(tagged(docs), keep(gone, "gone"), "left_anti")
+    equal = names.filter("root is not null").groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "xh")
     equal = keep(equal, "equal")
-    if equal.isEmpty():
-        return left.select(*[left[c] for c in docs.columns])
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__x"))
-    single = left.join(small(equal), on, "left_anti")
-    twice = left.join(small(equal), on, "left_semi").withColumn("__i", F.col("doc_id").cast("long")).dropDuplicates(["__i", "__k"]).drop("__i")
-    return single.unionByName(twice).select(*docs.columns)
+    if not equal.isEmpty():
+        left = keyed_join(left, equal, "left_anti").unionByName(keyed_join(left, equal, "left_semi").dropDuplicates(["k", "xh"]))
+    return untagged(left, docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
