@@ -4,7 +4,8 @@ Candidate blocks are runs of lines that use the templates' vocabulary and name a
 alone and with every template as a zstandard raw-content dictionary; the template that saves most is the candidate
 winner. Winners are confirmed by the exact differences in wording: the block's words are aligned with the best
 window of the template, and a license is reported if few words differ and none of the words that tell licenses apart
-(names, versions) does.
+(names, versions) does. Only a window of the block is judged, the stretch that the template aligns with: what stands
+before and after it is no difference.
 
 Cases: null and empty texts have no block; texts are scanned whole, a line at a time; a template's words may run over
 several lines; rows are judged one by one, so equal rows are reported each, and null doc_ids are carried; an empty
@@ -13,7 +14,10 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import itertools
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,14 +31,15 @@ from .shared import documents, keyed
 
 #: Usual notices and openings of public licenses. Braces mark the words that tell licenses apart.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the {Apache} License, Version {2.0} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Licensed under the {Apache} License, Version {2.0}."),
-    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "Released under the {MIT} License.", "Licensed under the {MIT} License."),
-    "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version.", "This work is licensed under the {GNU} {General} Public License, version {3}."),
-    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version.", "This work is licensed under the {GNU} {General} Public License, version {2}."),
+    "Apache-2.0": ("Licensed under the {Apache} License, Version {2.0} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "Licensed under the {Apache} License, Version {2.0}."),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Released under the {MIT} License.", "Licensed under the {MIT} License."),
+    "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {General} Public License, version {3}."),
+    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {General} Public License, version {2}."),
     "LGPL-3.0": ("This work is licensed under the {GNU} {Lesser} General Public License, version {3}.",),
     "AGPL-3.0": ("This work is licensed under the {GNU} {Affero} General Public License, version {3}.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Licensed under the {BSD} {3-Clause} License."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse} or {promote} products derived from this software without specific prior written permission.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Licensed under the {BSD} {3-Clause} License."),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Licensed under the {BSD} {2-Clause} License."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("Licensed under CC {BY} {4.0}.", "This work is licensed under a Creative Commons {Attribution} {4.0} International License."),
     "CC-BY-SA-4.0": ("Licensed under CC {BY-SA} {4.0}.", "This work is licensed under a Creative Commons {Attribution-ShareAlike} {4.0} International License."),
     "CC-BY-NC-4.0": ("Licensed under CC {BY-NC} {4.0}.", "This work is licensed under a Creative Commons {Attribution-NonCommercial} {4.0} International License."),
@@ -47,6 +52,9 @@ VOCABULARY = 0.6
 MIN_GAIN = 0.25
 MAX_DIFFERENT = 0.2
 MAX_LINES = 60
+#: A window inside a block must hold so much of the template, or so many of its words.
+MIN_COVER = 0.7
+MIN_COVERED = 30
 
 
 class Templates:
@@ -58,6 +66,11 @@ class Templates:
                 data = zstandard.ZstdCompressionDict(plain.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 compressor = zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
                 self.entries.append((name, words(plain), {w.lower() for g in re.findall(r"\{([^}]*)\}", text) for w in WORD.findall(g)}, compressor))
+        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for i, (_, ws, _, _) in enumerate(self.entries):
+            for at, pair in enumerate(zip(ws, ws[1:])):
+                self.pairs.setdefault(pair, []).append((i, at))
+        self.longest = max(len(ws) for _, ws, _, _ in self.entries)
         self.vocabulary = {w for _, ws, _, _ in self.entries for w in ws}
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -107,19 +120,123 @@ def differences(block: list[str], template: list[str]) -> tuple[list[str], list[
     return more, less
 
 
+def windows(block: list[str], template: list[str]) -> Iterator[tuple[int, int, list[str], list[str], list[str]]]:
+    """(start and end word, equal words, added words, missing words) of the stretches of a block that the template
+    aligns with: what stands before and after a stretch is no difference."""
+    if not block or not template:
+        return
+    ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
+    spans = []
+    for cost in (1, 4):  # words a difference costs: over long gaps, and over few
+        best = total = first = 0
+        span = None
+        for k, (op, a, b, c, d) in enumerate(ops):
+            if total <= 0:
+                total, first = 0, k
+            total += b - a if op == "equal" else -cost * (b - a + d - c)
+            if total > best:
+                best, span = total, (first, k + 1)
+        if span and span not in spans:
+            spans.append(span)
+    for first, last in spans:
+        own = ops[first:last]
+        same = [w for op, a, b, _, _ in own if op == "equal" for w in template[a:b]]
+        more = [w for op, _, _, c, d in own if op in ("insert", "replace") for w in block[c:d]]
+        less = [w for op, a, b, _, _ in own if op in ("delete", "replace") for w in template[a:b]]
+        yield own[0][3], own[-1][4], same, more, less
+
+
+class Words:
+    """A text's words with their places and lines."""
+
+    def __init__(self, text: str, first_line: int = 0):
+        found = list(WORD.finditer(text))
+        self.text, self.words = text, [m.group().lower() for m in found]
+        self.spans = [m.span() for m in found]
+        self.ends, self.first_line = [m.start() for m in re.finditer("\n", text)], first_line
+
+    def line(self, word: int) -> int:
+        return self.first_line + bisect.bisect_left(self.ends, self.spans[word][0])
+
+
+def saved(data: bytes, compressor, alone: int) -> tuple[int, float]:
+    """(bytes, share) that a template's dictionary saves."""
+    n = alone - len(compressor.compress(data))
+    return n, n / alone
+
+
+def notices(text: Words, templates: Templates) -> list[tuple]:
+    """(bytes saved, -differences, -entry, first word, end word, gain, added, missing) of every window that is confirmed."""
+    ws, out = text.words, []
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for at, pair in enumerate(zip(ws, ws[1:])):
+        for i, place in templates.pairs.get(pair, ()):
+            hits.setdefault(i, []).append((at, place))
+    for i, places in hits.items():
+        _, own, telling, compressor = templates.entries[i]
+        enough = min(MIN_COVERED, math.ceil(MIN_COVER * len(own)))
+        # at most a fifth differs, so a window's equal words form few runs and hold at least so many different pairs
+        pairs = max(1, math.ceil(enough * (1 - MAX_DIFFERENT / (1 - MAX_DIFFERENT)) - 1))
+        if len({p for _, p in places}) < pairs:
+            continue
+        # stretches twice as long as a window can be, each overlapping the next by a window
+        longest = math.ceil(len(own) / (1 - MAX_DIFFERENT)) + 1
+        done = -1
+        for k, (at, _) in enumerate(places):
+            if at < done:
+                continue
+            stretch = [p for a, p in itertools.takewhile(lambda x: x[0] < at + 2 * longest, places[k:])]
+            done = at + longest
+            if len(set(stretch)) < pairs:
+                continue
+            todo = [(at, min(len(ws), at + 2 * longest))]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo < enough or not telling <= set(ws[lo:hi]):
+                    continue
+                for a, b, same, more, less in windows(ws[lo:hi], own):
+                    if len(same) >= enough and len(more) + len(less) <= MAX_DIFFERENT * (b - a) and telling <= set(same) and not telling & set(less):
+                        data = text.text[text.spans[lo + a][0] : text.spans[lo + b - 1][1]].encode()
+                        n, gain = saved(data, compressor, len(templates.alone.compress(data)))
+                        if gain >= MIN_GAIN:
+                            out.append((n, -len(more) - len(less), -i, lo + a, lo + b, gain, more, less))
+                    if b > a:
+                        todo += [x for x in ((lo, lo + a), (lo + b, hi)) if x not in todo]
+    return out
+
+
+def whole(text: Words, templates: Templates) -> list[tuple]:
+    """As ``notices``: the templates that all of a short text agrees with, down to a part of one."""
+    ws, out = text.words, []
+    if not ws or (1 - MAX_DIFFERENT) * len(ws) > templates.longest:  # more words differ than may
+        return out
+    data = text.text.encode()
+    alone = len(templates.alone.compress(data))
+    for i, (_, own, telling, compressor) in enumerate(templates.entries):
+        if not telling <= set(ws):
+            continue
+        n, gain = saved(data, compressor, alone)
+        if gain < MIN_GAIN:
+            continue
+        more, less = differences(ws, own)
+        if len(more) + len(less) <= MAX_DIFFERENT * len(ws) and not telling & set(less):
+            out.append((n, -len(more) - len(less), -i, 0, len(ws), gain, more, less))
+    return out
+
+
 def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float, list[str], list[str]]]:
-    out = []
+    found = []
     for first, end, block in blocks(text, templates.vocabulary):
-        data, ws = block.encode(), words(block)
-        alone = len(templates.alone.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, -i) for i, (_, _, _, c) in enumerate(templates.entries)), reverse=True)
-        for gain, i in ranked[:3]:  # the nearest runners-up, should the winner's telling words differ
-            name, own, telling, _ = templates.entries[-i]
-            more, less = differences(ws, own)
-            if gain >= MIN_GAIN and len(more) + len(less) <= MAX_DIFFERENT * len(ws) and not telling & set(less) and telling <= set(ws):
-                out.append((first, end, name, round(gain, 4), more, less))
-                break
-    return out
+        w = Words(block, first)
+        for n, agree, i, a, b, gain, more, less in {x[:5]: x for x in whole(w, templates) + notices(w, templates)}.values():
+            found.append((n, agree, i, w.line(a), w.line(b - 1) + 1, a, b, first, gain, more, less))
+    out, taken = [], []
+    for n, agree, i, first, end, a, b, block, gain, more, less in sorted(found, key=lambda x: x[:3] + x[7:8] + x[5:7], reverse=True):
+        if any(block == x and a < d and c < b for x, c, d in taken):
+            continue
+        taken.append((block, a, b))
+        out.append((first, end, templates.entries[-i][0], round(gain, 4), more, less))
+    return sorted(out)
 
 
 def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,33 @@ def test_op4_licenses(spark, tmp_path):
     assert got == {(0, "MIT"), (1, "GPL-3.0"), (2, "GPL-2.0"), (3, "CC-BY-NC-4.0"), (4, "CC-BY-4.0"), (5, "Apache-2.0"), (10, "MIT")}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def found(text):
+    return [(r[0], r[1], r[2]) for r in licenses.scan(text, licenses.default_templates())]
+
+
+def test_op4_full_mit_text():
+    got = found("MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + MIT)
+    assert (4, 10, "MIT") in got and {x[2] for x in got} == {"MIT"}
+    assert {x[2] for x in found(MIT.replace("\n", "\n// "))} == {"MIT"}
+    assert {x[2] for x in found(MIT.replace("\n\n", "\n"))} == {"MIT"}  # one block, with the disclaimer
+
+
 def test_op5_counts(spark, edge):
     folder, docs, *_ = edge
     want = Counter((d, n - 1) for d, _, n, _ in brute.tokens(pairs(docs), default_path(), 0))
