@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines that use the templates' vocabulary and name a license matter. Each is compressed
-alone and with every template as a zstandard raw-content dictionary; the template that saves most is the candidate
-winner. Winners are confirmed by the exact differences in wording: the block's words are aligned with the best
-window of the template, and a license is reported if few words differ and none of the words that tell licenses apart
-(names, versions) does. Only a window of the block is judged, the stretch that the template aligns with: what stands
-before and after it is no difference.
-
-Cases: null and empty texts have no block; texts are scanned whole, a line at a time; a template's words may run over
+Candidate windows are the stretches of a text, over any number of lines, that a template aligns with by shared word
+pairs; besides these, runs of lines that use the templates' vocabulary, lines and sentences that name a license matter
+are tried as a whole, which also finds parts of a notice. Each is compressed alone and with the template as a
+zstandard raw-content dictionary; of candidates that overlap, the one that saves most bytes is reported. Candidates
+are confirmed by the exact differences in wording: the words are aligned with the best window of the template, and a
+license is reported if few words differ and none of the words that tell licenses apart (names, versions) does. What
+stands before and after a window is no difference, so a text may hold any number of notices on adjacent lines or in
+prose; a license's bare name is none.
+
+Cases: null and empty texts have no block; texts are scanned whole; a template's words may run over
 several lines; rows are judged one by one, so equal rows are reported each, and null doc_ids are carried; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -46,13 +48,14 @@ TEMPLATES = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. {CC0} {1.0} Universal",),
 }
 CUES = re.compile(r"licen[cs]|copyright|redistribut|permission is|public domain|waived all", re.I)
+SENTENCE = re.compile(r"licen[cs]e|copyright", re.I)
+TAIL = re.compile(r"[^!?]{0,80}?(?:\.(?=\s|$)|$)")
 WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]", re.I)
-#: Share of a line's words that must be template words for the line to belong to a block.
+#: Share of a line's words that must be template words for the line to belong to a run.
 VOCABULARY = 0.6
 MIN_GAIN = 0.25
 MAX_DIFFERENT = 0.2
-MAX_LINES = 60
-#: A window inside a block must hold so much of the template, or so many of its words.
+#: A window must hold so much of the template, or so many of its words.
 MIN_COVER = 0.7
 MIN_COVERED = 30
 
@@ -84,28 +87,48 @@ def default_templates() -> Templates:
     return Templates()
 
 
-def blocks(text: str, vocabulary: set[str]) -> Iterator[tuple[int, int, str]]:
-    """(first line, end line, block): runs of lines in the templates' words that hold a cue."""
-    if not CUES.search(text):
-        return
-    lines, at = text.split("\n"), 0
-    while at < len(lines):
-        end = at
-        while end < len(lines) and end - at < MAX_LINES:
-            ws = words(lines[end])
-            if not ws or sum(w in vocabulary for w in ws) < VOCABULARY * len(ws):
-                break
-            end += 1
-        if end == at:
-            # a notice inside a longer line: the sentence round the cue
-            for m in re.finditer(r"[^.!?]*(?:licen[cs]e|copyright)[^!?]{0,80}?(?:\.(?=\s|$)|$)", lines[at], re.I):
-                yield at, at + 1, m.group().strip()
-            at += 1
+class Words:
+    """A text's words with their places and lines."""
+
+    def __init__(self, text: str):
+        found = list(WORD.finditer(text))
+        self.text, self.words = text, [m.group().lower() for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def line(self, word: int) -> int:
+        return bisect.bisect_left(self.breaks, self.starts[word])
+
+    def part(self, a: int, b: int) -> str:
+        return self.text[self.starts[a] : self.ends[b - 1]]
+
+
+def units(text: Words, vocabulary: set[str]) -> set[tuple[int, int]]:
+    """(first word, end word) of what may be one notice as a whole: runs of lines in the templates' words that hold a
+    cue, single lines with a cue, and the sentences round a cue."""
+    out, edges = set(), [0, *(x + 1 for x in text.breaks), len(text.text) + 1]
+    run = None
+    for start, end in zip(edges, edges[1:]):
+        a, b = bisect.bisect_left(text.starts, start), bisect.bisect_left(text.starts, end)
+        inside = a < b and sum(w in vocabulary for w in text.words[a:b]) >= VOCABULARY * (b - a)
+        if run and not inside:
+            out.add(run)
+            run = None
+        if inside:
+            run = (run[0] if run else a, b)
+        line = text.text[start : end - 1]
+        if not CUES.search(line):
             continue
-        block = "\n".join(lines[at:end])
-        if CUES.search(block):
-            yield at, end, block
-        at = end
+        out.add((a, b))
+        since = 0
+        for m in SENTENCE.finditer(line):
+            since = max(since, *(line.rfind(c, since, m.start()) + 1 for c in ".!?"))
+            stop = TAIL.match(line, m.end())
+            if stop:
+                out.add((bisect.bisect_left(text.starts, start + since), bisect.bisect_left(text.starts, start + stop.end())))
+    if run:
+        out.add(run)
+    return out
 
 
 def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
@@ -146,19 +169,6 @@ def windows(block: list[str], template: list[str]) -> Iterator[tuple[int, int, l
         yield own[0][3], own[-1][4], same, more, less
 
 
-class Words:
-    """A text's words with their places and lines."""
-
-    def __init__(self, text: str, first_line: int = 0):
-        found = list(WORD.finditer(text))
-        self.text, self.words = text, [m.group().lower() for m in found]
-        self.spans = [m.span() for m in found]
-        self.ends, self.first_line = [m.start() for m in re.finditer("\n", text)], first_line
-
-    def line(self, word: int) -> int:
-        return self.first_line + bisect.bisect_left(self.ends, self.spans[word][0])
-
-
 def saved(data: bytes, compressor, alone: int) -> tuple[int, float]:
     """(bytes, share) that a template's dictionary saves."""
     n = alone - len(compressor.compress(data))
@@ -177,40 +187,41 @@ def notices(text: Words, templates: Templates) -> list[tuple]:
         enough = min(MIN_COVERED, math.ceil(MIN_COVER * len(own)))
         # at most a fifth differs, so a window's equal words form few runs and hold at least so many different pairs
         pairs = max(1, math.ceil(enough * (1 - MAX_DIFFERENT / (1 - MAX_DIFFERENT)) - 1))
-        if len({p for _, p in places}) < pairs:
-            continue
         # stretches twice as long as a window can be, each overlapping the next by a window
-        longest = math.ceil(len(own) / (1 - MAX_DIFFERENT)) + 1
-        done = -1
+        longest, done, last = math.ceil(len(own) / (1 - MAX_DIFFERENT)) + 1, -1, 0
         for k, (at, _) in enumerate(places):
             if at < done:
                 continue
-            stretch = [p for a, p in itertools.takewhile(lambda x: x[0] < at + 2 * longest, places[k:])]
+            while last < len(places) and places[last][0] < at + 2 * longest:
+                last += 1
             done = at + longest
-            if len(set(stretch)) < pairs:
+            if len({p for _, p in places[k:last]}) < pairs:
                 continue
-            todo = [(at, min(len(ws), at + 2 * longest))]
+            todo, seen = [(at, min(len(ws), at + 2 * longest))], set()
             while todo:
                 lo, hi = todo.pop()
-                if hi - lo < enough or not telling <= set(ws[lo:hi]):
+                if (lo, hi) in seen or hi - lo < enough or not telling <= set(ws[lo:hi]):
                     continue
+                seen.add((lo, hi))
                 for a, b, same, more, less in windows(ws[lo:hi], own):
                     if len(same) >= enough and len(more) + len(less) <= MAX_DIFFERENT * (b - a) and telling <= set(same) and not telling & set(less):
-                        data = text.text[text.spans[lo + a][0] : text.spans[lo + b - 1][1]].encode()
+                        data = text.part(lo + a, lo + b).encode()
                         n, gain = saved(data, compressor, len(templates.alone.compress(data)))
                         if gain >= MIN_GAIN:
                             out.append((n, -len(more) - len(less), -i, lo + a, lo + b, gain, more, less))
-                    if b > a:
-                        todo += [x for x in ((lo, lo + a), (lo + b, hi)) if x not in todo]
+                    todo += [(lo, lo + a), (lo + b, hi)]
     return out
 
 
-def whole(text: Words, templates: Templates) -> list[tuple]:
-    """As ``notices``: the templates that all of a short text agrees with, down to a part of one."""
-    ws, out = text.words, []
+def whole(text: Words, first: int, end: int, templates: Templates) -> list[tuple]:
+    """As ``notices``: the templates that all of a unit agrees with, down to a part of one."""
+    ws, out = text.words[first:end], []
     if not ws or (1 - MAX_DIFFERENT) * len(ws) > templates.longest:  # more words differ than may
         return out
-    data = text.text.encode()
+    part = text.part(first, end)
+    if not CUES.search(part):
+        return out
+    data = part.encode()
     alone = len(templates.alone.compress(data))
     for i, (_, own, telling, compressor) in enumerate(templates.entries):
         if not telling <= set(ws):
@@ -220,23 +231,23 @@ def whole(text: Words, templates: Templates) -> list[tuple]:
             continue
         more, less = differences(ws, own)
         if len(more) + len(less) <= MAX_DIFFERENT * len(ws) and not telling & set(less):
-            out.append((n, -len(more) - len(less), -i, 0, len(ws), gain, more, less))
+            out.append((n, -len(more) - len(less), -i, first, end, gain, more, less))
     return out
 
 
 def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float, list[str], list[str]]]:
-    found = []
-    for first, end, block in blocks(text, templates.vocabulary):
-        w = Words(block, first)
-        for n, agree, i, a, b, gain, more, less in {x[:5]: x for x in whole(w, templates) + notices(w, templates)}.values():
-            found.append((n, agree, i, w.line(a), w.line(b - 1) + 1, a, b, first, gain, more, less))
-    out, taken = [], []
-    for n, agree, i, first, end, a, b, block, gain, more, less in sorted(found, key=lambda x: x[:3] + x[7:8] + x[5:7], reverse=True):
-        if any(block == x and a < d and c < b for x, c, d in taken):
-            continue
-        taken.append((block, a, b))
-        out.append((first, end, templates.entries[-i][0], round(gain, 4), more, less))
-    return sorted(out)
+    if not CUES.search(text):
+        return []
+    w = Words(text)
+    found = notices(w, templates)
+    for a, b in units(w, templates.vocabulary):
+        found += whole(w, a, b, templates)
+    out, free = [], [True] * len(w.words)
+    for _, _, i, a, b, gain, more, less in sorted(found, key=lambda x: x[:5], reverse=True):
+        if all(free[a:b]):
+            free[a:b] = [False] * (b - a)
+            out.append((a, w.line(a), w.line(b - 1) + 1, templates.entries[-i][0], round(gain, 4), more, less))
+    return [x[1:] for x in sorted(out)]
 
 
 def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,11 +144,20 @@ def found(text):
 
 def test_op4_full_mit_text():
     got = found("MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + MIT)
-    assert (4, 10, "MIT") in got and {x[2] for x in got} == {"MIT"}
+    assert got == [(4, 13, "MIT")]  # one notice, over the blank line
     assert {x[2] for x in found(MIT.replace("\n", "\n// "))} == {"MIT"}
     assert {x[2] for x in found(MIT.replace("\n\n", "\n"))} == {"MIT"}  # one block, with the disclaimer
 
 
+def test_op4_adjacent_and_inline_notices():
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    assert found(f"{mit}\n{apache}") == [(0, 1, "MIT"), (1, 2, "Apache-2.0")]
+    assert [x[2] for x in found(f"{mit} {apache} {mit}")] == ["MIT", "Apache-2.0", "MIT"]
+    assert [x[2] for x in found("All of the files in this work are in the public and can be used as they are licensed under the Apache License, Version 2.0 and the conditions of that License.")] == ["Apache-2.0"]
+    assert found("the use of this software is subject to the license\n" * 57 + MIT) == [(57, 66, "MIT")]  # across line 60
+    assert not found("The MIT License and the Apache License are licenses.")
+
+
 def test_op5_counts(spark, edge):
     folder, docs, *_ = edge
     want = Counter((d, n - 1) for d, _, n, _ in brute.tokens(pairs(docs), default_path(), 0))
