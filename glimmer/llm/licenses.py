@@ -5,12 +5,11 @@ pairs; besides these, runs of lines that use the templates' vocabulary, lines an
 are tried as a whole, which also finds parts of a notice. Each is compressed alone and with the template as a
 zstandard raw-content dictionary; of candidates that overlap, the one that saves most bytes is reported. Candidates
 are confirmed by the exact differences in wording: the words are aligned with the best window of the template, and a
-license is reported if few words differ and none of the words that tell licenses apart (names, versions) does. What
-stands before and after a window is no difference, so a text may hold any number of notices on adjacent lines or in
-prose; a license's bare name is none.
+license is reported if few words differ, none of the words that tell licenses apart (names, versions) does, and no
+name that tells another license is added. What stands before and after a window is no difference, so a text may hold
+any number of notices on adjacent lines or in prose; a license's bare name is none.
 
-Cases: null and empty texts have no block; texts are scanned whole; a template's words may run over
-several lines; rows are judged one by one, so equal rows are reported each, and null doc_ids are carried; an empty
+Cases: null and empty texts have no notice; texts are scanned whole; a template's words may run over several lines; rows are judged one by one, so equal rows are reported each, and null doc_ids are carried; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -37,8 +36,8 @@ TEMPLATES = {
     "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Released under the {MIT} License.", "Licensed under the {MIT} License."),
     "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {General} Public License, version {3}."),
     "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {General} Public License, version {2}."),
-    "LGPL-3.0": ("This work is licensed under the {GNU} {Lesser} General Public License, version {3}.",),
-    "AGPL-3.0": ("This work is licensed under the {GNU} {Affero} General Public License, version {3}.",),
+    "LGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {Lesser} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {Lesser} General Public License, version {3}.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {Affero} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {Affero} General Public License, version {3}.",),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse} or {promote} products derived from this software without specific prior written permission.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Licensed under the {BSD} {3-Clause} License."),
     "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Licensed under the {BSD} {2-Clause} License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
@@ -73,6 +72,9 @@ class Templates:
         for i, (_, ws, _, _) in enumerate(self.entries):
             for at, pair in enumerate(zip(ws, ws[1:])):
                 self.pairs.setdefault(pair, []).append((i, at))
+        # names that tell some license apart, also as parts of hyphenated ones: no window of another may add them
+        tells = {p for _, _, ws, _ in self.entries for w in ws for p in (w, *w.split("-")) if len(p) > 2 and any(c.isalpha() for c in p)}
+        self.foreign = [tells - set(ws) - telling for _, ws, telling, _ in self.entries]
         self.longest = max(len(ws) for _, ws, _, _ in self.entries)
         self.vocabulary = {w for _, ws, _, _ in self.entries for w in ws}
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -204,7 +206,7 @@ def notices(text: Words, templates: Templates) -> list[tuple]:
                     continue
                 seen.add((lo, hi))
                 for a, b, same, more, less in windows(ws[lo:hi], own):
-                    if len(same) >= enough and len(more) + len(less) <= MAX_DIFFERENT * (b - a) and telling <= set(same) and not telling & set(less):
+                    if len(same) >= enough and len(more) + len(less) <= MAX_DIFFERENT * (b - a) and telling <= set(same) and not telling & set(less) and not templates.foreign[i] & set(more):
                         data = text.part(lo + a, lo + b).encode()
                         n, gain = saved(data, compressor, len(templates.alone.compress(data)))
                         if gain >= MIN_GAIN:
@@ -230,7 +232,7 @@ def whole(text: Words, first: int, end: int, templates: Templates) -> list[tuple
         if gain < MIN_GAIN:
             continue
         more, less = differences(ws, own)
-        if len(more) + len(less) <= MAX_DIFFERENT * len(ws) and not telling & set(less):
+        if len(more) + len(less) <= MAX_DIFFERENT * len(ws) and not telling & set(less) and not templates.foreign[i] & set(more):
             out.append((n, -len(more) - len(less), -i, first, end, gain, more, less))
     return out
 

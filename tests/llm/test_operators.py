@@ -158,6 +158,14 @@ def test_op4_adjacent_and_inline_notices():
     assert not found("The MIT License and the Apache License are licenses.")
 
 
+def test_op4_names_of_other_licenses():
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    assert found(header.format("")) == [(0, 4, "GPL-3.0")]
+    assert found(header.format("Lesser ")) == [(0, 4, "LGPL-3.0")]
+    assert found(header.format("Affero ")) == [(0, 4, "AGPL-3.0")]
+    assert not found("This work is licensed under the GNU Lesser General Public License, version 2.")
+
+
 def test_op5_counts(spark, edge):
     folder, docs, *_ = edge
     want = Counter((d, n - 1) for d, _, n, _ in brute.tokens(pairs(docs), default_path(), 0))
