@@ -2,8 +2,9 @@
 
 A text that says the same thing again and again compresses too well, and one that says nothing (keys, encodings,
 noise) hardly at all. Every text is compressed whole and in fixed chunks with zstandard; a ratio (compressed bytes
-over bytes) outside the band for its length rejects it, and so does too large a share of chunks outside the band
-for theirs. Short texts carry the frame's overhead and have no history to refer to, so the bands depend on length.
+over bytes) outside the band for its length rejects it, and so does too large a share of bytes in chunks outside the
+band for theirs. The last chunk is as long as what is left; texts of up to one chunk have no chunks but the whole.
+Short texts carry the frame's overhead and have no history to refer to, so the bands depend on length.
 Beside the verdict stand the counts of a plain base rule.
 
 Cases: null or empty text has no words, fails the base rule and is rejected; texts of any length are measured whole,
@@ -27,7 +28,7 @@ from .shared import documents, keyed
 BANDS = ((64, 0.0, 1.80), (128, 0.30, 1.30), (256, 0.30, 0.98), (512, 0.30, 0.85), (1024, 0.30, 0.76), (4096, 0.28, 0.70), (16384, 0.24, 0.66), (1 << 62, 0.20, 0.66))
 LEVEL = 3
 CHUNK_BYTES = 2048
-#: A text is rejected if more than this share of its whole chunks lies outside their band.
+#: A text is rejected if more than this share of its bytes lies in chunks outside the band for their length.
 BAD_CHUNKS = 0.3
 MIN_WORDS = 10
 REPEAT_WIDTH = 5
@@ -45,17 +46,20 @@ def band(n_bytes: int, bands=BANDS) -> tuple[float, float]:
 
 
 def compression(text: bytes, compressor, bands=BANDS, chunk: int = CHUNK_BYTES, bad: float = BAD_CHUNKS) -> tuple[float, float, bool]:
-    """(ratio of the whole, share of bad chunks, inside the bands). Only whole chunks count; an empty text is outside."""
+    """(ratio of the whole, share of bytes in bad chunks, inside the bands). The last chunk may be shorter; a text of one
+    chunk is judged whole only; an empty text is outside."""
     if not text:
         return 0.0, 0.0, False
     ratio = len(compressor.compress(text)) / len(text)
     low, high = band(len(text), bands)
-    n, out = len(text) // chunk, 0
-    if n > 1:
-        c_low, c_high = band(chunk, bands)
-        sizes = [len(compressor.compress(text[i * chunk : (i + 1) * chunk])) / chunk for i in range(n)]
-        out = sum(not c_low <= r <= c_high for r in sizes)
-    share = out / n if n else 0.0
+    out = 0
+    if len(text) > chunk:
+        for i in range(0, len(text), chunk):
+            part = text[i : i + chunk]
+            c_low, c_high = band(len(part), bands)
+            if not c_low <= len(compressor.compress(part)) / len(part) <= c_high:
+                out += len(part)
+    share = out / len(text)
     return ratio, share, low <= ratio <= high and share <= bad
 
 

@@ -297,6 +297,22 @@ def test_op10_bands(spark):
     assert not quality.compression(b"", c)[2]
 
 
+def test_op10_last_chunk():
+    import base64
+    import random
+
+    import zstandard
+
+    rng = random.Random(2)
+    c = zstandard.ZstdCompressor(level=quality.LEVEL)
+    syllables = "the and ing er re on ti es st en ha th ou wh ly".split()
+    prose = " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(2000)).encode()
+    noise = base64.b64encode(rng.randbytes(6000))
+    assert not quality.compression(prose[:2060] + noise[:1980], c)[2]  # half noise, under two whole chunks
+    assert not quality.compression(prose[:4096] + noise[:2040], c)[2]  # noise after the last whole chunk
+    assert all(quality.compression(prose[:n], c)[2] for n in range(2040, 4200))  # tails of any length are fair
+
+
 def test_op10_passing_keeps_columns(spark, edge):
     folder, *_ = edge
     d = spark.read.parquet(f"{folder}/documents.parquet")
