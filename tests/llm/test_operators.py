@@ -103,6 +103,27 @@ def test_op2_blocks_agree(spark, edge, monkeypatch):
     assert rows(decontamination.leaks(d, i), "doc_id", "item_id", "start_word", "n_equal") == one
 
 
+def test_op2_every_accepted_stretch_meets_a_seed():
+    import itertools
+
+    import numpy as np
+
+    for n in range(1, 21):
+        item = [f"w{i}" for i in range(n)]
+        probe = decontamination.Probe([0], [" ".join(item)])
+        texts, want = [], 0
+        for k in range(n // 4 + 1):
+            for places in itertools.combinations(range(n), k):
+                equal = np.ones(n, bool)
+                equal[list(places)] = False
+                if decontamination.best_stretch(equal) == (0, n):
+                    texts += [f"x{i}" if i in places else w for i, w in enumerate(item)]
+                    want += 1
+        h = dict(zip(item, probe.h))
+        words = np.array([h.get(w, np.uint64(7)) for w in texts], np.uint64)
+        assert len(probe.leaks(words, np.arange(want + 1) * n)) == want, n
+
+
 def test_op3_substrings(spark, edge):
     folder, docs, *_ = edge
     assert rows(substrings.op3(spark, str(folder)), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.substrings(pairs(docs), 35))
