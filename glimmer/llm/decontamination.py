@@ -4,7 +4,12 @@ A seed is a fixed mask over consecutive words; its hash reads the words at the m
 passage with some words replaced still meets several of its seeds. Hashes of all benchmark items at all positions are
 joined with those of all documents; at every hit item and document are laid side by side on the hit's diagonal and
 compared word by word, and the best stretch (a match counts 1, a substitution -2) is a leak if it is long enough and
-similar enough. The masks leave no such stretch out.
+similar enough, and so is the best of what it leaves of the diagonal on either side, again and again. The masks leave
+no such stretch out. Of leaks of one item that overlap in the text the one with the most equal words stays, of equal
+ones the first; others are all reported, so an item that leaks several times in a text has several rows.
+
+Hits collapse to diagonals while they are read and diagonals are compared in arrays of at most CELLS words, so a text
+that repeats itself costs its length times the item's and bounded memory.
 
 The benchmark is the given query set: it is broadcast in blocks of at most BLOCK_WORDS words, one scan of the
 documents a block, so memory is bounded whatever its size, and documents are neither shuffled nor paired with each
@@ -17,6 +22,7 @@ each; very long texts are scanned whole; empty tables give an empty result; othe
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +43,8 @@ SHORT_MASKS = ("110111", "1101111", "110110111", "1101101111")
 MIN_WORDS = 13
 MIN_PERCENT = 75
 BLOCK_WORDS = 500_000
+#: Hits, and words of diagonals, that one vectorised step holds arrays for.
+CELLS = 1 << 20
 _FILTER = 1 << 22
 
 U64 = np.uint64
@@ -57,12 +65,31 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
     return at, B.mix(out[at])
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """[start, end) of the stretch with the largest sum of +1 for equal and -2 for different words."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+def best_stretches(equal: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece of ``equal`` (flat, of these sizes) the start and end of the stretch with the largest sum of +1 for
+    equal and -2 for different words, the first of the longest such, and its equal words."""
+    n = len(sizes)
+    edge = np.concatenate([[0], np.cumsum(sizes + 1)])  # every piece begins with a sum of nothing
+    first = edge[:-1]
+    value = np.zeros(edge[-1], np.int64)
+    body = np.ones(edge[-1], bool)
+    body[first] = False
+    value[body] = np.where(equal, 1, -2)
+    owner = np.repeat(np.arange(n), sizes + 1)
+    total = np.cumsum(value)
+    total -= total[first][owner]
+    # below all that came before, so that the running least begins anew with every piece
+    drop = total - owner * (3 * int(sizes.max(initial=0)) + 1)
+    low = np.minimum.accumulate(drop)
+    fresh = np.concatenate([[True], low[1:] < low[:-1]])
+    since = np.maximum.accumulate(np.where(fresh, np.arange(len(low)), 0))
+    gain = drop - low
+    best = np.maximum.reduceat(gain, first)
+    at = np.flatnonzero(gain == best[owner])
+    end = at[np.searchsorted(at, first)]
+    start = since[end]
+    ones = np.concatenate([[0], np.cumsum(value == 1)])
+    return start - first, end - first, ones[end + 1] - ones[start + 1]
 
 
 class Probe:
@@ -95,38 +122,70 @@ class Probe:
         self.maybe = np.zeros(_FILTER, bool)
         self.maybe[(self.seed & U64(_FILTER - 1)).astype(np.int64)] = True
 
-    def leaks(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, start and end word in the text, start in the item, equal words), the best for each pair."""
-        found = []
+    def diagonals(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows (text, item, shift) of all diagonals that a seed meets: word k of all items' words faces word k + shift."""
+        n_items, below = len(self.ids), len(self.h)  # a place in the items is counted through all of them
+        span = len(h) + below + 1
+        keys = np.zeros(0, np.int64)
         for mask in self.masks:
             at, g = seeds(h, first, mask)
             hit = np.flatnonzero(self.maybe[(g & U64(_FILTER - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(self.seed, g[hit], "left"), np.searchsorted(self.seed, g[hit], "right")
-            k = hi - lo
-            if not k.sum():
+            hit, lo, k = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            done = np.concatenate([[0], np.cumsum(k)])
+            a = 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(done, done[a] + CELLS, "right")) - 1)
+                which = np.repeat(lo[a:b] - (done[a:b] - done[a]), k[a:b]) + np.arange(done[b] - done[a])
+                where = np.repeat(at[hit[a:b]], k[a:b])
+                text = np.searchsorted(first, where, "right") - 1
+                fresh = np.unique((text * n_items + self.item[which]) * span + (where - self.at[which] + below))
+                keys = np.union1d(keys, fresh) if len(keys) else fresh
+                a = b
+        pair, shift = keys // span, keys % span - below
+        return np.stack([pair // n_items, pair % n_items, shift], axis=1)
+
+    def stretches(self, h: np.ndarray, first: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Rows (text, item, start and end in h, start in the item's words, equal words) of all leaks on diagonals."""
+        text, item, shift = lines.T
+        least = np.minimum(MIN_WORDS, np.diff(self.first)[item])
+        lo, hi = np.maximum(self.first[item], first[text] - shift), np.minimum(self.first[item + 1], first[text + 1] - shift)
+        todo = np.stack([text, item, shift, least, lo, hi], axis=1)
+        out = [np.zeros((0, 6), np.int64)]
+        while len(todo := todo[todo[:, 5] - todo[:, 4] >= todo[:, 3]]):
+            done, a, left = np.concatenate([[0], np.cumsum(todo[:, 5] - todo[:, 4])]), 0, []
+            while a < len(todo):
+                b = max(a + 1, int(np.searchsorted(done, done[a] + CELLS, "right")) - 1)
+                part, sizes = todo[a:b], todo[a:b, 5] - todo[a:b, 4]
+                cell = np.arange(done[b] - done[a]) + np.repeat(part[:, 4] - (done[a:b] - done[a]), sizes)
+                s, e, same = best_stretches(self.h[cell] == h[cell + np.repeat(part[:, 2], sizes)], sizes)
+                some = e > s
+                part, s, e, same = part[some], part[some, 4] + s[some], part[some, 4] + e[some], same[some]
+                good = (e - s >= part[:, 3]) & (100 * same >= MIN_PERCENT * (e - s))
+                out.append(np.stack([part[:, 0], part[:, 1], s + part[:, 2], e + part[:, 2], s - self.first[part[:, 1]], same], axis=1)[good])
+                left += [np.column_stack([part[:, :5], s]), np.column_stack([part[:, :4], e, part[:, 5]])]
+                a = b
+            todo = np.concatenate(left)
+        return np.concatenate(out)
+
+    def leaks(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item, start and end word in the text, start in the item, equal words); no two of one item overlap."""
+        found = self.stretches(h, first, self.diagonals(h, first))
+        out, taken = [], {}
+        for text, item, s, e, own, same in found[np.lexsort((found[:, 4], found[:, 2], -found[:, 5]))].tolist():
+            starts, ends = taken.setdefault((text, item), ([], []))
+            k = bisect.bisect_left(ends, s + 1)  # the first taken stretch that ends after this one's start
+            if k < len(starts) and starts[k] < e:
                 continue
-            which = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-            where = np.repeat(at[hit], k)
-            text = np.searchsorted(first, where, "right") - 1
-            found.append(np.stack([text, self.item[which], where - self.at[which]], axis=1))
-        best: dict[tuple[int, int], tuple] = {}
-        if found:
-            for text, item, shift in np.unique(np.concatenate(found), axis=0).tolist():
-                a, b = self.first[item], self.first[item + 1]
-                lo, hi = max(a, first[text] - shift), min(b, first[text + 1] - shift)
-                equal = self.h[lo:hi] == h[lo + shift : hi + shift]
-                s, e = best_stretch(equal)
-                same = int(equal[s:e].sum())
-                if e - s >= min(MIN_WORDS, b - a) and 100 * same >= MIN_PERCENT * (e - s):
-                    start = int(lo + s + shift - first[text])
-                    row = (text, item, start, start + e - s, int(lo + s - a), same)
-                    if (text, item) not in best or (same, -start) > (best[text, item][5], -best[text, item][2]):
-                        best[text, item] = row
-        return list(best.values())
+            starts.insert(k, s)
+            ends.insert(k, e)
+            begin = int(first[text])
+            out.append((text, item, s - begin, e - begin, own, same))
+        return sorted(out)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, xh, item_id, start_word, end_word, item_start, n_equal): one row a leaking pair."""
+    """(doc_id, xh, item_id, start_word, end_word, item_start, n_equal): one row a leaked passage."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(n_words())).head()[0] or 0
