@@ -1,45 +1,55 @@
 """License scans by conditional compression.
 
-Candidate windows are the stretches of a text, over any number of lines, that a template aligns with by shared word
+Candidate blocks are the stretches of a text, over any number of lines, that a template aligns with by shared word
 pairs; besides these, runs of lines that use the templates' vocabulary, lines and sentences that name a license matter
-are tried as a whole, which also finds parts of a notice. Each is compressed alone and with the template as a
-zstandard raw-content dictionary; of candidates that overlap, the one that saves most bytes is reported. Candidates
-are confirmed by the exact differences in wording: the words are aligned with the best window of the template, and a
-license is reported if few words differ, none of the words that tell licenses apart (names, versions) does, and no
-name that tells another license is added. What stands before and after a window is no difference, so a text may hold
-any number of notices on adjacent lines or in prose; a license's bare name is none.
-
-Cases: null and empty texts have no notice; texts are scanned whole; a template's words may run over several lines; rows are judged one by one, so equal rows are reported each, and null doc_ids are carried; an empty
-table gives an empty result; other columns are ignored.
+are tried as a whole, which also finds parts of a notice. Each is compressed alone and with every template that may
+match it as a zstandard raw-content dictionary; all that save enough are ranked by the bytes they save, and of
+candidates that overlap the first one that is confirmed is reported. A winner is confirmed by the exact differences in
+wording: its words are aligned with the best window of the template, and a license is reported if few words differ,
+none of the words that tell licenses apart (names, versions) does, and no name that tells another license is added.
+What stands before and after a window is no difference, so a text may hold any number of notices on adjacent lines or
+in prose; a license's bare name is none.
+
+Texts in which no word pair of a template occurs are passed over by one vectorised look at the column's bytes. The
+templates hold the whole text of short licenses and the notice, not the whole text, of long ones (Apache, GPL, MPL).
+
+Cases: null and empty texts have no notice; texts and lines of any length are scanned whole, in time proportional to
+their length and the notices in them; a template's words may run over several lines; rows are judged one by one, so
+equal rows are reported each, and null doc_ids are carried; of equally good candidates the template that comes first
+and the earlier place win; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import difflib
-import itertools
 import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bytescan as B
 from .shared import documents, keyed
 
-#: Usual notices and openings of public licenses. Braces mark the words that tell licenses apart.
+#: Texts and usual notices of public licenses. Braces mark the words that tell licenses apart.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the {Apache} License, Version {2.0} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "Licensed under the {Apache} License, Version {2.0}."),
-    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Released under the {MIT} License.", "Licensed under the {MIT} License."),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, {sublicense}, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "Released under the {MIT} License.", "Licensed under the {MIT} License."),
     "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {General} Public License, version {3}."),
     "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the {GNU} {General} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {General} Public License, version {2}."),
     "LGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {Lesser} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {Lesser} General Public License, version {3}.",),
     "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU} {Affero} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the {GNU} {Affero} General Public License, version {3}.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse} or {promote} products derived from this software without specific prior written permission.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Licensed under the {BSD} {3-Clause} License."),
-    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Licensed under the {BSD} {2-Clause} License."),
+    "BSD-3-Clause": ("{Redistribution} and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse} or {promote} products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "Licensed under the {BSD} {3-Clause} License."),
+    "BSD-2-Clause": ("{Redistribution} and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "Licensed under the {BSD} {2-Clause} License."),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any {purpose} with or without {fee} is hereby granted, provided that the above copyright notice and this permission notice {appear} in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "Released under the {ISC} License.", "Licensed under the {ISC} License."),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The {origin} of this software must not be {misrepresented}; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.", "Licensed under the {zlib} License."),
+    "Unlicense": ("This is free and {unencumbered} software released into the {public} {domain}. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "BSL-1.0": ("Permission is hereby granted, free of charge, to any person or {organization} obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", "Distributed under the {Boost} Software License, Version {1.0}."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("Licensed under CC {BY} {4.0}.", "This work is licensed under a Creative Commons {Attribution} {4.0} International License."),
     "CC-BY-SA-4.0": ("Licensed under CC {BY-SA} {4.0}.", "This work is licensed under a Creative Commons {Attribution-ShareAlike} {4.0} International License."),
@@ -47,9 +57,8 @@ TEMPLATES = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. {CC0} {1.0} Universal",),
 }
 CUES = re.compile(r"licen[cs]|copyright|redistribut|permission is|public domain|waived all", re.I)
-SENTENCE = re.compile(r"licen[cs]e|copyright", re.I)
-TAIL = re.compile(r"[^!?]{0,80}?(?:\.(?=\s|$)|$)")
-WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]", re.I)
+END = re.compile(r"[.!?](?=\s)")
+WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]", re.I | re.A)
 #: Share of a line's words that must be template words for the line to belong to a run.
 VOCABULARY = 0.6
 MIN_GAIN = 0.25
@@ -59,6 +68,25 @@ MIN_COVER = 0.7
 MIN_COVERED = 30
 
 
+_FILTER = 1 << 20
+_WORD_BYTES = np.zeros(256, bool)
+_WORD_BYTES[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-")] = True
+
+
+def _pairs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(filter places, texts) of the pairs of neighbouring words, as WORD finds them, in the texts' bytes."""
+    edge = np.diff(np.concatenate([[0], _WORD_BYTES[data].view(np.int8), [0]]))
+    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.flatnonzero(_WORD_BYTES[data] & (data != 0x2E) & (data != 0x2D))
+    a, b = np.searchsorted(inside, s), np.searchsorted(inside, e)
+    s, e = inside[a[b > a]], inside[b[b > a] - 1] + 1
+    h = B.hashes(data, s, e, True)
+    owner = np.searchsorted(offs, s, "right") - 1
+    near = owner[1:] == owner[:-1]
+    with np.errstate(over="ignore"):
+        return (B.mix(h[:-1] * np.uint64(3) + h[1:]) & np.uint64(_FILTER - 1)).astype(np.int64)[near], owner[1:][near]
+
+
 class Templates:
     def __init__(self, templates=TEMPLATES):
         self.entries = []
@@ -76,6 +104,10 @@ class Templates:
         tells = {p for _, _, ws, _ in self.entries for w in ws for p in (w, *w.split("-")) if len(p) > 2 and any(c.isalpha() for c in p)}
         self.foreign = [tells - set(ws) - telling for _, ws, telling, _ in self.entries]
         self.longest = max(len(ws) for _, ws, _, _ in self.entries)
+        known = np.zeros(_FILTER, bool)
+        for a, b in self.pairs:
+            known[_pairs(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, len(a) + len(b) + 1]))[0]] = True
+        self.known = known
         self.vocabulary = {w for _, ws, _, _ in self.entries for w in ws}
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -102,7 +134,8 @@ class Words:
         return bisect.bisect_left(self.breaks, self.starts[word])
 
     def part(self, a: int, b: int) -> str:
-        return self.text[self.starts[a] : self.ends[b - 1]]
+        """The text of words a to b, its white space as single blanks: how it is wrapped is no difference."""
+        return " ".join(self.text[self.starts[a] : self.ends[b - 1]].split())
 
 
 def units(text: Words, vocabulary: set[str]) -> set[tuple[int, int]]:
@@ -123,11 +156,10 @@ def units(text: Words, vocabulary: set[str]) -> set[tuple[int, int]]:
             continue
         out.add((a, b))
         since = 0
-        for m in SENTENCE.finditer(line):
-            since = max(since, *(line.rfind(c, since, m.start()) + 1 for c in ".!?"))
-            stop = TAIL.match(line, m.end())
-            if stop:
-                out.add((bisect.bisect_left(text.starts, start + since), bisect.bisect_left(text.starts, start + stop.end())))
+        for stop in (*(m.end() for m in END.finditer(line)), len(line)):
+            if CUES.search(line, since, stop):
+                out.add((bisect.bisect_left(text.starts, start + since), bisect.bisect_left(text.starts, start + stop)))
+            since = stop
     if run:
         out.add(run)
     return out
@@ -159,7 +191,7 @@ def windows(block: list[str], template: list[str]) -> Iterator[tuple[int, int, l
             if total <= 0:
                 total, first = 0, k
             total += b - a if op == "equal" else -cost * (b - a + d - c)
-            if total > best:
+            if op == "equal" and total >= best:  # of equal sums the longer stretch
                 best, span = total, (first, k + 1)
         if span and span not in spans:
             spans.append(span)
@@ -238,8 +270,7 @@ def whole(text: Words, first: int, end: int, templates: Templates) -> list[tuple
 
 
 def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float, list[str], list[str]]]:
-    if not CUES.search(text):
-        return []
+    """(first and end line, license, gain, added words, missing words) of every notice."""
     w = Words(text)
     found = notices(w, templates)
     for a, b in units(w, templates.vocabulary):
@@ -255,9 +286,12 @@ def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float, li
 def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = default_templates()
     for batch in batches:
-        hit = pc.fill_null(pc.match_substring_regex(batch.column("text"), CUES.pattern, ignore_case=True), False)
-        part = batch.filter(hit)
-        rows = [(d, *x) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for x in scan(t, templates)]
+        rows = []
+        for a, _, data, offs in B.texts(batch, "text"):
+            places, owner = _pairs(data, offs)
+            for i in (a + np.unique(owner[templates.known[places]])).tolist():
+                doc_id = batch.column("doc_id")[i].as_py()
+                rows += [(doc_id, *x) for x in scan(batch.column("text")[i].as_py(), templates)]
         if rows:
             c = list(zip(*rows))
             yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4], pa.float64()), pa.array(c[5], pa.list_(pa.string())), pa.array(c[6], pa.list_(pa.string()))], names=["doc_id", "first_line", "end_line", "license", "gain", "added_words", "missing_words"])
