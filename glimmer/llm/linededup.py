@@ -1,15 +1,16 @@
 """Line dedup with two Bloom filters.
 
-A first pass hashes every line (each key once a document) into two filters of equal size: one for keys seen once and
-one for keys seen twice. A task sends the bit numbers that it has set; they are merged by segment of the filter, and
-a bit set by two tasks is a bit of the twice-seen filter. Only lines all of whose bits are in that filter are
-suspects; their SHA-256 digests, counted by document inside each task, are shuffled and counted exactly. False
-suspects cost a little shuffle and change nothing; no repeat can be missed. A last pass drops the lines where they
-are read, so texts are not shuffled.
-
-The filter is sized from the corpus's line count up to a bound (FILTER_BITS); beyond it more lines become suspects
-and the result stays the same. The digests found are broadcast behind a check of their number; beyond, every
-document is joined with its own.
+The filters are cut into segments by the hash of the line, so they grow with the corpus and no machine holds one
+whole. A first pass hashes every line (each key once a document) and sends the hashes, packed by segment, to where the
+segment is: one filter holds the keys seen once, the other those that were in the first already, and what enters the
+second is a suspect. The suspects' hashes alone, as one filter again, go to all tasks; only lines that this filter may
+hold are hashed with SHA-256, and the digests, counted by document inside each task, are shuffled and counted exactly.
+False suspects cost a little shuffle and change nothing; no repeat can be missed. A last pass drops the lines where
+they are read, so texts are not shuffled.
+
+The filter of suspects is sized by their number up to a bound (FILTER_BITS, an eighth of it in repeated keys); beyond
+it more lines become suspects and the result stays the same. The digests found are broadcast behind a check of their
+number; beyond, every document is joined with its own.
 
 Cases: null or empty text is one empty line; a key of fewer than ``min_key`` code points is never dropped; a line
 that occurs twice in one document counts once; rows that share a doc_id are separate documents; very long lines are
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from . import bytescan as B
 from .shared import BROADCAST_ROWS, documents, keep, keyed
 
+#: Bits of a filter for each key that it may hold, and of the segments that the once- and twice-seen filters are cut to.
 BITS_PER_LINE = 8
-FILTER_BITS = 1 << 28
 SEGMENT = 1 << 20
+#: Bits of the filter of suspects that a task holds; more than 100 million repeated keys fill it.
+FILTER_BITS = 1 << 30
 MIN_DOCS = 10
 MIN_KEY = 1
 
@@ -52,28 +55,27 @@ def _keys(data: np.ndarray, offs: np.ndarray, min_key: int):
     return s, e, first, ts, te, use, B.hashes(data, ts[use], te[use], True), owner
 
 
-def _filter_bits(lines: int) -> int:
-    return int(min(FILTER_BITS, max(SEGMENT, 1 << (BITS_PER_LINE * lines - 1).bit_length() if lines else SEGMENT)))
+def _filter_bits(keys: int, most: int, segment: int) -> int:
+    return max(segment, min(most, 1 << max(1, BITS_PER_LINE * keys - 1).bit_length()))
 
 
-def twice_seen(keyed_docs: DataFrame, bits: int, min_key: int) -> bytes:
-    """The twice-seen filter, packed; its size is the bound ``bits`` / 8, whatever the corpus."""
+def twice_seen(keyed_docs: DataFrame, lines: int, min_key: int, bits: int = SEGMENT) -> DataFrame:
+    """(kept) packed hashes of the keys that two documents or more may have."""
+    n_segments = max(1, -(-lines * BITS_PER_LINE // bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
 
-        def sent():
+        def sent() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            once = np.unique(np.concatenate(_probes(h, bits)))
-            twice = np.unique(np.concatenate(_probes(h[c > 1], bits)))
-            for k in np.unique(once // SEGMENT):
-                parts = [x[np.searchsorted(x, k * SEGMENT) : np.searchsorted(x, (k + 1) * SEGMENT)] % SEGMENT for x in (once, twice)]
-                yield k, *(x.astype("<u4").tobytes() for x in parts)
-
-        def rows(it):
-            it = list(it)
-            return pa.record_batch([pa.array([int(x[0]) for x in it], pa.int64()), pa.array([x[1] for x in it], pa.binary()), pa.array([x[2] for x in it], pa.binary())], names=["segment", "once", "twice"])
+            segment = (B.mix(h) % U64(n_segments)).astype(np.int64)
+            order = np.argsort(segment, kind="stable")
+            h, c, segment = h[order], c[order], segment[order]
+            which, first = np.unique(segment, return_index=True)
+            cut = [*first.tolist(), len(h)]
+            packed = [[x.tobytes() for x in np.split(v, cut[1:-1])] for v in (h, c > 1)]
+            return pa.record_batch([pa.array(which, pa.int64()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["segment", "hashes", "again"])
 
         for batch in batches:
             for _, _, data, offs in B.texts(batch, "text"):
@@ -82,36 +84,64 @@ def twice_seen(keyed_docs: DataFrame, bits: int, min_key: int) -> bytes:
                 held.append(pair)
                 n += len(pair)
                 if n > 2_000_000:
-                    yield rows(sent())
+                    yield sent()
                     held, n = [], 0
         if n:
-            yield rows(sent())
+            yield sent()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by segment; only one segment's two filters are held."""
+        now, once, twice = None, np.zeros(0, bool), np.zeros(0, bool)
+        for batch in batches:
+            out = []
+            for k, packed, again in zip(*(batch.column(c).to_pylist() for c in ("segment", "hashes", "again"))):
+                if k != now:
+                    now, once, twice = k, np.zeros(bits, bool), np.zeros(bits, bool)
+                h = np.frombuffer(packed, U64)
+                a, b = _probes(h, bits)
+                seen = (once[a] & once[b]) | np.frombuffer(again, bool)
+                fresh = seen & ~(twice[a] & twice[b])
+                once[a] = once[b] = True
+                twice[a[fresh]] = twice[b[fresh]] = True
+                out.append(h[fresh].tobytes())
+            yield pa.record_batch([pa.array(out, pa.binary()), pa.array([len(x) // 8 for x in out], pa.int64())], names=["hashes", "n"])
+
+    parts = keyed_docs.select("text").mapInArrow(scan, "segment long, hashes binary, again binary")
+    return keep(parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(meet, "hashes binary, n long").filter("n > 0"), "suspects")
+
+
+def suspect_filter(suspects: DataFrame, most: int, segment: int = SEGMENT) -> tuple[bytes, int]:
+    """The suspects' hashes as one filter of at most ``most`` bits, packed; it is gathered segment by segment."""
+    bits = _filter_bits(suspects.agg(F.sum("n")).head()[0] or 0, most, segment)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), U64)
+            at = np.unique(np.concatenate(_probes(h, bits)))
+            which, first = np.unique(at // segment, return_index=True)
+            yield pa.record_batch([pa.array(which, pa.int64()), pa.array([(x % segment).astype("<u4").tobytes() for x in np.split(at, first[1:])], pa.binary())], names=["segment", "at"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by segment; only one segment's counters are held."""
-        now, seen = None, None
+        now, seen = None, np.zeros(0, bool)
 
-        def out():
-            return pa.record_batch([pa.array([now], pa.int64()), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], names=["segment", "bits"])
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([now], pa.int64()), pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["segment", "bits"])
 
         for batch in batches:
-            for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "twice"))):
+            for k, at in zip(batch.column("segment").to_pylist(), batch.column("at").to_pylist()):
                 if k != now:
                     if now is not None:
                         yield out()
-                    now, seen = k, np.zeros(SEGMENT, np.uint8)
-                at = np.frombuffer(once, "<u4")
-                seen[at] = np.minimum(seen[at] + 1, 2)
-                seen[np.frombuffer(twice, "<u4")] = 2
+                    now, seen = k, np.zeros(segment, bool)
+                seen[np.frombuffer(at, "<u4")] = True
         if now is not None:
             yield out()
 
-    parts = keyed_docs.select("text").mapInArrow(scan, "segment long, once binary, twice binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment long, bits binary")
+    merged = suspects.select("hashes").mapInArrow(scan, "segment long, at binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment long, bits binary")
     whole = np.zeros(bits // 8, np.uint8)
     for r in merged.toLocalIterator():
-        whole[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
-    return whole.tobytes()
+        whole[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = np.frombuffer(r.bits, np.uint8)
+    return whole.tobytes(), bits
 
 
 def _suspect(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
@@ -124,12 +154,12 @@ def _digests(data: np.ndarray, ts: np.ndarray, te: np.ndarray, at: np.ndarray) -
     return [hashlib.sha256(raw[ts[i] : te[i]].translate(B.LOWER_BYTES)).digest() for i in at]
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY):
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, filter_bits: int = FILTER_BITS):
     """(digests of the keys found in ``min_docs`` documents or more with their first (doc_id, line), the filter)."""
     spark = docs.sparkSession
     n_lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).head()[0] or 0
-    bits = _filter_bits(n_lines)
-    shared = spark.sparkContext.broadcast(twice_seen(docs, bits, min_key))
+    packed, bits = suspect_filter(twice_seen(docs, n_lines, min_key), filter_bits)
+    shared = spark.sparkContext.broadcast(packed)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
@@ -192,10 +222,10 @@ def _drop(shared, bits: int, min_key: int, hot, keep_first: bool):
     return task
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, keep_first: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, keep_first: bool = False, broadcast_rows: int = BROADCAST_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text. ``keep_first`` keeps a key's first line in (doc_id, line) order."""
     rows = keyed(docs)
-    hot, shared, bits = repeated_lines(rows, min_docs, min_key)
+    hot, shared, bits = repeated_lines(rows, min_docs, min_key, filter_bits)
     schema = "doc_id long, xh long, n_lines long, n_dropped long, kept binary"
     if hot.count() <= broadcast_rows:
         table = docs.sparkSession.sparkContext.broadcast({bytes(r.digest): (r.first.doc_id, r.first.line) for r in hot.select("digest", "first").toLocalIterator()})
