@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import components
-from .shared import documents, keep, keyed, keyed_join, small, tagged, untagged
+from .shared import documents, keep, keyed, keyed_join, row_key, small, tagged, untagged
 
 WORDS = 5
 PERCENT = 75
@@ -200,41 +200,55 @@ def _overlap(words: int):
     return task
 
 
-def _blocks(words: int, percent: int):
+def _sets(words: int):
+    """(u, shingles): the sorted distinct shingles of each unit's text, computed once for all its comparisons."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in B.texts(batch, "text"):
+                xs = sets(data, offs, words)[0]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
+                yield pa.record_batch([batch.column("u")[a:b], B.lists(B.signed(np.concatenate([*xs, np.zeros(0, U64)])), bounds, pa.int64())], names=["u", "shingles"])
+
+    return task
+
+
+def _blocks(percent: int):
     """Rows (probe chunk, block): links between their members of different components, one for each member of the
-    block and component of the chunk; overlaps come from one sorted index of the block."""
+    block and component of the chunk; overlaps come from one sorted index of the block, kept while its rows follow."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
+        last, index = None, ()
 
-        def side(name: str, row: pa.StructScalar | dict, key) -> tuple:
-            if kept.get(name, (None,))[0] != key:
-                part = pa.record_batch([pa.array([x["text"] for x in row], pa.string())], names=["t"])
-                xs = [x for _, _, d, o in B.texts(part, "t") for x in sets(d, o, words)[0]]
-                kept[name] = (key, np.array([x["u"] for x in row]), np.array([x["comp"] for x in row]), xs)
-            return kept[name][1:]
+        def members(row: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            v = row.values
+            lists = v.field("shingles")
+            return v.field("u").to_numpy(), v.field("comp").to_numpy(), [lists[i].values.to_numpy() for i in range(len(v))]
 
         for batch in batches:
             src, dst = [], []
-            for g, pb, b, probe, block in zip(*(batch.column(c) for c in ("g", "pb", "b", "probe", "block"))):
-                us, comps, xs = side("block", block.as_py(), (g.as_py(), b.as_py()))
-                vs, vcomps, ys = side("probe", probe.as_py(), (g.as_py(), pb.as_py()))
-                sizes = np.array([len(x) for x in xs])
-                owner = np.repeat(np.arange(len(xs)), sizes)
-                flat = np.concatenate(xs)
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], owner[order]
+            for g, size, b, probe, block in zip(*(batch.column(c) for c in ("g", "size", "b", "probe", "block"))):
+                key = (g.as_py(), size.as_py(), b.as_py())
+                if key != last:
+                    us, comps, xs = members(block)
+                    sizes = np.array([len(x) for x in xs])
+                    flat = np.concatenate(xs)
+                    order = np.argsort(flat, kind="stable")
+                    last, index = key, (us, comps, sizes, flat[order], np.repeat(np.arange(len(xs)), sizes)[order])
+                us, comps, sizes, flat, owner = index
                 done: set[tuple[int, int]] = set()
-                for v, comp, y in zip(vs.tolist(), vcomps.tolist(), ys):
+                for v, comp, y in zip(*members(probe)):
+                    if not (comps != comp).any():
+                        continue
                     lo, hi = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
                     k = hi - lo
                     at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-                    shared = np.bincount(owner[at], minlength=len(xs))
+                    shared = np.bincount(owner[at], minlength=len(sizes))
                     for i in np.flatnonzero((shared >= need(sizes, len(y), percent)) & (comps != comp)).tolist():
                         if (i, comp) not in done:
                             done.add((i, comp))
                             src.append(int(us[i]))
-                            dst.append(v)
+                            dst.append(int(v))
             yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return task
@@ -332,21 +346,27 @@ class Join:
     def _dense(self, members: DataFrame) -> DataFrame | None:
         """Links inside the groups that long lists leave open: (g, u, comp) -> (src, dst), or None.
 
-        Who is not in a group's largest component is compared with the whole group, BLOCK by BLOCK: what is joined is
-        blocks, never pairs of their members."""
+        Who is not in a group's largest component is compared with the members of like size, BLOCK by BLOCK: what is
+        joined is blocks of shingle arrays, never pairs of their members."""
         members = keep(members, "members")
         if members.isEmpty():
             return None
-        sizes = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
-        per = sizes.groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("rest"))
-        texts = keep(self.texts_of(keep(self.units.select("u", "d", "x").join(members.select("u").distinct(), "u"), "units")).dropDuplicates(["u"]), "texts")
-        rows = members.join(per, "g").join(texts, "u").withColumn("r", F.xxhash64("u"))
+        size = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / self.percent)).cast("int")
+        units = keep(self.units.select("u", "d", "x", size.alias("size")).join(members.select("u").distinct(), "u"), "units")
+        shingles = keep(self.texts_of(units.select("u", "d", "x")).dropDuplicates(["u"]).mapInArrow(_sets(self.words), "u long, shingles array<long>"), "shingles")
+        main = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+        rows = members.join(units.select("u", "size"), "u").join(main, "g")
+        per = rows.groupBy("g", "size").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("comp") != F.col("main")).alias("rest"))
+        rows = rows.join(per, ["g", "size"]).join(shingles, "u").withColumn("r", F.xxhash64("u"))
         chunk = lambda n: F.pmod("r", F.ceil(n / F.lit(float(BLOCK))))
-        both = lambda name: F.collect_list(F.struct("u", "comp", "text")).alias(name)
-        probes = keep(rows.groupBy("g", chunk(F.col("k")).alias("pb")).agg(both("probe")), "probes")
-        blocks = keep(rows.filter(F.col("comp") != F.col("main")).groupBy("g", chunk(F.col("rest")).alias("b")).agg(both("block")), "blocks")
-        pairs = probes.join(blocks, "g").select("g", "pb", "b", "probe", "block")
-        return keep(pairs.repartition(self.spark.sparkContext.defaultParallelism * 4).mapInArrow(_blocks(self.words, self.percent), "src long, dst long").distinct(), "dense")
+        both = lambda name: F.collect_list(F.struct("u", "comp", "shingles")).alias(name)
+        probes = keep(rows.groupBy("g", "size", chunk(F.col("k")).alias("pb")).agg(both("probe")), "probes")
+        blocks = keep(rows.filter(F.col("comp") != F.col("main")).groupBy("g", "size", chunk(F.col("rest")).alias("b")).agg(both("block")), "blocks")
+        # sets that link are of one or of neighbouring sizes
+        near = blocks.select("g", "b", "block", F.col("size").alias("own"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+        pairs = probes.join(near, ["g", "size"]).select("g", F.col("own").alias("size"), "b", "probe", "block")
+        spread = pairs.repartition(self.spark.sparkContext.defaultParallelism * 4, "g", "size", "b", F.pmod(F.xxhash64("probe.u"), F.lit(8))).sortWithinPartitions("g", "size", "b")
+        return keep(spread.mapInArrow(_blocks(self.percent), "src long, dst long").distinct(), "dense")
 
     def link(self) -> DataFrame:
         """(node, root) of the units that link."""
@@ -402,7 +422,7 @@ class Join:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id stays (of several rows
-    with that id, the one with the least text key; of equal rows, one). Documents without words all stay."""
+    with that id, the one with the least text key; of several with one text, the one with the least key of all columns). Documents without words all stay."""
     names = keep(Join(docs).classes(), "names")
     best = names.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "xh")).alias("b"))
     gone = names.join(best, "root").filter((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("b.d")) | (F.col("xh") != F.col("b.xh"))).select("doc_id", "xh").distinct()
@@ -410,7 +430,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     equal = names.filter("root is not null").groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "xh")
     equal = keep(equal, "equal")
     if not equal.isEmpty():
-        left = keyed_join(left, equal, "left_anti").unionByName(keyed_join(left, equal, "left_semi").dropDuplicates(["k", "xh"]))
+        one = keyed_join(left, equal, "left_semi").groupBy("k", "xh").agg(F.min_by("row", row_key(docs, F.col("row"))).alias("row"))
+        left = keyed_join(left, equal, "left_anti").unionByName(one)
     return untagged(left, docs.columns)
 
 
