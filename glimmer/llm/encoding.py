@@ -21,11 +21,13 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``ordinary``: the strings of special tokens in a text are ordinary text, so no text yields a special id."""
+
+    def __init__(self, path: str, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
         self.vocabulary = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -83,8 +85,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, ordinary: bool = False) -> Encoder:
+    return Encoder(path, ordinary)
 
 
 def default_path() -> str:

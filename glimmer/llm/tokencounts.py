@@ -29,6 +29,8 @@ from .files import Reader, TaskFile
 from .shared import documents, folder, keep
 
 BLOCK_IDS = 1 << 20
+#: Blocks that a task scans, once there are enough for all cores.
+TASK_BLOCKS = 32
 END = "<|endoftext|>"
 
 
@@ -36,7 +38,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end: str = END) -> Da
     """(kept) uri, n_bytes, id_bytes, end_id, doc_ids in the file's order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, ids = encoder(tokenizer), None, []
+        enc, out, ids = encoder(tokenizer, ordinary=True), None, []
         end_id = enc.tokenizer.token_to_id(end)
         kind = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
         for batch in batches:
@@ -73,7 +75,11 @@ def count_flat(files: DataFrame, block_ids: int = BLOCK_IDS, n_tasks: int | None
                 )
 
     cuts = files.select("uri", "n_bytes", "id_bytes", "end_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / (F.col("id_bytes") * F.lit(block_ids))).cast("long"))).alias("block"))
-    blocks = keep(cuts.filter("n_bytes > 0").repartition(n_tasks or 64).mapInArrow(task, "uri string, block long, n_ends long, last_end long, ends array<long>, file_end long"), "blocks")
+    cuts = cuts.filter("n_bytes > 0")
+    if n_tasks is None:
+        n_blocks, cores = cuts.count(), files.sparkSession.sparkContext.defaultParallelism
+        n_tasks = max(1, min(n_blocks, cores), -(-n_blocks // TASK_BLOCKS))
+    blocks = keep(cuts.repartition(n_tasks).mapInArrow(task, "uri string, block long, n_ends long, last_end long, ends array<long>, file_end long"), "blocks")
     before = W.partitionBy("uri").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     scan = blocks.select("uri", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("docs_before"), F.coalesce(F.max("last_end").over(before), F.lit(-1).cast("long")).alias("end_before"))
     stitched = blocks.join(scan, ["uri", "block"])
