@@ -21,7 +21,7 @@ class TaskFile:
         self.fs, path = open_fs(folder)
         self.fs.create_dir(path, recursive=True)
         n = TaskContext.get().partitionId() if TaskContext.get() else 0
-        self.name = f"part-{n:06d}{suffix}"
+        self.name = f"part-{n:010d}{suffix}"
         self.uri = f"{folder}/{self.name}"
         self._final, self._temp = f"{path}/{self.name}", f"{path}/.{self.name}-{uuid.uuid4().hex}"
         self._out = self.fs.open_output_stream(self._temp)

@@ -12,7 +12,8 @@ sort. What precedes a file is a prefix sum over the files' footers, one small ro
 
 Cases: null or empty texts give the end id alone; null doc_ids come first; rows that share a doc_id stand side by
 side ordered by text, so repeated rows are interchangeable; a very long text is encoded whole and its ids are flushed
-block by block; an empty table gives no row; other columns are ignored.
+block by block; the string of a special token in a text is that token, as the library has it; an empty table gives no
+row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield pa.record_batch([pa.array([out.close()]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.n], pa.int64())], names=["uri", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # a doc_id of very many rows, the null one say, is cut at the beginnings of its texts
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = keep(ordered.mapInArrow(task, "uri string, n_docs long, n_ids long"), "token-files")
     before = F.sum("n_ids").over(W.orderBy("uri").rowsBetween(W.unboundedPreceding, -1))
     return written.withColumn("start", F.coalesce(before, F.lit(0)))
