@@ -13,7 +13,7 @@ repeated digests is too large to broadcast.
 Cases: null html is the empty payload, null url an empty target; equal payloads of at least ``min_bytes`` bytes keep
 the smallest page_id as response and the rest refer to it; rows that repeat that very page_id are responses too, for
 a record can't revisit itself; a null page_id never is referred to, and a group of nulls alone is all responses; a
-payload longer than a frame has a frame of its own; an empty table writes nothing and gives no rows; other columns
+payload longer than a frame has a frame of its own; equal rows have record ids of their own; an empty table writes nothing and gives no rows; other columns
 are ignored.
 """
 
@@ -45,22 +45,30 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str, sha: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}|{url}|{sha}')}>"
+def record_id(page_id: int | None, url: str, sha: str, row: str = "") -> str:
+    """The same for a page wherever it is written; ``row`` tells equal pages apart."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}|{url}|{sha}|{row}')}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, first: int | None) -> tuple[str, bytes]:
-    """(record id, bytes). A revisit has no payload of its own; its headers say what it had."""
+def record(page_id: int | None, url: str, payload: bytes, first: int | None = None, first_url: str = "", row: str = "") -> tuple[str, bytes]:
+    """(record id, bytes). A revisit has no payload of its own; its headers say what it had and where it is. Where pages
+    of its payload are equal (``row`` is given), their ids hold their places, which a revisit elsewhere can't know."""
     sha, revisit = digest(payload), first is not None and first != page_id
-    rid = record_id(page_id, url, sha)
+    rid = record_id(page_id, url, sha, row)
+
+    def plain(u: str) -> str:
+        return u.replace("\r", "%0D").replace("\n", "%0A")
+
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {rid}", f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"), f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Target-URI: {plain(url)}", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}",
     ]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {first}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {plain(first_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {first}"]
+        if not row:
+            head.append(f"WARC-Refers-To: {record_id(first, first_url, sha)}")
     body = b"" if revisit else payload
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return rid, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -143,25 +151,27 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, frame: int =
     """Write bundles; returns (kept) one row a bundle: uri, n_records."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("n"))
-    repeats = rows.filter(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1 and first is not null").drop("k")
-    repeats = small(keep(repeats, "payloads"))
+    pages_of = rows.groupBy("sha", "n", "page_id", "url").agg(F.count(F.lit(1)).alias("c"))
+    repeats = pages_of.groupBy("sha", "n").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.sum("c").alias("k"), (F.max("c") > 1).alias("equal")).filter("k > 1")
+    response = F.when(F.col("n") >= min_bytes, F.col("first"))
+    repeats = small(keep(repeats.select("sha", "n", response["page_id"].alias("first"), response["url"].alias("first_url"), "equal"), "payloads"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = None, 0
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                for page_id, url, text, first in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
+                for page_id, url, text, first, first_url, equal in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first", "first_url", "equal"))):
                     if out is None:
                         out = TaskFile(path, ".warc.zst")
                         bundle = Bundle(out, frame)
-                    bundle.add(*record(page_id, url, text.encode(), first))
+                    bundle.add(*record(page_id, url, text.encode(), first, first_url or "", f"{out.name}-{n}" if equal else ""))
                     n += 1
         if out is not None:
             bundle.close()
             yield pa.record_batch([pa.array([out.close()]), pa.array([n], pa.int64())], names=["uri", "n_records"])
 
-    joined = rows.join(repeats, ["sha", "n"], "left").select("page_id", "url", "html", "first")
+    joined = rows.join(repeats, ["sha", "n"], "left").select("page_id", "url", "html", "first", "first_url", "equal")
     return keep(joined.mapInArrow(task, "uri string, n_records long"), "bundles")
 
 
