@@ -2,7 +2,8 @@
 
 Every step is two aggregations and two joins over (src, dst) longs; it is written to the shared folder, so lineage
 stays short and a lost executor costs one step. The centre of a star may have any number of neighbours: minima are
-combined before the shuffle, and the joins are of the kind that Spark splits when a key is hot.
+combined before the shuffle, and the joins are of the kind that Spark splits when a key is hot. The steps grow with the
+logarithm of the number of nodes, and go on until nothing changes.
 """
 
 from __future__ import annotations
@@ -12,14 +13,12 @@ from pyspark.sql import functions as F
 
 from .shared import keep
 
-STEPS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(src, dst) longs -> (node, root): every node that an edge touches with the least node that it reaches."""
     now = keep(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src > dst").distinct(), "edges")
     before = None
-    for _ in range(STEPS):
+    while True:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("src", "m"))
         # large star: the larger neighbours of a node are tied to the least of its neighbourhood
@@ -34,7 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {STEPS} steps")
     nodes = now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     return nodes.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())

@@ -75,12 +75,12 @@ def lines(docs, min_docs):
     return out
 
 
-def tokens(docs, path, end):
+def tokens(docs, path, end, ordinary=False):
     import numpy as np
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = ordinary
     out, at = [], 0
     for d, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, end]
@@ -103,24 +103,46 @@ def warc(pages):
     return out
 
 
-def leak_pairs(docs, items, min_words=13, percent=75):
-    """Every diagonal of every pair, without seeds."""
-    out = set()
+def stretches(equal, lo, hi, least, percent):
+    """The best stretch of equal[lo:hi] and those of what it leaves on either side, if they are leaks."""
+    if hi - lo < least:
+        return []
+    best = now = 0
+    start, span = lo, (lo, lo)
+    for k in range(lo, hi):
+        if now < 0:
+            now, start = 0, k
+        now += 1 if equal[k] else -2
+        if now > best:
+            best, span = now, (start, k + 1)
+    s, e = span
+    if s == e:
+        return []
+    same = sum(equal[s:e])
+    found = [(s, e, same)] if e - s >= least and 100 * same >= percent * (e - s) else []
+    return found + stretches(equal, lo, s, least, percent) + stretches(equal, e, hi, least, percent)
+
+
+def leaks(docs, items, min_words=13, percent=75):
+    """Every diagonal of every pair, without seeds: (doc_id, item_id, start, end, item start, equal words)."""
+    out = []
     for d, t in docs:
         a = [w.translate(LOW) for w in words(t)]
         for i, u in items:
             b = [w.translate(LOW) for w in words(u)]
+            found = []
             for shift in range(-len(b) + 1, len(a)):
-                equal = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b)) if 0 <= k + shift < len(a)]
-                best = now = start = 0
-                span = (0, 0)
-                for k, e in enumerate(equal):
-                    if now <= 0:
-                        now, start = 0, k
-                    now += 1 if e else -2
-                    if now > best:
-                        best, span = now, (start, k + 1)
-                n = span[1] - span[0]
-                if n and n >= min(min_words, len(b)) and 100 * sum(equal[span[0] : span[1]]) >= percent * n:
-                    out.add((d, i))
+                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                equal = [lo <= k < hi and a[k + shift] == b[k] for k in range(len(b))]
+                if any(equal):
+                    found += [(-same, s + shift, s, e + shift, same) for s, e, same in stretches(equal, lo, hi, min(min_words, len(b)), percent)]
+            taken = []
+            for _, start, own, end, same in sorted(found):
+                if all(end <= s or e <= start for s, e in taken):
+                    taken.append((start, end))
+                    out.append((d, i, start, end, own, same))
     return out
+
+
+def leak_pairs(docs, items):
+    return {x[:2] for x in leaks(docs, items)}
