@@ -10,7 +10,9 @@ candidate survives or the length is W, where every window is its own anchor.
 Texts with equal word sequences are one unit that counts as repeated, so a large group of copies costs one text.
 Levels shuffle (hash, unit, first and last window) rows; counts are combined before the shuffle. Hashes that very many
 rows hold are brought back to their rows by a broadcast behind a check of its size, so they do not meet in one task.
-Texts are read again only for the units that still have candidates, by a join that is broadcast behind such a check.
+Texts are read again for the units that still have candidates, by one kind of join at every size: a broadcast table of
+the wanted keys' classes, at most CLASSES longs, passes over most others before the rest is shuffled and joined. Where
+there are more candidates than classes it passes over few, and each level may shuffle the texts once.
 
 Windows of W words are compared by two independent 64-bit hashes; shorter ones by one, for there a chance agreement
 costs a candidate and no more.
@@ -38,6 +40,8 @@ WIDTH = 35
 SHORTEST = 8
 #: A hash of more rows than this is hot.
 HOT = 2_000
+#: Texts are looked up by this many classes of their keys before they are shuffled to what is wanted of them.
+CLASSES = 1 << 21
 U64 = np.uint64
 
 
@@ -176,7 +180,9 @@ def substrings(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
     def of(some: DataFrame, column: str) -> DataFrame:
         """(unit, column, text) of the units of a table (unit, column)."""
         where = keep(some.join(level.select("unit", "doc_id", "xh"), "unit").select("unit", column, F.col("doc_id").alias("d"), F.col("xh").alias("x")), "candidates")
-        return rows.join(small(where), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))).select("unit", column, "text")
+        wanted = F.broadcast(where.select(F.pmod("x", F.lit(CLASSES)).alias("k")).distinct())
+        near = rows.join(wanted, F.pmod("xh", F.lit(CLASSES)) == F.col("k"), "left_semi")
+        return near.join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))).select("unit", column, "text")
 
     if not longer:  # windows this short are compared at once
         longer = [width]
