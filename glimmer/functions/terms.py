@@ -66,3 +66,7 @@ VISUAL_RADIUS = 12.0
 MIN_AUDIO_RELEVANCE = 0.12
 MAX_AUDIO_MOMENTS = 8
 SCENE_SIMILARITY = 0.82
+
+WHY_ANSWER_TERMS = "afraid because chased chasing fear freaked nightmare nightmares reason scared".split()
+MAX_DISPLAY_MOMENTS = 6
+NEAR_DUPLICATE_TRANSCRIPT = 0.35

@@ -58,6 +58,12 @@ def contains_any(text: Column, phrases) -> Column:
     return out
 
 
+def count_contained(text, phrases) -> Column:
+    """How many of the phrases the lower-cased text contains."""
+    low = F.lower(col(text))
+    return sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0))
+
+
 def query_intent(q) -> Column:
     """struct(intent, reason): ordered rules over the question's words."""
     low, ws = F.lower(col(q)), ascii_words(q)

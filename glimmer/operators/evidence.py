@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Thresholds of citations and of redundant evidence.
+CITED_SUPPORT = 0.035
+CITED_RELATIVE_SUPPORT = 0.35
+REDUNDANT_SIMILARITY = 0.6
+#: SQL over two rows: much the same words, or spans of one modality that overlap by half of the shorter.
+ALIKE = f"size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= {REDUNDANT_SIMILARITY}D or (x.modality = y.modality and coalesce(try_divide(greatest(least(x.stop, y.stop) - greatest(x.start, y.start), 0D), least(x.stop - x.start, y.stop - y.start)), 0D) >= 0.5D)"
 SPOKEN = "say says said tell tells told ask asks asked admit admits admitted explain explains explained presenter speaker".split()
 WRITTEN = "text words caption written title logo label slide".split()
 
@@ -77,6 +83,22 @@ def drop_weak(df: DataFrame, group: list[str], least: int = 1) -> DataFrame:
     return df.withColumn("__all", (n <= least) | (good < least) | (good == n)).filter(F.col("__all") | (F.col("grounding_label") != "weak")).drop("__all")
 
 
+def prune_to_citations(df: DataFrame, group: list[str], least: int = 1) -> DataFrame:
+    """Supported rows (score, relevance, t, id) with ``cited``: those cited that pass the threshold stay, the best others
+    above it fill up to as many as were cited; where they do not suffice all cited rows stay. Groups with fewer than
+    ``least`` cited rows are left as they are."""
+    w = W.partitionBy(*group)
+    df = df.withColumn("__fine", F.col("score") >= F.greatest(F.lit(CITED_SUPPORT), CITED_RELATIVE_SUPPORT * F.max("score").over(w)))
+    other = F.col("__fine") & ~F.col("cited")
+    df = df.withColumns({
+        "__cited": F.count_if("cited").over(w), "__good": F.count_if(F.col("cited") & F.col("__fine")).over(w), "__other": F.count_if(other).over(w),
+        "__place": F.row_number().over(W.partitionBy(*group, other).orderBy(F.desc("score"), F.desc("relevance"), "t", "id")),
+    })
+    target = F.greatest(F.lit(least), F.col("__cited"))
+    kept = F.when(F.col("__cited") < least, F.lit(True)).when(F.col("__good") + F.col("__other") < target, F.col("cited")).otherwise(F.col("__fine") & (F.col("cited") | (F.col("__place") <= target - F.col("__good"))))
+    return df.filter(kept).drop("__fine", "__cited", "__good", "__other", "__place")
+
+
 def first_fit(df: DataFrame, group: list[str], order: list[str], alike: str) -> DataFrame:
     """Rows join the first earlier-opened cluster that holds a row alike, else open one: an ordered fold, not
     components. ``alike`` is SQL over structs x (the row) and y (a member). Adds ``cluster``."""

@@ -1,4 +1,4 @@
-"""Paired resampling and percentiles."""
+"""Paired resampling."""
 
 from __future__ import annotations
 
@@ -6,23 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import col
-
-
-def resample_index(seed: str, resample, position, n):
-    """A pseudo-random index below n, the same in any engine with md5."""
-    h = F.md5(F.concat_ws("-", F.lit(seed), col(resample).cast("string"), col(position).cast("string")))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), col(n))
-
-
-def bootstrap(outcomes: DataFrame, keys: list[str], value: str, order: str, resamples: int, seed: str = "1") -> DataFrame:
-    """(keys, resample, mean): the mean of ``value`` over n draws with replacement from a group's n rows.
-
-    Rows get positions by ``order``; the draws are joined by (group, position), an equi-join that scales with
-    rows * resamples and holds no group in one place."""
+#: Rows of a group up to which its values travel as one array.
+MOST_VALUES = 1_000_000
+
+
+def resample_index(resample: str, position: str, n: str) -> str:
+    """SQL: a pseudo-random index below n, by integer steps that any engine repeats."""
+    h = f"(cast({resample} as bigint) * 1000003 + {position}) % 2147483648"
+    for _ in range(2):
+        h = f"transform(array({h}), h -> ((h ^ shiftright(h, 16)) * 73244475) % 2147483648)[0]"
+    return f"cast(transform(array({h}), h -> (h ^ shiftright(h, 16)) % {n})[0] as int)"
+
+
+def bootstrap(outcomes: DataFrame, keys: list[str], values: list[str], order: str, resamples: int) -> DataFrame:
+    """(keys, resample, values): means over n draws with replacement from a group's n rows, the same draws for each value.
+
+    A group of up to MOST_VALUES rows becomes one array, which every resample folds where it is: nothing is shuffled but
+    a resample's means. Beyond, draws are joined with rows by (group, position), which holds no group in one place."""
+    n = outcomes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    r = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    if n <= MOST_VALUES:
+        row = F.struct(*values)
+        pools = outcomes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, row.alias("row")))), lambda x: x["row"]).alias("__p"))
+        draws = pools.select(*keys, "__p", r.alias("resample")).repartition(outcomes.sparkSession.sparkContext.defaultParallelism, "resample")
+        zero = ", ".join(f"'{v}', 0D" for v in values)
+        add = ", ".join(f"'{v}', s.{v} + __p[i].{v}" for v in values)
+        sums = f"aggregate(transform(sequence(0, size(__p) - 1), j -> {resample_index('resample', 'j', 'size(__p)')}), named_struct({zero}), (s, i) -> named_struct({add}))"
+        return draws.select(*keys, "resample", "__p", F.expr(sums).alias("__s")).select(*keys, "resample", *[(F.col("__s")[v] / F.size("__p")).alias(v) for v in values])
     w = W.partitionBy(*keys)
     rows = outcomes.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    draws = rows.select(*keys, "__i", "__n").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.select(*keys, "resample", resample_index(seed, "resample", "__i", "__n").alias("__j"))
-    drawn = draws.join(rows.select(*keys, F.col("__i").alias("__j"), value), [*keys, "__j"])
-    return drawn.groupBy(*keys, "resample").agg(F.avg(value).alias("mean"))
+    draws = rows.select(*keys, "__i", "__n", r.alias("resample")).select(*keys, "resample", F.expr(resample_index("resample", "__i", "__n")).alias("__j"))
+    drawn = draws.join(rows.select(*keys, F.col("__i").alias("__j"), *values), [*keys, "__j"])
+    return drawn.groupBy(*keys, "resample").agg(*[F.avg(v).alias(v) for v in values])

@@ -9,10 +9,12 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import selection
 from ..registry import query
-from ..sources.tables import EVENT_CANDIDATES_SQL, event_candidates
-from .evidence import SUPPORT_SQL, supported
-from .moments import REACH, lexical
-from .selecting import SCALE, Z_SQL, _mmr, scored
+from ..functions import terms
+from ..functions.terms import MAX_DISPLAY_MOMENTS, NEAR_DUPLICATE_TRANSCRIPT, WHY_ANSWER_TERMS
+from ..sources.tables import EVENT_CANDIDATES_SQL, event_candidates, sql_jaccard, sql_list, sql_tokens
+from .evidence import SUPPORT_SQL, first_fit_sql, supported
+from .moments import LEX_SQL, REACH, lexical
+from .selecting import SCALE, Z_SQL, _mmr, mmr_sql, scored
 
 G = ["video_id"]
 
@@ -89,17 +91,41 @@ def k22(spark, sf_dir):
     return e.withColumn("place", F.row_number().over(w.orderBy(F.desc("value"), "event_id"))).filter("place <= 3").select("user_id", "event_id", "place")
 
 
-@query("k23_display_moments")
-def k23(spark, sf_dir):
-    """Turns in order of relevance, near duplicates of a shown one dropped, six at most: an ordered fold."""
-    rows = lexical(spark, sf_dir).withColumn("o", -F.col("relevance")).select("video_id", "o", "t", "id", "toks")
-    pool = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("o", "t", "id", "toks"))).alias("pool"))
-    fold = """aggregate(pool, cast(array() as array<struct<o: double, t: double, id: string, toks: array<string>>>), (acc, x) ->
-        if(size(acc) >= 6 or exists(acc, y -> size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= 0.6D), acc, array_append(acc, x)))"""
-    return pool.select("video_id", F.posexplode(F.expr(fold)).alias("place", "m")).select("video_id", "place", "m.id")
+WHY_SQL = "CASE WHEN starts_with(lower(trim(query)), 'why') THEN 0.25::DOUBLE * len(list_filter(" + sql_list(WHY_ANSWER_TERMS) + ", lambda k: contains(lower(text), k))) ELSE 0.0::DOUBLE END"
 
 
-@query("j4_claimed_context_audio")
+@query("k23_display_moments", f"""
+WITH RECURSIVE {LEX_SQL}, an AS (SELECT conv_id AS video_id, arg_max(text, (turn, text)) AS answer FROM conversations GROUP BY conv_id),
+m AS (SELECT lex.video_id, id, t, c, relevance, round(relevance + {WHY_SQL} + {sql_jaccard(sql_tokens('answer'), 'c')} + least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 80.0::DOUBLE, 1.0) * 0.1::DOUBLE, 9) AS quality
+  FROM lex JOIN an ON lex.video_id = an.video_id WHERE modality = 'audio' AND trim(text) <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY quality DESC, relevance DESC, t, id) AS i FROM m),
+r AS (SELECT DISTINCT video_id, 0::BIGINT AS i, []::STRUCT(t DOUBLE, id VARCHAR, c VARCHAR[])[] AS acc FROM o UNION ALL
+  SELECT r.video_id, o.i, CASE WHEN len(acc) >= 6 OR len(list_filter(acc, lambda y: {sql_jaccard('o.c', 'y.c')} >= 0.35)) > 0 THEN acc ELSE list_append(acc, {{'t': o.t, 'id': o.id, 'c': o.c}}) END FROM r JOIN o ON r.video_id = o.video_id AND o.i = r.i + 1),
+l AS (SELECT video_id, unnest(arg_max(acc, i)) AS m FROM r GROUP BY video_id)
+SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY m.t, m.id) - 1)::INT AS place, m.id AS id FROM l""")
+def k23(spark, sf_dir):
+    """Spoken moments by relevance, answer overlap, why terms and length; near duplicates of a shown one dropped, six at
+    most, shown in time order: an ordered fold."""
+    answer = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("video_id")).agg(F.max_by("text", F.struct("turn", "text")).alias("answer"))
+    rows = lexical(spark, sf_dir).filter((F.col("modality") == "audio") & (F.btrim("text") != "")).join(answer, "video_id")
+    why = F.when(F.startswith(F.lower(F.btrim("query")), F.lit("why")), 0.25 * T.count_contained("text", WHY_ANSWER_TERMS)).otherwise(0.0)
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    quality = F.round(F.col("relevance") + why + T.jaccard(T.tokens("answer"), F.col("toks")) + F.least(words / F.lit(80.0), F.lit(1.0)) * 0.1, 9)
+    rows = rows.select("video_id", (-quality).alias("q"), (-F.col("relevance")).alias("r"), "t", "id", "toks")
+    pool = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("q", "r", "t", "id", "toks"))).alias("pool"))
+    fold = f"""aggregate(pool, cast(array() as array<struct<t: double, id: string, toks: array<string>>>), (acc, x) ->
+        if(size(acc) >= {MAX_DISPLAY_MOMENTS} or exists(acc, y -> size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= {NEAR_DUPLICATE_TRANSCRIPT}D), acc, array_append(acc, named_struct('t', x.t, 'id', x.id, 'toks', x.toks))))"""
+    return pool.select("video_id", F.posexplode(F.array_sort(F.expr(fold))).alias("place", "m")).select("video_id", "place", "m.id")
+
+
+@query("j4_claimed_context_audio", f"""
+WITH RECURSIVE {EVENT_CANDIDATES_SQL}, v AS (SELECT * FROM (SELECT video_id, id, t, row_number() OVER (PARTITION BY video_id ORDER BY saliency DESC, t, id) AS r FROM cand WHERE modality = 'visual') WHERE r <= 8),
+a AS (SELECT video_id, list({{'t': t, 'id': id}}) AS audio FROM cand WHERE modality = 'audio' GROUP BY video_id),
+c AS (SELECT DISTINCT v.video_id, 0::BIGINT AS r, []::VARCHAR[] AS claimed, NULL::VARCHAR AS visual, NULL::VARCHAR AS audio_id FROM v JOIN a ON v.video_id = a.video_id UNION ALL
+  SELECT video_id, r, CASE WHEN best IS NULL THEN claimed ELSE list_append(claimed, best) END, id, best FROM (
+    SELECT c.video_id, v.r, claimed, v.id, list_sort(list_transform(list_filter(a.audio, lambda x: abs(x.t - v.t) <= {30 * SCALE}::DOUBLE AND NOT list_contains(claimed, x.id)), lambda x: {{'gap': abs(x.t - v.t), 'id': x.id}}))[1].id AS best
+    FROM c JOIN v ON c.video_id = v.video_id AND v.r = c.r + 1 JOIN a ON c.video_id = a.video_id))
+SELECT video_id, visual, audio_id AS audio FROM c WHERE audio_id IS NOT NULL""")
 def j4(spark, sf_dir):
     """The eight most salient visuals in turn claim their nearest unclaimed audio within the radius: an ordered fold."""
     c = event_candidates(spark, sf_dir)
@@ -148,13 +174,17 @@ def e8(spark, sf_dir):
     return k.join(gone, ["video_id", "r"], "left_anti").select("video_id", "id").unionByName(best)
 
 
-@query("e15_finalisation")
+@query("e15_finalisation", f"""
+WITH RECURSIVE {SUPPORT_SQL}, pb AS (SELECT *, least(4, CASE WHEN vt OR ms THEN 2 ELSE 4 END, CASE WHEN tq THEN 1 ELSE 4 END) AS hi, CASE WHEN vt OR ms OR tq THEN 1 ELSE 3 END AS lo, count(*) OVER (PARTITION BY video_id) AS n,
+  row_number() OVER (PARTITION BY video_id ORDER BY score DESC, relevance DESC, t, id) AS pr, score >= greatest(0.05::DOUBLE, max(score) OVER (PARTITION BY video_id) * 0.55::DOUBLE) AS ok FROM e6),
+pk AS (SELECT *, least(count(*) FILTER (WHERE ok) OVER (PARTITION BY video_id), hi) AS k FROM pb), kept AS (SELECT * FROM pk WHERE n <= hi OR CASE WHEN k < lo THEN pr <= lo ELSE pr <= k END),
+{first_fit_sql('kept')}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cluster ORDER BY score DESC, relevance DESC, t, id) AS br FROM fit) WHERE br = 1),
+g AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS bn, count(*) FILTER (WHERE grounding_label <> 'weak') OVER (PARTITION BY video_id) AS bg FROM b)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, id) AS rank, id, grounding_label FROM g WHERE bn <= 1 OR bg < 1 OR bg = bn OR grounding_label <> 'weak'""")
 def e15(spark, sf_dir):
     """Support, pruning to the answer, first-fit consolidation, grounding: one chain."""
-    from .evidence import ALIKE
-
     s = E.prune(supported(spark, sf_dir), G).withColumn("toks", T.tokens("text")).withColumn("stop", F.col("start") + 30.0)
-    c = E.first_fit(s.select("video_id", "id", "t", "modality", "start", "stop", "toks", "score", "relevance", "grounding_label"), G, ["t", "id"], ALIKE)
+    c = E.first_fit(s.select("video_id", "id", "t", "modality", "start", "stop", "toks", "score", "relevance", "grounding_label"), G, ["t", "id"], E.ALIKE)
     c = c.withColumn("r", F.row_number().over(W.partitionBy("video_id", "cluster").orderBy(F.desc("score"), F.desc("relevance"), "t", "id"))).filter("r = 1")
     return E.drop_weak(c, G).withColumn("rank", F.row_number().over(W.partitionBy("video_id").orderBy("t", "id"))).select("video_id", "rank", "id", "grounding_label")
 
@@ -173,13 +203,19 @@ def v9(spark, sf_dir):
     return out.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("video_id").alias("videos"))
 
 
-@query("k2_redundant_neighbors")
+def _k2_sql() -> str:
+    k, lam, sigma = terms.PRESETS["balanced"]
+    return f"""WITH RECURSIVE {LEX_SQL}, kz AS (SELECT video_id, id, t, modality, c, NULL::DOUBLE AS anchor_t, CASE WHEN min(relevance) OVER w = max(relevance) OVER w THEN 0.0::DOUBLE ELSE round((relevance - avg(relevance) OVER w) / stddev_pop(relevance) OVER w, 9) + 0.0 END AS z FROM lex WINDOW w AS (PARTITION BY video_id, modality)),
+{mmr_sql("kz", k, lam, sigma * 5.0, drop=True)} SELECT video_id, id, rank, round(mmr, 6) AS mmr FROM rec WHERE rn = 1"""
+
+
+@query("k2_redundant_neighbors", _k2_sql())
 def k2(spark, sf_dir):
     """Selection over turns, where audio neighbours with much the same words are dropped after each pick."""
     from ..operators.scoring import standardize
 
     z = standardize(lexical(spark, sf_dir), "relevance", ["video_id", "modality"])
-    return selection.mmr_select(z, G, "balanced", 3.0).select("video_id", "id", "rank", F.round("mmr", 6).alias("mmr"))
+    return selection.mmr_select(z, G, "balanced", 5.0).select("video_id", "id", "rank", F.round("mmr", 6).alias("mmr"))
 
 
 @query("r5_daily_cap_refund", """

@@ -290,20 +290,29 @@ def a25(spark, sf_dir):
 
 
 OUTCOMES_SQL = "oc AS (SELECT doc_id, quality::DOUBLE AS a, (1 - toxic)::DOUBLE AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels)"
-RESAMPLES = 1000
+RESAMPLES = 10_000
 
 
 def outcomes(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(F.lit("quality-clean").alias("pair"), "doc_id", F.col("quality").cast("double").alias("a"), (1 - F.col("toxic")).cast("double").alias("b")).withColumn("d", F.col("a") - F.col("b"))
 
 
+def _interval_sql(x: str) -> str:
+    return f"round(avg({x}), 6) AS {x}_mean, round(quantile_cont({x}, 0.025), 6) AS {x}_low, round(quantile_cont({x}, 0.975), 6) AS {x}_high"
+
+
 @query("v10_paired_bootstrap", f"""
-WITH {OUTCOMES_SQL}, dr AS (SELECT r, ('0x' || substr(md5('1-' || r || '-' || i), 1, 8))::BIGINT % n AS j FROM oc, range(0, {RESAMPLES}) g(r)), m AS (SELECT r, avg(a - b) AS mean FROM dr JOIN oc ON dr.j = oc.i GROUP BY r)
-SELECT 'quality-clean' AS pair, round((SELECT avg(a - b) FROM oc), 6) AS point, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
+WITH {OUTCOMES_SQL}, h0 AS (SELECT r, n, (r * 1000003 + i) % 2147483648 AS h FROM oc, range(0, {RESAMPLES}) g(r)), h1 AS (SELECT r, n, (xor(h, h >> 16) * 73244475) % 2147483648 AS h FROM h0), h2 AS (SELECT r, n, (xor(h, h >> 16) * 73244475) % 2147483648 AS h FROM h1),
+m AS (SELECT r, sum(oc.a) / any_value(oc.n) AS a, sum(oc.b) / any_value(oc.n) AS b, sum(oc.a - oc.b) / any_value(oc.n) AS d FROM h2 JOIN oc ON xor(h, h >> 16) % h2.n = oc.i GROUP BY r)
+SELECT 'quality-clean' AS pair, {", ".join(_interval_sql(x) for x in "abd")}, (SELECT round(avg(a - b), 6) FROM oc) AS point, round(quantile_cont(d, 0.025), 6) > -0.1 AS non_inferior FROM m""")
 def v10(spark, sf_dir):
+    """Both conditions' and their difference's mean and interval over the same draws; not inferior if the difference's
+    interval lies above -0.1."""
     o = outcomes(spark, sf_dir)
-    m = S.bootstrap(o, ["pair"], "d", "doc_id", RESAMPLES).groupBy("pair").agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))
-    return o.groupBy("pair").agg(F.round(F.avg("d"), 6).alias("point")).join(m, "pair")
+    m = S.bootstrap(o, ["pair"], ["a", "b", "d"], "doc_id", RESAMPLES)
+    ends = {x: F.percentile(x, F.array(F.lit(0.025), F.lit(0.975))) for x in "abd"}
+    out = m.groupBy("pair").agg(*[c for x in "abd" for c in (F.round(F.avg(x), 6).alias(f"{x}_mean"), F.round(ends[x][0], 6).alias(f"{x}_low"), F.round(ends[x][1], 6).alias(f"{x}_high"))])
+    return out.join(o.groupBy("pair").agg(F.round(F.avg("d"), 6).alias("point")), "pair").withColumn("non_inferior", F.col("d_low") > -0.1)
 
 
 @query("v11_standard_error", f"WITH {OUTCOMES_SQL} SELECT round(sqrt(avg(b) * (1 - avg(b)) / count(*)), 6) AS standard_error, round(avg((a = b)::INT), 6) AS agreement, count(*) AS n FROM oc")
@@ -372,7 +381,13 @@ def w9(spark, sf_dir):
     return e.filter(~F.col("event_type").eqNullSafe(F.col("pt")) | ~F.col("high").eqNullSafe(F.col("pv"))).select("event_id", "user_id")
 
 
-@query("r1_rate_limit_batch")
+@query("r1_rate_limit_batch", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::DOUBLE[] AS seen, NULL::DOUBLE AS wait FROM e UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN wait > 0 THEN seen ELSE list_append(seen, s) END, wait FROM (
+    SELECT r.user_id, e.i, e.event_id, e.s, seen, greatest(CASE WHEN len(seen) >= 3 AND seen[len(seen) - 2] > e.s - 3600 THEN seen[len(seen) - 2] + 3600 - e.s ELSE 0 END, CASE WHEN len(seen) >= 10 AND seen[len(seen) - 9] > e.s - 86400 THEN seen[len(seen) - 9] + 86400 - e.s ELSE 0 END) AS wait
+    FROM r JOIN e ON r.user_id = e.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, CASE WHEN wait > 0 THEN greatest(1.0::DOUBLE, ceil(wait)) END AS wait FROM r WHERE i > 0""")
 def r1(spark, sf_dir):
     """At most 3 events an hour and 10 a day for each user; refused events are not recorded (an ordered fold)."""
     from ..streaming.limits import decide
@@ -381,6 +396,19 @@ def r1(spark, sf_dir):
     return decide(e, "user_id", "s", "event_id", [(3, 3600.0), (10, 86400.0)])
 
 
+@query("r6_concurrency_cap", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS a, epoch_us(ts) / 1e6::DOUBLE + value * 3600 AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::DOUBLE[] AS active, NULL::BOOLEAN AS admitted FROM e UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN len(now) < 2 THEN list_append(now, z) ELSE now END, len(now) < 2 FROM (SELECT r.user_id, e.i, e.event_id, e.z, list_filter(active, lambda x: x > e.a) AS now FROM r JOIN e ON r.user_id = e.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, admitted FROM r WHERE i > 0""")
+def r6(spark, sf_dir):
+    """Two active jobs a user (a job lasts as many hours as its value); more are refused."""
+    from ..streaming.limits import active_cap
+
+    e = table(spark, sf_dir, "events").withColumn("a", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    return active_cap(e.withColumn("z", F.col("a") + F.col("value") * 3600), "user_id", "a", "z", "event_id")
+
+
 @query("r2_limit_table", "SELECT * FROM (VALUES ('general', 600, 60.0::DOUBLE), ('ingest', 3, 3600.0), ('login', 5, 60.0), ('login', 20, 3600.0), ('query', 10, 60.0)) t(kind, count, seconds)")
 def r2(spark, sf_dir):
     from ..streaming.limits import LIMITS

@@ -80,25 +80,35 @@ def e4(spark, sf_dir):
 
 @query("e5_prune_to_citations", f"""
 WITH {SUPPORT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, id) AS rank, max(score) OVER (PARTITION BY video_id) AS best FROM e6),
-c AS (SELECT *, rank % 2 = 1 AS cited FROM r), f AS (SELECT *, cited AND score >= greatest(0.035::DOUBLE, 0.35::DOUBLE * best) AS good FROM c), n AS (SELECT *, count(*) FILTER (WHERE good) OVER (PARTITION BY video_id) AS n_good FROM f)
-SELECT video_id, id FROM n WHERE good OR (n_good = 0 AND cited)""")
+c AS (SELECT *, rank % 3 <> 0 AS cited, score >= greatest(0.035::DOUBLE, 0.35::DOUBLE * best) AS fine FROM r),
+n AS (SELECT *, count(*) FILTER (WHERE cited) OVER w AS n_cited, count(*) FILTER (WHERE cited AND fine) OVER w AS n_good, count(*) FILTER (WHERE fine AND NOT (cited AND fine)) OVER w AS n_other,
+  row_number() OVER (PARTITION BY video_id, fine AND NOT (cited AND fine) ORDER BY score DESC, relevance DESC, t, id) AS place FROM c WINDOW w AS (PARTITION BY video_id))
+SELECT video_id, id FROM n WHERE CASE WHEN n_good + n_other < n_cited THEN cited ELSE fine AND (cited OR place <= n_cited - n_good) END""")
 def e5(spark, sf_dir):
-    """Odd ranks are cited; cited rows stay that pass the citation threshold, all cited ones if none does."""
+    """Two of three ranks are cited. Cited rows stay that pass the citation threshold; the best others above it fill up
+    to as many as were cited; if those do not suffice, all cited rows stay."""
     w = W.partitionBy("video_id")
-    s = supported(spark, sf_dir).withColumn("rank", F.row_number().over(w.orderBy("t", "id"))).withColumn("best", F.max("score").over(w))
-    cited = F.col("rank") % 2 == 1
-    s = s.withColumn("good", cited & (F.col("score") >= F.greatest(F.lit(0.035), 0.35 * F.col("best")))).withColumn("n_good", F.count_if("good").over(w))
-    return s.filter(F.col("good") | ((F.col("n_good") == 0) & (F.col("rank") % 2 == 1))).select("video_id", "id")
+    s = supported(spark, sf_dir).withColumn("rank", F.row_number().over(w.orderBy("t", "id"))).withColumn("cited", F.col("rank") % 3 != 0)
+    return E.prune_to_citations(s, G).select("video_id", "id")
 
 
-ALIKE = "size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= 0.12D or (x.modality = y.modality and coalesce(try_divide(greatest(least(x.stop, y.stop) - greatest(x.start, y.start), 0D), least(x.stop - x.start, y.stop - y.start)), 0D) >= 0.5D)"
+def first_fit_sql(source: str) -> str:
+    """CTE ``fit``: the rows of ``source`` with ``cluster``, by a recursion over a group's rows in time order."""
+    alike = f"({sql_jaccard('x.c1', 'y.c1')} >= 0.6 OR (x.modality = y.modality AND greatest(least(x.turn, y.turn) + 1 - greatest(x.turn, y.turn), 0) >= 0.5))"
+    return f"""
+  fo AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, id) AS fi FROM {source}),
+  fr AS (SELECT DISTINCT video_id, 0::BIGINT AS fi, []::STRUCT(cluster INTEGER, c1 VARCHAR[], modality VARCHAR, turn BIGINT)[] AS acc, NULL::INTEGER AS cluster FROM fo UNION ALL
+    SELECT video_id, fi, list_append(acc, {{'cluster': k, 'c1': c1, 'modality': modality, 'turn': turn}}), k FROM (
+      SELECT fr.video_id, x.fi, acc, x.c1, x.modality, x.turn, coalesce(list_min(list_transform(list_filter(acc, lambda y: {alike}), lambda y: y.cluster)), list_max(list_transform(acc, lambda y: y.cluster)) + 1, 0)::INTEGER AS k
+      FROM fr JOIN fo x ON fr.video_id = x.video_id AND x.fi = fr.fi + 1)),
+  fit AS (SELECT fo.*, fr.cluster FROM fo JOIN fr ON fo.video_id = fr.video_id AND fo.fi = fr.fi)"""
 
 
-@query("e6_consolidate")
+@query("e6_consolidate", f"WITH RECURSIVE {SUPPORT_SQL}, {first_fit_sql('e6')}, n AS (SELECT *, count(*) OVER (PARTITION BY video_id, cluster) AS n, row_number() OVER (PARTITION BY video_id, cluster ORDER BY score DESC, relevance DESC, t, id) AS r FROM fit) SELECT video_id, cluster, id, n FROM n WHERE r = 1")
 def e6(spark, sf_dir):
     """First-fit clusters by wording or overlapping spans; the strongest of each stays."""
     s = supported(spark, sf_dir).withColumn("toks", T.tokens("text")).withColumn("stop", F.col("start") + 30.0).select("video_id", "id", "t", "modality", "start", "stop", "toks", "score", "relevance")
-    c = E.first_fit(s, G, ["t", "id"], ALIKE)
+    c = E.first_fit(s, G, ["t", "id"], E.ALIKE)
     w = W.partitionBy("video_id", "cluster")
     return c.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), F.desc("relevance"), "t", "id"))).filter("r = 1").select("video_id", "cluster", "id", "n")
 
@@ -189,13 +199,13 @@ def e14(spark, sf_dir):
 LABELS = [("pricing concern", ["and", "the", "cost", "too much"]), ("new capability", ["add", "der", "in"]), ("timing", ["la", "de", "later"])]
 
 
-def _label_sql():
+def _label_sql(more=""):
     out = []
     for name, kw in LABELS:
         own = [w for w in name.split() if w not in SENTIMENT_STOP]
         keys = sorted({*kw, *own})
         out.append(f"{{'score': round(greatest(len(list_intersect({sql_list(own)}, w))::DOUBLE / {len(own)}, len(list_filter({sql_list(keys)}, lambda k: CASE WHEN contains(k, ' ') THEN contains(l, k) ELSE list_contains(w, k) END))::DOUBLE / {len(keys)}), 9), 'label': '{name}'}}")
-    return f"lb AS (SELECT video_id, id, turn, modality, t, start, relevance, text, greatest({', '.join(out)}) AS b FROM (SELECT *, lower(text) AS l, list_filter(list_distinct({sql_words('text')}), lambda x: NOT list_contains({sql_list(SENTIMENT_STOP)}, x)) AS w FROM lex))"
+    return f"lb AS (SELECT video_id, id, turn, modality, t, start, relevance, text{more}, greatest({', '.join(out)}) AS b FROM (SELECT *, lower(text) AS l, list_filter(list_distinct({sql_words('text')}), lambda x: NOT list_contains({sql_list(SENTIMENT_STOP)}, x)) AS w FROM lex))"
 
 
 def labelled(spark, sf_dir):
@@ -220,7 +230,18 @@ def l2(spark, sf_dir):
 DUPLICATE = "x.label = y.label and (coalesce(try_divide(greatest(least(x.stop, y.stop) - greatest(x.start, y.start), 0D), least(x.stop - x.start, y.stop - y.start)), 0D) >= 0.5D or size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= 0.72D)"
 
 
-@query("l3_deduplicate_items")
+def _l3_sql() -> str:
+    same = f"acc[k].label = x.label AND (acc[k].turn = x.turn OR {sql_jaccard('acc[k].c', 'x.c')} >= 0.72)"
+    return f"""WITH RECURSIVE {LEX_SQL}, {_label_sql(', c')}, x AS (SELECT video_id, id, b.label AS label, turn, c, least(greatest(relevance, b.score), 1.0::DOUBLE) AS confidence FROM lb WHERE b.score >= 0.2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY turn, confidence DESC, id) AS i FROM x),
+  r AS (SELECT DISTINCT video_id, 0::BIGINT AS i, []::STRUCT(id VARCHAR, label VARCHAR, turn BIGINT, c VARCHAR[], confidence DOUBLE)[] AS acc FROM o UNION ALL
+    SELECT video_id, i, CASE WHEN j IS NULL THEN list_append(acc, me) WHEN me.confidence > acc[j].confidence THEN list_concat(list_append(acc[:j - 1], me), acc[j + 1:]) ELSE acc END FROM (
+      SELECT r.video_id, x.i, acc, {{'id': x.id, 'label': x.label, 'turn': x.turn, 'c': x.c, 'confidence': x.confidence}} AS me, list_filter(range(1, len(acc) + 1), lambda k: {same})[1] AS j FROM r JOIN o x ON r.video_id = x.video_id AND x.i = r.i + 1)),
+  l AS (SELECT video_id, unnest(arg_max(acc, i)) AS m FROM r GROUP BY video_id)
+SELECT video_id, m.id AS id, m.label AS label, round(m.confidence, 6) AS confidence FROM l"""
+
+
+@query("l3_deduplicate_items", _l3_sql())
 def l3(spark, sf_dir):
     """Items in (start, rank, confidence) order; a duplicate replaces the kept one if it is more confident, and later
     items are compared with what then stands."""

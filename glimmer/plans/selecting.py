@@ -10,7 +10,7 @@ from ..functions import terms
 from ..functions.text import time_kernel
 from ..operators import scoring, selection
 from ..registry import query
-from ..sources.tables import EVENT_CANDIDATES_SQL, event_candidates
+from ..sources.tables import EVENT_CANDIDATES_SQL, event_candidates, sql_jaccard
 
 #: Media kernels are in seconds; the events span a month, so they are widened to hours.
 SCALE = 3600.0
@@ -69,21 +69,27 @@ def a2(spark, sf_dir):
     return scoring.best_of_duplicates(e, ["user_id", "event_type"], "value", ["event_id"]).select("user_id", "event_type", "value", "event_id")
 
 
-def mmr_sql(source: str, k: int, lam: float, sigma: float, prefix: str = "") -> str:
-    """CTEs ``rec`` (rn = 1 rows are the picks) over ``source``(video_id, id, t, modality, z, anchor_t)."""
+def mmr_sql(source: str, k: int, lam: float, sigma: float, prefix: str = "", drop: bool = False) -> str:
+    """CTEs ``rec`` (rn = 1 rows are the picks) over ``source``(video_id, id, t, modality, z, anchor_t), with ``drop``
+    also c, its tokens: redundant audio neighbours of a pick then leave the pool."""
     ker = f"exp(-((r.t - p.t) * (r.t - p.t)) / ({sigma}::DOUBLE * {sigma}::DOUBLE))"
     pair = "coalesce((r.modality = 'visual' AND r.anchor_t = p.t) OR (p.modality = 'visual' AND p.anchor_t = r.t), false)"
     sim = f"CASE WHEN r.modality = p.modality THEN {ker} WHEN {pair} THEN 0.0::DOUBLE ELSE 0.15::DOUBLE * {ker} END"
+    own, theirs, near = "", "", ""
+    if drop:
+        own, theirs = ", c", ", r.c"
+        near = f""" AND NOT (r.modality = 'audio' AND p.modality = 'audio' AND abs(r.t - p.t) <= {terms.NEIGHBOR_GAP_SIGMAS}::DOUBLE * {sigma}::DOUBLE
+        AND least(len(r.c), len(p.c)) >= {terms.NEIGHBOR_MIN_TOKENS} AND {sql_jaccard('r.c', 'p.c')} >= {terms.NEIGHBOR_SIMILARITY}::DOUBLE)"""
     return f"""
   {prefix}rec AS (
-    SELECT video_id, 1 AS rank, id, t, modality, z, anchor_t, -1.0::DOUBLE AS sim, z AS mmr, row_number() OVER (PARTITION BY video_id ORDER BY z DESC, t, id) AS rn FROM {source}
+    SELECT video_id, 1 AS rank, id, t, modality, z, anchor_t{own}, -1.0::DOUBLE AS sim, z AS mmr, row_number() OVER (PARTITION BY video_id ORDER BY z DESC, t, id) AS rn FROM {source}
     UNION ALL
-    SELECT video_id, rank + 1, id, t, modality, z, anchor_t, sim, {lam}::DOUBLE * z - (1.0::DOUBLE - {lam}::DOUBLE) * sim AS mmr,
+    SELECT video_id, rank + 1, id, t, modality, z, anchor_t{own}, sim, {lam}::DOUBLE * z - (1.0::DOUBLE - {lam}::DOUBLE) * sim AS mmr,
            row_number() OVER (PARTITION BY video_id ORDER BY {lam}::DOUBLE * z - (1.0::DOUBLE - {lam}::DOUBLE) * sim DESC, t, id) AS rn
     FROM (
-      SELECT r.video_id, r.rank, r.id, r.t, r.modality, r.z, r.anchor_t, greatest(r.sim, {sim}) AS sim
+      SELECT r.video_id, r.rank, r.id, r.t, r.modality, r.z, r.anchor_t{theirs}, greatest(r.sim, {sim}) AS sim
       FROM {prefix}rec r JOIN {prefix}rec p ON r.video_id = p.video_id AND r.rank = p.rank
-      WHERE p.rn = 1 AND r.rn > 1 AND r.rank < {k}))"""
+      WHERE p.rn = 1 AND r.rn > 1 AND r.rank < {k}{near}))"""
 
 
 def _mmr(preset: str, source: str = "zs0") -> str:
@@ -149,10 +155,23 @@ def k5(spark, sf_dir):
     return selection.escalation(rows, GROUP)
 
 
-@query("k4_budget_ladder")
+def _ladder_sql() -> str:
+    stages = [f"""{mmr_sql("boosted", k, lam, sigma * SCALE, "l" + name[0])},
+  l{name[0]}s AS (SELECT r.video_id, r.modality, b.relevance, b.anchor_score FROM l{name[0]}rec r JOIN boosted b ON r.video_id = b.video_id AND r.id = b.id WHERE rn = 1),
+  l{name[0]}e AS (SELECT video_id, CASE WHEN max(relevance) < 0.15 THEN 'low best relevance at aggressive budget'
+      WHEN bool_or(modality = 'visual' AND anchor_score >= 0.25) AND count(*) FILTER (WHERE modality = 'audio') < 2 AND count(*) FILTER (WHERE modality = 'visual') >= 2 THEN 'aggressive budget underrepresented source audio evidence'
+      WHEN count(*) > 1 AND count(DISTINCT modality) = 1 THEN 'aggressive budget selected only one modality' END AS reason FROM l{name[0]}s GROUP BY video_id)""" for name, (k, lam, sigma) in terms.PRESETS.items()]
+    return f"""WITH RECURSIVE {Z_SQL}, {", ".join(stages)},
+  w AS (SELECT a.video_id, a.reason AS first, b.reason AS second FROM lae a JOIN lbe b ON a.video_id = b.video_id)
+SELECT r.video_id, id, rank, 'aggressive' AS preset, []::VARCHAR[] AS reasons FROM larec r JOIN w ON r.video_id = w.video_id WHERE rn = 1 AND first IS NULL
+UNION ALL SELECT r.video_id, id, rank, 'balanced', [first] FROM lbrec r JOIN w ON r.video_id = w.video_id WHERE rn = 1 AND first IS NOT NULL AND second IS NULL
+UNION ALL SELECT r.video_id, id, rank, 'conservative', [first, second] FROM lcrec r JOIN w ON r.video_id = w.video_id WHERE rn = 1 AND first IS NOT NULL AND second IS NOT NULL"""
+
+
+@query("k4_budget_ladder", _ladder_sql())
 def k4(spark, sf_dir):
     """Each video at the first of the three budgets whose evidence does not look weak, else at the largest."""
-    b = anchored(spark, sf_dir).cache()
+    b = anchored(spark, sf_dir)
     out, weak = None, b.select("video_id").distinct().withColumn("reasons", F.array().cast("array<string>"))
     for i, preset in enumerate(terms.PRESETS):
         s = selection.mmr_select(b.join(weak.select("video_id"), "video_id"), GROUP, preset, SCALE, drop_neighbors=False)

@@ -206,12 +206,16 @@ c AS (SELECT doc_id, term, count(*) AS n FROM f WHERE NOT list_contains({sql_lis
 r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term))::INT AS rank FROM c)
 SELECT doc_id, term, n, rank FROM r WHERE rank <= 16""")
 def t19(spark, sf_dir):
-    raw = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-zA-Z][a-zA-Z0-9'-]{2,})"), F.lit(1)))
-    w = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).withColumn("term", F.btrim("raw", F.lit("'")))
-    w = w.replace(KEYWORD_FORMS, subset=["term"])
-    ok = ~F.col("term").isin(KEYWORD_STOPWORDS) & ~F.col("term").rlike(r"[0-9'\-]") & (F.length("term") <= 24)
-    c = w.filter(ok).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "term"))).filter("rank <= 16")
+    """The 16 most frequent terms of each document, counted inside its row: sorted terms, the lengths of their runs."""
+    raw = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-zA-Z][a-zA-Z0-9'-]{2,})"), F.lit(1)), lambda x: F.btrim(x, F.lit("'")))
+    forms = F.create_map(*[F.lit(x) for pair in KEYWORD_FORMS.items() for x in pair])
+    one = F.transform(raw, lambda x: F.coalesce(F.try_element_at(forms, x), x))
+    ok = F.filter(one, lambda x: ~x.isin(KEYWORD_STOPWORDS) & ~x.rlike(r"[0-9'\-]") & (F.length(x) <= 24))
+    s = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(ok).alias("s")).filter(F.size("s") > 0)
+    s = s.withColumn("at", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"))
+    best = F.expr("slice(array_sort(zip_with(at, slice(concat(at, array(size(s))), 2, size(at)), (a, b) -> named_struct('o', a - b, 'term', s[a]))), 1, 16)")
+    rows = s.select("doc_id", F.posexplode(best).alias("i", "b"))
+    return rows.select("doc_id", "b.term", (-F.col("b.o")).cast("long").alias("n"), (F.col("i") + 1).alias("rank"))
 
 
 @query("t20_term_recall", f"""
