@@ -70,3 +70,56 @@ def subprocess_answers(df: DataFrame, command: list[str], request: str = "reques
             p.stdin.close()
 
     return df.mapInPandas(task, schema)
+
+
+def answerer(load: Callable[[], Callable[[str, list[str]], str]]):
+    """Answer gateway: a column function (question, evidence texts) -> answer from a model loaded once a worker. Rows
+    without a question or evidence have no answer."""
+
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for questions, evidence in batches:
+            yield pd.Series([model(q, list(e)) if q and e is not None and len(e) else None for q, e in zip(questions, evidence)], dtype=object)
+
+    return answer
+
+
+def echo(question: str, evidence: list[str]) -> str:
+    """The gateway without a model: the evidence itself."""
+    return " ".join(evidence)
+
+
+#: A candidate extractor: ingested rows in, candidates (video_id, id, modality, t, text) out.
+Extractor = Callable[[DataFrame], DataFrame]
+CANDIDATE_COLUMNS = ["video_id", "id", "modality", "t", "text"]
+
+
+def frame_candidates(frames: DataFrame) -> DataFrame:
+    """Visual candidates of (video_id, frame_index, timestamp_seconds, ocr_text)."""
+    text = F.when(F.btrim(F.coalesce("ocr_text", F.lit(""))) != "", F.concat(F.lit("On-screen text near "), F.format_string("%.0f", "timestamp_seconds"), F.lit(" seconds: "), F.col("ocr_text")))
+    placeholder = F.concat(F.lit("Visual frame sampled at "), F.format_string("%.2f", "timestamp_seconds"), F.lit(" seconds"))
+    return frames.select("video_id", F.concat(F.lit("visual-"), F.col("frame_index").cast("string")).alias("id"), F.lit("visual").alias("modality"), F.col("timestamp_seconds").alias("t"), F.coalesce(text, placeholder).alias("text"))
+
+
+def window_candidates(windows: DataFrame) -> DataFrame:
+    """Audio candidates of (video_id, window_index, start_seconds, end_seconds, transcript_text)."""
+    return windows.select("video_id", F.concat(F.lit("audio-"), F.col("window_index").cast("string")).alias("id"), F.lit("audio").alias("modality"), ((F.col("start_seconds") + F.col("end_seconds")) / 2).alias("t"), F.coalesce("transcript_text", F.lit("")).alias("text"))
+
+
+def extract(sources: list[tuple[DataFrame, Extractor]]) -> DataFrame:
+    """All extractors' candidates as one table."""
+    out = None
+    for rows, extractor in sources:
+        part = extractor(rows).select(*CANDIDATE_COLUMNS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def semantic_scores(candidates: DataFrame, vector: str = "vector", query_vector: str = "query_vector") -> DataFrame:
+    """Semantic text scorer: cosine of each candidate's text vector and its question's, written back to saliency; blank
+    texts (no vector) score 0."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    a, b = F.col(vector), F.col(query_vector)
+    cosine = F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    return candidates.withColumn("saliency", F.when(F.btrim(F.coalesce("text", F.lit(""))) == "", 0.0).otherwise(F.greatest(F.lit(0.0), cosine))).drop(vector)

@@ -70,3 +70,37 @@ SCENE_SIMILARITY = 0.82
 WHY_ANSWER_TERMS = "afraid because chased chasing fear freaked nightmare nightmares reason scared".split()
 MAX_DISPLAY_MOMENTS = 6
 NEAR_DUPLICATE_TRANSCRIPT = 0.35
+
+GLOBAL_ADMIN_TERMS = "assignment course evaluation exercise lecture objectives project schedule seminar tuesday week".split()
+#: Technical words and what they are called as topics.
+GLOBAL_TOPIC_LABELS = {
+    "architecture": "architecture", "behavior": "behavior", "biomechanics": "biomechanics", "bio": "bio-inspired robotics", "biology": "biology", "control": "control", "data": "data", "design": "design tradeoffs",
+    "efficiency": "efficiency", "feedback": "feedback", "intelligence": "intelligence", "legged": "legged locomotion", "learning": "learning", "locomotion": "locomotion", "machine": "machines", "machines": "machines",
+    "model": "models", "motor": "motor control", "power": "power", "robot": "robotics", "robotics": "robotics", "sensor": "sensors", "sensors": "sensors", "system": "systems", "tradeoffs": "design tradeoffs", "velocity": "velocity",
+}
+GLOBAL_TOPIC_STOPWORDS = "about all also basically course courses covered covers final have lecture main many overview people place project research section seminar thing throughout topic topics video week weeks".split()
+GLOBAL_FILLER_PHRASES = ["a lot of", "and then", "basically", "kind of", "so this is", "the interesting thing", "this role", "we have"]
+GLOBAL_NOISE_PHRASES = ["interesting thing", "this role", "in the place", "in their library manner"]
+VISUAL_STOPWORDS = "a an and at in is me of on screen show shown the to video what when where".split()
+GLOBAL_TOPIC_OVERLAP = 0.65
+GLOBAL_TOPIC_MIN_SCORE = 1.2
+MAX_GLOBAL_TOPICS = 3
+
+#: Preset -> (schema, priority, words of a task that suggest it).
+EXTRACTION_PRESETS = {
+    "customer-objections": ("customer_objections", 5, ["objection", "complain", "complaint", "concern", "blocker", "expensive", "pricing", "price", "too much", "security", "trust", "implementation"]),
+    "feature-requests": ("feature_requests", 4, ["feature request", "requested feature", "ask for", "asked for", "need", "wish", "missing feature", "integration request", "workflow", "improvement", "automation", "reporting"]),
+    "meeting-decisions": ("meeting_decisions", 3, ["decision", "decide", "action item", "follow up", "follow-up", "owner", "deadline", "due date", "open question", "risk", "assigned"]),
+    "product-announcements": ("product_announcements", 2, ["announcement", "announce", "launch", "released", "new product", "new feature", "availability", "roadmap", "integration", "keynote", "demo"]),
+    "sales-feedback": ("sales_feedback", 1, ["sales", "feedback", "demo feedback", "product mention", "positive reaction", "negative reaction", "buyer", "prospect", "customer reaction"]),
+}
+DEFAULT_PRESET = "sales-feedback"
+
+#: Label quality: codes and their limits.
+MAX_EXTRACTION_RATE = 0.9
+MAX_DUPLICATE_RATE = 0.25
+MAX_WEAK_FIELD_RATE = 0.35
+MIN_TIMESTAMP_COVERAGE = 0.95
+MIN_AVERAGE_CONFIDENCE = 0.45
+DUPLICATE_ITEM_SIMILARITY = 0.72
+TRANSCRIPT_QUALITY = ["fast", "balanced", "accurate"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from ..functions import text as T
 
 #: Thresholds of citations and of redundant evidence.
@@ -131,6 +132,46 @@ def label_scores(df: DataFrame, labels: list[tuple[str, list[str]]]) -> DataFram
     return df.withColumn("__b", best).withColumns({"label": F.col("__b.label"), "label_score": F.col("__b.score")}).drop("__b")
 
 
+def label_quality(cases: DataFrame, fields: int = 2) -> DataFrame:
+    """(video_id, n, xs: items as structs turn, label, toks, conf, missing, a, z) -> rates and warning codes of each case."""
+    k = F.size("xs")
+    alike = f"""size(filter(xs, x -> exists(xs, y -> y.turn < x.turn and y.label = x.label
+        and size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= {terms.DUPLICATE_ITEM_SIMILARITY}D)))"""
+    total = lambda f: F.aggregate(F.transform("xs", f), F.lit(0.0), lambda s, x: s + x)
+    r = cases.select(
+        "video_id", "n", k.cast("long").alias("k"), (k / F.col("n")).alias("rate"), F.when(k < 2, 0.0).otherwise(F.try_divide(F.expr(alike), k)).alias("dup"),
+        F.coalesce(F.try_divide(total(lambda x: x["missing"].cast("double")), k * fields), F.lit(0.0)).alias("weak"), F.coalesce(F.try_divide(total(lambda x: (x["z"] > x["a"]).cast("double")), k), F.lit(0.0)).alias("covered"),
+        F.coalesce(F.try_divide(total(lambda x: x["conf"]), k), F.lit(0.0)).alias("conf"),
+    )
+    some = F.col("k") > 0
+    rules = [
+        ("no_items", (F.col("n") > 0) & ~some), ("over_extraction", (F.col("rate") > terms.MAX_EXTRACTION_RATE) & (F.col("n") >= 3)), ("high_duplicate_rate", F.col("dup") > terms.MAX_DUPLICATE_RATE),
+        ("weak_fields", F.col("weak") > terms.MAX_WEAK_FIELD_RATE), ("weak_timestamps", some & (F.col("covered") < terms.MIN_TIMESTAMP_COVERAGE)), ("low_confidence", some & (F.col("conf") < terms.MIN_AVERAGE_CONFIDENCE)),
+    ]
+    codes = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in rules]))
+    names = {"rate": "extraction_rate", "dup": "duplicate_rate", "weak": "weak_field_rate", "covered": "timestamp_coverage_rate", "conf": "confidence"}
+    return r.select("video_id", "n", "k", *[F.round(c, 6).alias(n) for c, n in names.items()], codes.alias("codes"))
+
+
+def batch_cases(quality: DataFrame) -> DataFrame:
+    """One result a case of a batch: counts, whether it passed (no error among its warnings) and the codes."""
+    return quality.select("video_id", F.col("k").alias("item_count"), F.col("n").alias("evidence_count"), (~F.array_contains("codes", "no_items")).alias("quality_passed"), F.col("codes").alias("warning_codes"))
+
+
+def should_retry(codes: Column, scorer: Column, current: Column, retry: Column, overridden: Column) -> Column:
+    """Run transcription again with the stronger setting? Only for noisy transcripts of the speech scorer, with nothing
+    overridden, and if the setting is stronger."""
+    place = lambda q: F.array_position(T.words_in(terms.TRANSCRIPT_QUALITY), q)
+    return F.array_contains(codes, "noisy_transcript_evidence") & (scorer == "whisper") & ~overridden & (place(retry) > place(current))
+
+
+def smoke_failures(codes: Column, duration: Column, minimum: float, scorer: Column, expected: str) -> Column:
+    """Quality failures, then a too short video, then a wrong audio scorer."""
+    short = F.format_string(f"video duration %.2fs below required {minimum:.2f}s", duration)
+    wrong = F.concat(F.lit("audio scorer "), F.coalesce(scorer, F.lit("unknown")), F.lit(f" did not match expected {expected}"))
+    return F.concat(codes, F.array_compact(F.array(F.when(duration < minimum, short), F.when(~scorer.eqNullSafe(F.lit(expected)), wrong))))
+
+
 def warnings(intent: Column, answer_words: Column, n: Column, backed: Column, noisy: Column, grounded: Column, strong: Column, reduction: Column) -> Column:
     """Codes of the quality gate, in order."""
     spoken = intent.isin("speech_semantic", "mixed_av", "sound_event", "global_summary")

@@ -267,15 +267,41 @@ def l5(spark, sf_dir):
     return h.groupBy("video_id").agg(F.round(F.avg(F.col("found").cast("int")), 6).alias("label_recall"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("timestamp_hit_rate"))
 
 
-@query("a10_label_quality", f"""
-WITH {LEX_SQL}, {_label_sql()}, n AS (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE b.score >= 0.2) AS k, coalesce(avg(least(greatest(relevance, b.score), 1.0::DOUBLE)) FILTER (WHERE b.score >= 0.2), 0) AS conf FROM lb GROUP BY video_id)
-SELECT video_id, n, k, round(k::DOUBLE / n, 6) AS extraction_rate, round(conf, 6) AS confidence, list_filter([CASE WHEN k = 0 THEN 'no_items' END, CASE WHEN k::DOUBLE / n > 0.9 AND n >= 3 THEN 'over_extraction' END, CASE WHEN k > 0 AND conf < 0.45 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS codes FROM n""")
+_QUALITY_SQL = f"""{LEX_SQL}, {_label_sql(', c')}, it AS (SELECT video_id, turn, id, b.label AS label, c, least(greatest(relevance, b.score), 1.0::DOUBLE) AS conf, lower(text) AS l FROM lb WHERE b.score >= 0.2),
+  du AS (SELECT DISTINCT x.video_id, x.id FROM it x JOIN it y ON x.video_id = y.video_id AND x.label = y.label AND y.turn < x.turn WHERE {sql_jaccard('x.c', 'y.c')} >= 0.72),
+  qn AS (SELECT lb.video_id, count(*) AS n, count(it.id) AS k, coalesce(avg(it.conf), 0) AS conf, count(du.id) AS dups,
+    count(it.id) FILTER (WHERE NOT regexp_matches(it.l, '\\b(?:customer|buyer|prospect|user|founder|builder|team)\\b')) + count(it.id) FILTER (WHERE NOT contains(it.label, 'pricing') AND NOT contains(it.label, 'timing')) AS missing
+    FROM lb LEFT JOIN it ON lb.video_id = it.video_id AND lb.id = it.id LEFT JOIN du ON lb.video_id = du.video_id AND lb.id = du.id GROUP BY lb.video_id),
+  qr AS (SELECT *, k::DOUBLE / n AS rate, CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE dups::DOUBLE / k END AS dup_rate, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE missing::DOUBLE / (2 * k) END AS weak_rate, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS covered FROM qn),
+  lq AS (SELECT *, list_filter([CASE WHEN k = 0 THEN 'no_items' END, CASE WHEN rate > 0.9 AND n >= 3 THEN 'over_extraction' END, CASE WHEN dup_rate > 0.25 THEN 'high_duplicate_rate' END, CASE WHEN weak_rate > 0.35 THEN 'weak_fields' END,
+    CASE WHEN k > 0 AND covered < 0.95 THEN 'weak_timestamps' END, CASE WHEN k > 0 AND conf < 0.45 THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS codes FROM qr)"""
+
+
+def label_quality(spark, sf_dir):
+    """(video_id, n, k, rates, codes) of every conversation's extraction, also of those without an item."""
+    s = E.label_scores(lexical(spark, sf_dir), LABELS).withColumn("item", F.col("label_score") >= 0.2)
+    conf = F.least(F.greatest("relevance", "label_score"), F.lit(1.0))
+    missing = (~F.lower("text").rlike(r"\b(?:customer|buyer|prospect|user|founder|builder|team)\b")).cast("int") + (~F.contains("label", F.lit("pricing")) & ~F.contains("label", F.lit("timing"))).cast("int")
+    rows = s.withColumn("x", F.when(F.col("item"), F.struct("turn", "label", "toks", conf.alias("conf"), missing.alias("missing"), F.col("start").alias("a"), (F.col("start") + 30.0).alias("z"))))
+    n = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("x")).alias("xs"))
+    return E.label_quality(n)
+
+
+@query("a10_label_quality", f"WITH {_QUALITY_SQL} SELECT video_id, n, k, round(rate, 6) AS extraction_rate, round(dup_rate, 6) AS duplicate_rate, round(weak_rate, 6) AS weak_field_rate, covered AS timestamp_coverage_rate, round(conf, 6) AS confidence, codes FROM lq")
 def a10(spark, sf_dir):
-    s = E.label_scores(lexical(spark, sf_dir), LABELS)
-    item = F.col("label_score") >= 0.2
-    n = s.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(item).alias("k"), F.coalesce(F.avg(F.when(item, F.least(F.greatest("relevance", "label_score"), F.lit(1.0)))), F.lit(0.0)).alias("conf"))
-    codes = F.array_compact(F.array(F.when(F.col("k") == 0, F.lit("no_items")), F.when((F.col("k") / F.col("n") > 0.9) & (F.col("n") >= 3), F.lit("over_extraction")), F.when((F.col("k") > 0) & (F.col("conf") < 0.45), F.lit("low_confidence"))))
-    return n.select("video_id", "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("extraction_rate"), F.round("conf", 6).alias("confidence"), codes.alias("codes"))
+    return label_quality(spark, sf_dir)
+
+
+@query("l6_batch_label", f"WITH {_QUALITY_SQL} SELECT video_id, k AS item_count, n AS evidence_count, NOT list_contains(codes, 'no_items') AS quality_passed, codes AS warning_codes FROM lq")
+def l6(spark, sf_dir):
+    """Extraction and its quality over every artifact in one job; a case fails on an error, which only no_items is."""
+    return E.batch_cases(label_quality(spark, sf_dir))
+
+
+@query("a11_batch_report", f"WITH {_QUALITY_SQL} SELECT count(*) AS case_count, sum(k)::BIGINT AS total_items, sum(n)::BIGINT AS total_evidence, round(sum(k)::DOUBLE / count(*), 6) AS average_items_per_case, round(avg((NOT list_contains(codes, 'no_items'))::INT), 6) AS pass_rate, sum(len(codes))::BIGINT AS warning_count FROM lq")
+def a11_report(spark, sf_dir):
+    c = E.batch_cases(label_quality(spark, sf_dir))
+    return c.agg(F.count(F.lit(1)).alias("case_count"), F.sum("item_count").alias("total_items"), F.sum("evidence_count").alias("total_evidence"), F.round(F.sum("item_count") / F.count(F.lit(1)), 6).alias("average_items_per_case"), F.round(F.avg(F.col("quality_passed").cast("int")), 6).alias("pass_rate"), F.sum(F.size("warning_codes")).cast("long").alias("warning_count"))
 
 
 @query("a11_batch_labels", f"WITH {LEX_SQL}, {_label_sql()} SELECT b.label AS label, count(*) AS items, count(DISTINCT video_id) AS cases, round(avg(b.score), 6) AS mean_score FROM lb WHERE b.score >= 0.2 GROUP BY b.label")

@@ -166,17 +166,35 @@ SQL_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '
 @query("t16_best_sentence", f"""
 WITH {TURNS_SQL}, s AS (SELECT video_id, id, query, {SQL_SENTENCES} AS ss FROM turns),
 e AS (SELECT video_id, id, query, i, ss[i] AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s)),
-k AS (SELECT *, {sql_tokens('query')} AS q, {sql_tokens('s')} AS c FROM e)
-SELECT video_id, id, arg_min(s, (-round({sql_jaccard('q', 'c')}, 9), i)) AS sentence FROM k GROUP BY video_id, id""")
+k AS (SELECT video_id, id, query, i, trim(s, ' ,') AS s, {sql_tokens('query')} AS q, {sql_tokens('s')} AS c FROM e WHERE trim(s, ' ,') <> '')
+SELECT video_id, id, arg_min(s, (-round({sql_jaccard('q', 'c')} + CASE WHEN starts_with(lower(trim(query)), 'why') THEN 0.35::DOUBLE * len(list_filter({sql_list(terms.WHY_ANSWER_TERMS)}, lambda x: contains(lower(s), x))) ELSE 0 END, 9), i)) AS sentence FROM k GROUP BY video_id, id""")
 def t16(spark, sf_dir):
-    e = turns(spark, sf_dir).select("video_id", "id", T.tokens("query").alias("q"), F.posexplode(sentences(F.col("text"))).alias("i", "s"))
-    e = e.withColumn("score", F.round(T.jaccard(F.col("q"), T.tokens("s")), 9))
+    """The sentence most like the question; a why question looks for reasons too."""
+    e = turns(spark, sf_dir).select("video_id", "id", "query", T.tokens("query").alias("q"), F.posexplode(sentences(F.col("text"))).alias("i", "s")).withColumn("s", F.btrim("s", F.lit(" ,"))).filter("s <> ''")
+    why = F.when(F.startswith(F.lower(F.btrim("query")), F.lit("why")), 0.35 * T.count_contained("s", terms.WHY_ANSWER_TERMS)).otherwise(0.0)
+    e = e.withColumn("score", F.round(T.jaccard(F.col("q"), T.tokens("s")) + why, 9))
     return e.groupBy("video_id", "id").agg(F.min_by("s", F.struct(-F.col("score"), "i")).alias("sentence"))
 
 
-@query("t17_claims", f"SELECT conv_id, turn, role, len(s)::INT AS n_claims, s AS claims FROM (SELECT conv_id, turn, role, {SQL_SENTENCES} AS s FROM conversations)")
+def claims(text) -> F:
+    """Claims of an answer: a numbered line is one, other lines are cut into sentences."""
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    return F.flatten(F.transform(lines, lambda x: F.when(x.rlike(r"^\d+[.)]\s+"), F.array(x)).otherwise(sentences(x))))
+
+
+def _claims_sql(text: str) -> str:
+    lines = f"list_filter(list_transform(string_split_regex({text}, '\\r\\n|\\n|\\r'), lambda x: trim(x)), lambda x: x <> '')"
+    return f"flatten(list_transform({lines}, lambda x: CASE WHEN regexp_matches(x, '^\\d+[.)]\\s+') THEN [x] ELSE {SQL_SENTENCES.replace('(text,', '(x,')} END))"
+
+
+_ANSWER = "CASE WHEN turn % 2 = 1 THEN '1. ' || text || chr(10) || text ELSE text END"
+
+
+@query("t17_claims", f"SELECT conv_id, turn, role, len(s)::INT AS n_claims, s AS claims FROM (SELECT conv_id, turn, role, {_claims_sql('answer')} AS s FROM (SELECT *, {_ANSWER} AS answer FROM conversations))")
 def t17(spark, sf_dir):
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", sentences(F.col("text")).alias("claims"))
+    """Every other turn is an answer whose first line is numbered."""
+    answer = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("1. "), F.col("text"), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", claims(answer).alias("claims"))
     return s.select("conv_id", "turn", "role", F.size("claims").alias("n_claims"), "claims")
 
 
@@ -288,14 +306,29 @@ def t25(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(keyword_overlap(KEYWORDS, F.col("text")), 6).alias("overlap"))
 
 
-@query("t26_preset_suggestion", f"""
-WITH {_ASKED_SQL}, r(preset, word, prio) AS (VALUES ('objections', 'budget', 2), ('objections', 'fail', 2), ('moments', 'shows', 1), ('moments', 'scene', 1), ('topics', 'theme', 0), ('topics', 'overview', 0), ('topics', 'summary', 0)),
-c AS (SELECT query_id, preset, prio, sum(len(regexp_extract_all(lower(query), '\\b' || word || '\\b'))) AS n FROM asked, r GROUP BY query_id, preset, prio)
-SELECT query_id, coalesce(arg_max(preset, (n, prio)) FILTER (WHERE n > 0), 'moments') AS preset FROM c GROUP BY query_id""")
+def _preset_sql() -> str:
+    rows = ", ".join(f"('{preset}', '{schema}', {prio}, '{word}')" for preset, (schema, prio, ws) in terms.EXTRACTION_PRESETS.items() for word in ws)
+    return f"""{_ASKED_SQL}, pr(preset, schema_name, prio, word) AS (VALUES {rows}), pt AS (SELECT query_id, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) AS task FROM asked),
+pm AS (SELECT query_id, preset, schema_name, prio, list_sort(list(DISTINCT word) FILTER (WHERE regexp_matches(task, '(^|[^a-z0-9])' || word || '([^a-z0-9]|$)'))) AS matched FROM pt, pr GROUP BY query_id, preset, schema_name, prio),
+ps AS (SELECT query_id, coalesce(arg_max({{'preset': preset, 'schema_name': schema_name, 'matched': matched}}, (len(matched), prio)) FILTER (WHERE len(matched) > 0), {{'preset': '{terms.DEFAULT_PRESET}', 'schema_name': '{terms.EXTRACTION_PRESETS[terms.DEFAULT_PRESET][0]}', 'matched': []::VARCHAR[]}}) AS b FROM pm GROUP BY query_id)"""
+
+
+def preset_suggestion(task) -> F:
+    """struct(score, priority, preset, schema_name, matched): the extraction preset with most of its words in a task, by
+    priority; the default if none has any."""
+    low = F.btrim(F.regexp_replace(F.lower(task), r"\s+", " "))
+    options = []
+    for preset, (schema, priority, words) in terms.EXTRACTION_PRESETS.items():
+        matched = F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)"), F.lit(w)) for w in sorted(words)]))
+        options.append(F.struct(F.size(matched).alias("score"), F.lit(priority).alias("priority"), F.lit(preset).alias("preset"), F.lit(schema).alias("schema_name"), matched.alias("matched")))
+    fallback = options[list(terms.EXTRACTION_PRESETS).index(terms.DEFAULT_PRESET)]
+    best = F.greatest(*options)
+    return F.when(best["score"] > 0, best).otherwise(fallback)
+
+
+@query("t26_preset_suggestion", f"WITH {_preset_sql()} SELECT query_id, b.preset AS preset, b.schema_name AS schema_name, len(b.matched)::INT AS score, b.matched AS matched FROM ps")
 def t26(spark, sf_dir):
-    rules = {"objections": (2, ["budget", "fail"]), "moments": (1, ["shows", "scene"]), "topics": (0, ["theme", "overview", "summary"])}
-    best = F.greatest(*[F.struct(sum((F.regexp_count(F.lower("query"), F.lit(rf"\b{w}\b")) for w in ws), F.lit(0)).alias("n"), F.lit(p).alias("p"), F.lit(name).alias("preset")) for name, (p, ws) in rules.items()])
-    return _asked(spark, sf_dir).select("query_id", F.when(best["n"] > 0, best["preset"]).otherwise("moments").alias("preset"))
+    return _asked(spark, sf_dir).select("query_id", preset_suggestion(F.col("query")).alias("b")).select("query_id", "b.preset", "b.schema_name", "b.score", "b.matched")
 
 
 @query("t27_modality_counts", f"""

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import resource
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.terms import EXTRACTION_PRESETS
+
 CANDIDATE = "id string, timestamp_seconds double, text string, saliency_score double, segment_id string, scene_start_seconds double, scene_end_seconds double, temporal_anchor_score double, temporal_target_score double"
 EXAMPLE = f"id string, video_id string, query string, duration_seconds double, relevant_timestamps array<double>, timestamp_tolerance_seconds double, expected_answer string, choices array<string>, visual_candidates array<struct<{CANDIDATE}>>, audio_candidates array<struct<{CANDIDATE}>>"
 MEASUREMENT = "record string, stage string, wall_seconds double, resident_gb double, peak_reserved_gb double, activation_gb double, oom boolean, error string, extra map<string, string>"
@@ -54,11 +62,65 @@ def read_artifacts(spark: SparkSession, root: str, schema: str, include: str | N
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of a JSON-lines manifest, under any of three names."""
-    m = spark.read.schema("compression_path string, path string, artifact string").json(path)
+    """Paths of a manifest under any of three names: one JSON object a line, or one JSON array over any number of lines."""
+    schema = "compression_path string, path string, artifact string"
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).head()
+    m = spark.read.schema(schema).option("multiLine", "true" if first and first[0].lstrip().startswith("[") else "false").json(path)
     return m.select(F.coalesce("compression_path", "path", "artifact").alias("path")).filter("path is not null")
 
 
+def write_manifest(paths: DataFrame, path: str) -> None:
+    """A manifest of JSON lines from a column ``path``."""
+    paths.select(F.col("path").alias("compression_path")).write.mode("overwrite").json(path)
+
+
+def read_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog of extraction schemas in a folder: name, description, item_type, labels, fields."""
+    field = "struct<name: string, description: string, required: boolean>"
+    return spark.read.option("multiLine", "true").option("pathGlobFilter", "*.schema.json").schema(f"name string, description string, item_type string, labels array<string>, fields array<{field}>").json(folder)
+
+
+def resolve_schema(catalog: DataFrame, name: str | None = None, preset: str | None = None) -> DataFrame:
+    """The one schema of a catalog with this name, or that a preset stands for; exactly one of both is given."""
+    if (name is None) == (preset is None):
+        raise ValueError("give exactly one of name and preset")
+    if preset is not None:
+        if preset.strip().lower().replace("_", "-") not in EXTRACTION_PRESETS:
+            raise ValueError(f"unknown extraction preset {preset}; there are {', '.join(EXTRACTION_PRESETS)}")
+        name = EXTRACTION_PRESETS[preset.strip().lower().replace("_", "-")][0]
+    found = catalog.filter(F.col("name") == name.strip().lower().replace("-", "_"))
+    if found.isEmpty():
+        raise ValueError(f"unknown extraction schema {name}")
+    return found
+
+
+def markdown_lines(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(line_no, line): a small result as a Markdown table; write ``line`` with ``write.text``."""
+    head = df.sparkSession.createDataFrame([(1, f"| {' | '.join(columns)} |"), (2, f"|{' --- |' * len(columns)}")], "line_no long, line string")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    rows = df.select((F.row_number().over(W.orderBy(*order)) + 2).cast("long").alias("line_no"), line.alias("line"))
+    return head.unionByName(rows)
+
+
+def server_events(event: Column, data: Column) -> Column:
+    """A server-sent event frame of a name and a struct."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))
+
+
+@contextmanager
+def measured(stage: str, sink: list[dict]) -> Iterator[None]:
+    """Stage measurement: wall time and peak memory of the driver process around a block, and its error if it fails, as
+    one row of the measurement log (``spark.createDataFrame(sink)``, then ``append_jsonl``)."""
+    began, row = time.perf_counter(), {"record": "stage", "stage": stage, "error": None}
+    try:
+        yield
+    except Exception as e:
+        row["error"] = f"{type(e).__name__}: {e}"
+        raise
+    finally:
+        sink.append(row | {"wall_seconds": time.perf_counter() - began, "resident_gb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1e6})
+
+
 def read_measurements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(device rows, stage rows) of a tagged log."""
     rows = spark.read.schema(MEASUREMENT).json(path)
