@@ -144,7 +144,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.size("positions") * F.col("size")).cast("long").alias("taken"),
         F.round(F.try_element_at("positions", F.lit(1)), 6).alias("position"),
     )
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE = r"""
