@@ -104,3 +104,23 @@ MIN_TIMESTAMP_COVERAGE = 0.95
 MIN_AVERAGE_CONFIDENCE = 0.45
 DUPLICATE_ITEM_SIMILARITY = 0.72
 TRANSCRIPT_QUALITY = ["fast", "balanced", "accurate"]
+
+#: Words that keyword overlap ignores, and the word classes of extraction fields.
+KEYWORD_STOP = "a an and for in is of on or the to with".split()
+POSITIVE = "good great love strong positive works useful".split()
+NEGATIVE = "bad expensive hate negative problem issue hard".split()
+SEVERITY = {"high": "blocked blocker critical dealbreaker must risk".split(), "medium": "concern expensive hard issue problem slow".split(), "low": "maybe minor later".split()}
+PRIORITY_TERMS = "blocker critical deadline expensive must need pain risk want".split()
+PAIN_TERMS = ["can't", "cannot", "expensive", "friction", "hard", "issue", "pain", "problem", "slow", "too much"]
+REQUESTER_PATTERNS = [r"\b(?:customer|buyer|prospect|user|founder|builder|team)\b", r"\b(?:i|we)\s+(?:need|want|wish|asked|care|would)\b"]
+RESPONSES = [
+    (["pricing"], "Clarify budget impact, ROI, and pricing flexibility."), (["security", "trust"], "Provide security, privacy, reliability, and accuracy evidence."),
+    (["implementation", "integration"], "Follow up with implementation scope, integration plan, and owner."), (["timing"], "Clarify timeline, urgency, and next decision point."),
+]
+REQUEST_WORDS = "need want wish should".split()
+REQUEST_RESPONSE = "Capture the requested workflow and confirm priority with the requester."
+AUDIO_INTENTS = ["speech_semantic", "sound_event"]
+VISUAL_INTENTS = ["visual_object_action"]
+CARD_KEEP_RATIO = 0.55
+CARD_PRE_CONTEXT_SECONDS = 30.0
+MAX_CARDS = 3

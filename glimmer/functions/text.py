@@ -225,3 +225,47 @@ def answer_score(predicted: Column, expected: Column, choices: Column) -> Column
         .when(want.isNotNull(), F.when(F.coalesce(resolve_choice(p, choices) == want, F.lit(False)), 1.0).otherwise(0.0))
         .otherwise(F.contains(p, e).cast("double"))
     )
+
+
+def sentences(text) -> Column:
+    """Cut after . ! ? before white space; no blank ones."""
+    return F.filter(F.transform(F.split(col(text), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+
+
+def keyword_overlap(keywords, text) -> Column:
+    """Share of the keywords that a text has, phrases as they stand and words as words."""
+    low = F.lower(col(text))
+    ws = F.array_except(ascii_words(col(text)), words_in(terms.KEYWORD_STOP))
+    hits = [F.contains(low, F.lit(k)) if " " in k or "'" in k else F.array_contains(ws, k) for k in keywords]
+    return sum((h.cast("int") for h in hits), F.lit(0)) / F.lit(float(len(keywords)))
+
+
+def shortened(text: Column, most: int) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("...")))
+
+
+def severity(text) -> Column:
+    out = F.lit(None).cast("string")
+    for level, ws in reversed(terms.SEVERITY.items()):
+        out = F.when(F.arrays_overlap(ascii_words(col(text)), words_in(ws)), level).otherwise(out)
+    return out
+
+
+def requester(text) -> Column:
+    """The first mention of someone who may speak or ask, by pattern order."""
+    low = F.lower(col(text))
+    return F.coalesce(*[F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in terms.REQUESTER_PATTERNS])
+
+
+def sentence_with(text, keywords) -> Column:
+    """The sentence with the largest share of the keywords, the first of equals, in 180 characters; null if none has any."""
+    parts = F.filter(F.transform(F.split(col(text), "[.!?]+"), F.trim), lambda s: s != "")
+    best = F.array_max(F.transform(parts, lambda s, i: F.struct(keyword_overlap(keywords, s).alias("n"), (-i).alias("i"), s.alias("s"))))
+    return F.when(best["n"] > 0, shortened(best["s"], 180))
+
+
+def suggested_response(text, label: Column) -> Column:
+    out = F.when(F.arrays_overlap(ascii_words(col(text)), words_in(terms.REQUEST_WORDS)), terms.REQUEST_RESPONSE)
+    for names, reply in reversed(terms.RESPONSES):
+        out = F.when(contains_any(F.lower(label), names), reply).otherwise(out)
+    return out

@@ -16,6 +16,7 @@ REDUNDANT_SIMILARITY = 0.6
 #: SQL over two rows: much the same words, or spans of one modality that overlap by half of the shorter.
 ALIKE = f"size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= {REDUNDANT_SIMILARITY}D or (x.modality = y.modality and coalesce(try_divide(greatest(least(x.stop, y.stop) - greatest(x.start, y.start), 0D), least(x.stop - x.start, y.stop - y.start)), 0D) >= 0.5D)"
 SPOKEN = "say says said tell tells told ask asks asked admit admits admitted explain explains explained presenter speaker".split()
+EXACT_TEXT = ["on-screen text", "onscreen text", "screen text", "text says", "title says"]
 WRITTEN = "text words caption written title logo label slide".split()
 
 
@@ -35,6 +36,13 @@ def query_classes(query: Column, intent: Column) -> dict[str, Column]:
     }
 
 
+def exact_text_answer(query: Column, answer: Column, strong_text: Column) -> Column:
+    """Does the question ask for the words on screen, and does the answer give them, backed by strong on-screen text?"""
+    q = F.concat(F.lit(" "), F.lower(query), F.lit(" "))
+    asks = T.contains_any(q, [f" {p} " for p in EXACT_TEXT]) & ~T.contains_any(q, [f" {w} " for w in ("after", "before", "then", "next")])
+    return asks & F.startswith(F.lower(answer), F.lit("on-screen text near")) & strong_text
+
+
 def support(df: DataFrame) -> DataFrame:
     """(query, intent, answer, text, modality, relevance, z, anchor_t, anchor_score) -> the support scores and labels."""
     k = query_classes(F.col("query"), F.col("intent"))
@@ -119,15 +127,13 @@ def _struct_type(df: DataFrame, cols: list[str]) -> str:
 
 def label_scores(df: DataFrame, labels: list[tuple[str, list[str]]]) -> DataFrame:
     """The best label of each text: its own words' overlap or its keywords', the larger; ties to the later name."""
-    from ..plans.textual import SENTIMENT_STOP, keyword_overlap
-
-    ws = F.array_except(T.ascii_words("text"), T.words_in(SENTIMENT_STOP))
+    ws = F.array_except(T.ascii_words("text"), T.words_in(terms.KEYWORD_STOP))
     options = []
     for name, keywords in labels:
-        own = [w for w in name.split() if w not in SENTIMENT_STOP]
+        own = [w for w in name.split() if w not in terms.KEYWORD_STOP]
         base = F.size(F.array_intersect(T.words_in(own), ws)) / F.lit(float(len(own)))
         allwords = sorted({*keywords, *own})
-        options.append(F.struct(F.round(F.greatest(base, keyword_overlap(allwords, F.col("text"))), 9).alias("score"), F.lit(name).alias("label")))
+        options.append(F.struct(F.round(F.greatest(base, T.keyword_overlap(allwords, "text")), 9).alias("score"), F.lit(name).alias("label")))
     best = F.greatest(*options)
     return df.withColumn("__b", best).withColumns({"label": F.col("__b.label"), "label_score": F.col("__b.score")}).drop("__b")
 

@@ -43,6 +43,9 @@ def nearest_visual(df: DataFrame, group: list[str], radius: float) -> DataFrame:
 def fuse(df: DataFrame, group: list[str], radius: float = terms.VISUAL_RADIUS, least: float = terms.MIN_AUDIO_RELEVANCE, most: int = terms.MAX_AUDIO_MOMENTS) -> DataFrame:
     """Relevant audio with its nearest visual attached (at most ``most`` a group) and the relevant visuals left over."""
     audio = nearest_visual(df, group, radius).filter(F.col("relevance") >= least)
+    if {"query", "text"} <= set(df.columns):  # a why question looks for reasons
+        why = F.when(F.startswith(F.lower(F.btrim("query")), F.lit("why")), 0.2 * T.count_contained("text", terms.WHY_ANSWER_TERMS)).otherwise(0.0)
+        audio = audio.withColumn("relevance", F.round(F.col("relevance") + why, 9))
     fused = audio.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("relevance"), "t", "id"))).filter(F.col("place") <= most)
     fused = fused.select(*group, F.when(F.col("vid").isNotNull(), F.concat_ws("+", "id", "vid")).otherwise(F.col("id")).alias("id"), "t", F.lit("audio").alias("modality"), "relevance")
     used = audio.filter("vid is not null").select(*group, F.col("vid").alias("id")).distinct()

@@ -61,3 +61,17 @@ def _ln(x: float) -> float:
     import math
 
     return math.log(x)
+
+
+def spread_cume_dist(df: DataFrame, key: str, value: str, out: str, buckets: int = 1024) -> DataFrame:
+    """Cumulative distribution of a value within a few large groups, without a task that holds a group: values are
+    counted, counts added up bucket by bucket of the value's range, and accumulated inside buckets."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    ends = counts.groupBy(key).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__all"))
+    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * (buckets - 1)), F.lit(0))
+    rows = counts.join(ends, key).withColumn("__b", place)
+    sums = rows.groupBy(key, "__b").agg(F.sum("__n").alias("__s"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    inside = F.sum("__n").over(W.partitionBy(key, "__b").orderBy(value))
+    dist = rows.join(before, [key, "__b"]).select(key, value, ((F.col("__before") + inside) / F.col("__all")).alias(out))
+    return df.join(dist, [key, value])

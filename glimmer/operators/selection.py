@@ -58,6 +58,17 @@ def top_k(df: DataFrame, group: list[str], k: int, order: list, rank: str = "ran
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def split_budget(budget: int, intent, modality):
+    """How much of a budget a modality gets: the visual share is a third for questions about what is heard, two thirds
+    for what is seen, else half, at least one item each if there are two."""
+    if budget <= 1:
+        visual = F.when(intent.isin(terms.AUDIO_INTENTS), 0).otherwise(budget)
+    else:
+        share = F.when(intent.isin(terms.AUDIO_INTENTS), round(budget / 3)).when(intent.isin(terms.VISUAL_INTENTS), round(2 * budget / 3)).otherwise(budget // 2)
+        visual = F.greatest(F.lit(1), F.least(share, F.lit(budget - 1)))
+    return F.when(modality == "visual", visual).otherwise(budget - visual)
+
+
 def uniform(df: DataFrame, group: list[str], k: int, order: list) -> DataFrame:
     """k rows of each group evenly spaced in the order (positions rounded half to even); all of a small group."""
     w = W.partitionBy(*group)
@@ -114,3 +125,19 @@ def allocate_slots(df: DataFrame, group: list[str], budget: int) -> DataFrame:
     w = W.partitionBy(*group).orderBy(F.when(F.col("slot") == 1, 0).otherwise(1), (F.col("priority") / F.col("slot")).desc(), *by, "slot")
     taken = slots.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= budget)
     return rows.join(taken.groupBy(*group, "segment").agg(F.count(F.lit(1)).alias("slots")), [*group, "segment"], "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+
+
+def rank_cards(cards: DataFrame, group: list[str]) -> DataFrame:
+    """(group, id, t, likelihood) -> the cards shown, with ``place`` in time order: those within the ratio of the best and
+    the nearest one shortly before the earliest of them, by likelihood up to the most shown."""
+    w = W.partitionBy(*group)
+    rows = cards.withColumns({"__best": F.max("likelihood").over(w), "__n": F.count(F.lit(1)).over(w)})
+    rows = rows.withColumn("__direct", (F.col("__best") > 0) & (F.col("likelihood") >= F.col("__best") * terms.CARD_KEEP_RATIO))
+    rows = rows.withColumn("__first", F.min(F.when(F.col("__direct"), F.col("t"))).over(w))
+    gap = F.col("__first") - F.col("t")
+    rows = rows.withColumn("__pre", F.coalesce((gap > 0) & (gap <= terms.CARD_PRE_CONTEXT_SECONDS), F.lit(False)))
+    rows = rows.withColumn("__near", F.row_number().over(W.partitionBy(*group, "__pre").orderBy(gap, F.desc("likelihood"), "id")))
+    few = F.col("__n") <= terms.MAX_CARDS
+    rows = rows.withColumn("__in", few | F.col("__direct") | (F.col("__pre") & (F.col("__near") == 1)))
+    rows = rows.withColumn("__r", F.row_number().over(W.partitionBy(*group, "__in").orderBy(F.desc("likelihood"), "t", "id"))).filter(F.col("__in") & (few | (F.col("__r") <= terms.MAX_CARDS)))
+    return rows.withColumn("place", F.row_number().over(w.orderBy("t", "id"))).select(*cards.columns, "place")

@@ -82,13 +82,19 @@ def k14(spark, sf_dir):
     return best.select("video_id", F.explode("ids").alias("id"))
 
 
-@query("k22_ranked_cards", """
-WITH s AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id) AS best FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM s WHERE value >= 0.55::DOUBLE * best)
-SELECT user_id, event_id, r::INT AS place FROM r WHERE r <= 3""")
+@query("k22_ranked_cards", f"""
+WITH {LEX_SQL}, s AS (SELECT video_id, id, t, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c))::DOUBLE / len(q) END + greatest(relevance, 0) * 0.25 + CASE WHEN modality = 'audio' THEN 0.08 ELSE 0 END, 9)::DOUBLE AS likely FROM lex),
+b AS (SELECT *, max(likely) OVER w AS best, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY video_id)), d AS (SELECT *, best > 0 AND likely >= best * 0.55 AS direct FROM b),
+e AS (SELECT *, min(t) FILTER (WHERE direct) OVER (PARTITION BY video_id) AS earliest FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY video_id, t < earliest AND earliest - t <= 30 ORDER BY earliest - t, likely DESC, id) AS pr FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id, n <= 3 OR direct OR (t < earliest AND earliest - t <= 30 AND pr = 1) ORDER BY likely DESC, t, id) AS r FROM p)
+SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY t, id)::INT AS place, round(likely, 6) AS likelihood FROM k WHERE n <= 3 OR (r <= 3 AND (direct OR (t < earliest AND earliest - t <= 30 AND pr = 1)))""")
 def k22(spark, sf_dir):
-    w = W.partitionBy("user_id")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("best", F.max("value").over(w)).filter(F.col("value") >= 0.55 * F.col("best"))
-    return e.withColumn("place", F.row_number().over(w.orderBy(F.desc("value"), "event_id"))).filter("place <= 3").select("user_id", "event_id", "place")
+    """Cards likely to hold the answer and the nearest one before them, three at most, in time order; of three cards or
+    fewer all."""
+    q = T.tokens("query")
+    likely = F.coalesce(F.try_divide(F.size(F.array_intersect(q, "toks")), F.size(q)), F.lit(0.0)) + F.greatest("relevance", F.lit(0.0)) * 0.25 + F.when(F.col("modality") == "audio", 0.08).otherwise(0.0)
+    return selection.rank_cards(lexical(spark, sf_dir).withColumn("likelihood", F.round(likely, 9)), G).select("video_id", "id", "place", F.round("likelihood", 6).alias("likelihood"))
 
 
 WHY_SQL = "CASE WHEN starts_with(lower(trim(query)), 'why') THEN 0.25::DOUBLE * len(list_filter(" + sql_list(WHY_ANSWER_TERMS) + ", lambda k: contains(lower(text), k))) ELSE 0.0::DOUBLE END"

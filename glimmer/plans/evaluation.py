@@ -273,20 +273,37 @@ def a22(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg(F.col("text").rlike("(?i)licensed").cast("int")), 6).alias("licensed"), F.round(F.avg(F.contains("text", F.lit("|")).cast("int")), 6).alias("tabular"), F.count(F.lit(1)).alias("n"))
 
 
+@query("a22_population_and_sample", """
+WITH p AS (SELECT d.lang, length(d.text) AS n, l.doc_id IS NOT NULL AS kept FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT lang, count(*) AS available, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS cut, round(avg(n), 6) AS population_mean, round(avg(n) FILTER (WHERE kept), 6) AS sample_mean FROM p GROUP BY lang""")
+def a22_sample(spark, sf_dir):
+    """What a sample (the labelled documents) keeps of each language, and both mean lengths."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("kept"))
+    p = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n")).join(labels, "doc_id", "left")
+    kept = F.col("kept").isNotNull()
+    return p.groupBy("lang").agg(F.count(F.lit(1)).alias("available"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("cut"), F.round(F.avg("n"), 6).alias("population_mean"), F.round(F.avg(F.when(kept, F.col("n"))), 6).alias("sample_mean"))
+
+
+@query("a22_value_counts", "SELECT lang, source, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM documents GROUP BY lang, source")
+def a22_counts(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("lang")), 6))
+
+
 @query("a23_best_by_key", """
 WITH r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 10) / 10.0::DOUBLE END AS score, (o_orderkey % 7)::BIGINT AS red, o_totalprice AS latency FROM orders)
-SELECT o_custkey, arg_max(o_orderkey, (coalesce(score, -1), red, -latency, o_orderkey)) AS best FROM r GROUP BY o_custkey""")
+SELECT o_custkey, arg_max(o_orderkey, (coalesce(score, -1), red, -latency, o_orderkey)) AS best FROM r GROUP BY ROLLUP (o_custkey)""")
 def a23(spark, sf_dir):
     k = F.col("o_orderkey")
     key = F.struct(F.coalesce(F.when(k % 4 != 0, (k % 10) / 10.0), F.lit(-1.0)), k % 7, -F.col("o_totalprice"), k)
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", key).alias("best"))
+    return table(spark, sf_dir, "orders").rollup("o_custkey").agg(F.max_by("o_orderkey", key).alias("best"))
 
 
-@query("a25_split_manifest", r"SELECT CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'held_out' ELSE 'dev' END AS split, count(*) AS cases, count(DISTINCT source) AS videos, substr(sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)), 1, 16) AS fingerprint FROM documents GROUP BY 1")
+@query("a25_split_manifest", r"SELECT CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'held_out' ELSE 'dev' END AS split, count(*) AS cases, count(DISTINCT source) AS videos, count(DISTINCT lang) AS categories, substr(sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)), 1, 16) AS fingerprint FROM documents GROUP BY 1")
 def a25(spark, sf_dir):
     split = F.when(F.col("source").isin("src1", "src2", "src3"), "held_out").otherwise("dev").alias("split")
     ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n")
-    return table(spark, sf_dir, "documents").groupBy(split).agg(F.count(F.lit(1)).alias("cases"), F.count_distinct("source").alias("videos"), F.substring(F.sha2(ids, 256), 1, 16).alias("fingerprint"))
+    return table(spark, sf_dir, "documents").groupBy(split).agg(F.count(F.lit(1)).alias("cases"), F.count_distinct("source").alias("videos"), F.count_distinct("lang").alias("categories"), F.substring(F.sha2(ids, 256), 1, 16).alias("fingerprint"))
 
 
 OUTCOMES_SQL = "oc AS (SELECT doc_id, quality::DOUBLE AS a, (1 - toxic)::DOUBLE AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels)"
@@ -304,15 +321,17 @@ def _interval_sql(x: str) -> str:
 @query("v10_paired_bootstrap", f"""
 WITH {OUTCOMES_SQL}, h0 AS (SELECT r, n, (r * 1000003 + i) % 2147483648 AS h FROM oc, range(0, {RESAMPLES}) g(r)), h1 AS (SELECT r, n, (xor(h, h >> 16) * 73244475) % 2147483648 AS h FROM h0), h2 AS (SELECT r, n, (xor(h, h >> 16) * 73244475) % 2147483648 AS h FROM h1),
 m AS (SELECT r, sum(oc.a) / any_value(oc.n) AS a, sum(oc.b) / any_value(oc.n) AS b, sum(oc.a - oc.b) / any_value(oc.n) AS d FROM h2 JOIN oc ON xor(h, h >> 16) % h2.n = oc.i GROUP BY r)
-SELECT 'quality-clean' AS pair, {", ".join(_interval_sql(x) for x in "abd")}, (SELECT round(avg(a - b), 6) FROM oc) AS point, round(quantile_cont(d, 0.025), 6) > -0.1 AS non_inferior FROM m""")
+SELECT 'quality-clean' AS pair, {", ".join(_interval_sql(x) for x in "abd")}, (SELECT round(avg(a - b), 6) FROM oc) AS point, round(quantile_cont(d, 0.025), 6) >= -(SELECT round(sqrt(avg(b) * (1 - avg(b)) / count(*)), 6) FROM oc) AS non_inferior FROM m""")
 def v10(spark, sf_dir):
     """Both conditions' and their difference's mean and interval over the same draws; not inferior if the difference's
-    interval lies above -0.1."""
+    interval begins no lower than minus the second's standard error."""
     o = outcomes(spark, sf_dir)
     m = S.bootstrap(o, ["pair"], ["a", "b", "d"], "doc_id", RESAMPLES)
     ends = {x: F.percentile(x, F.array(F.lit(0.025), F.lit(0.975))) for x in "abd"}
     out = m.groupBy("pair").agg(*[c for x in "abd" for c in (F.round(F.avg(x), 6).alias(f"{x}_mean"), F.round(ends[x][0], 6).alias(f"{x}_low"), F.round(ends[x][1], 6).alias(f"{x}_high"))])
-    return out.join(o.groupBy("pair").agg(F.round(F.avg("d"), 6).alias("point")), "pair").withColumn("non_inferior", F.col("d_low") > -0.1)
+    p = F.avg("b")
+    whole = o.groupBy("pair").agg(F.round(F.avg("d"), 6).alias("point"), F.round(F.sqrt(p * (1 - p) / F.count(F.lit(1))), 6).alias("se"))
+    return out.join(whole, "pair").withColumn("non_inferior", F.col("d_low") >= -F.col("se")).drop("se")
 
 
 @query("v11_standard_error", f"WITH {OUTCOMES_SQL} SELECT round(sqrt(avg(b) * (1 - avg(b)) / count(*)), 6) AS standard_error, round(avg((a = b)::INT), 6) AS agreement, count(*) AS n FROM oc")
@@ -356,21 +375,27 @@ def v16(spark, sf_dir):
     return whole.unionByName(picked).groupBy("condition").agg(F.round(F.avg("ok"), 6).alias("accuracy"), F.sum(F.greatest(F.lit(1), F.col("tokens"))).alias("tokens"))
 
 
-VERDICTS = [("j1", 'noise {"score": 0.8, "reason": "fine"} tail'), ("j2", '{"score": 7, "reason": "high"}'), ("j3", "none"), ("j4", '{"score": -1, "reason": "low"}')]
+_REPLY_SQL = """CASE turn % 4 WHEN 0 THEN regexp_replace(text, '[{}]', '', 'g') || ' {"score": ' || (turn / 4.0 - 0.5) || ', "reason": "turn ' || turn || '"} tail' WHEN 1 THEN '{"reason": "none"}' ELSE regexp_replace(text, '[{}]', '', 'g') END"""
 
 
-@query("v17_judge_verdict", """SELECT * FROM (VALUES ('j1', 0.8::DOUBLE, 'fine'), ('j2', 1.0, 'high'), ('j3', NULL, NULL), ('j4', 0.0, 'low')) t(id, score, reason)""")
+@query("v17_judge_verdict", f"""
+WITH r AS (SELECT conv_id, turn, role, nullif(regexp_extract({_REPLY_SQL}, '(?s)\\{{.*\\}}'), '') AS j FROM conversations)
+SELECT conv_id, turn, role, CASE WHEN json_extract_string(j, '$.score') IS NOT NULL THEN least(greatest(json_extract_string(j, '$.score')::DOUBLE, 0), 1) END AS score, json_extract_string(j, '$.reason') AS reason FROM r""")
 def v17(spark, sf_dir):
-    """The first JSON object of a judge's reply, its score clamped to [0, 1]."""
-    j = F.from_json(F.nullif(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), F.lit("")), "score double, reason string")
-    return spark.createDataFrame(VERDICTS, "id string, reply string").select("id", j.alias("j")).select("id", F.when(F.col("j.score").isNotNull(), F.least(F.greatest(F.col("j.score"), F.lit(0.0)), F.lit(1.0))).alias("score"), F.col("j.reason").alias("reason"))
+    """The first JSON object of a judge's reply (here a turn's text, some with a verdict), its score clamped to [0, 1]."""
+    bare = F.regexp_replace("text", "[{}]", "")
+    verdict = F.format_string(' {"score": %s, "reason": "turn %d"} tail', (F.col("turn") / 4.0 - 0.5).cast("string"), F.col("turn"))
+    reply = F.when(F.col("turn") % 4 == 0, F.concat(bare, verdict)).when(F.col("turn") % 4 == 1, F.lit('{"reason": "none"}')).otherwise(bare)
+    j = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit("")), "score double, reason string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", j.alias("j"))
+    return rows.select("conv_id", "turn", "role", F.when(F.col("j.score").isNotNull(), F.least(F.greatest(F.col("j.score"), F.lit(0.0)), F.lit(1.0))).alias("score"), F.col("j.reason").alias("reason"))
 
 
 @query("v18_failure_analysis", f"WITH {CASES_SQL}, f AS (SELECT source, doc_id, len(failures) AS k, row_number() OVER (PARTITION BY source ORDER BY len(failures) DESC, doc_id) AS r FROM fl WHERE len(failures) > 0) SELECT source, list(doc_id ORDER BY k DESC, doc_id) AS worst FROM f WHERE r <= 3 GROUP BY source")
 def v18(spark, sf_dir):
     c = cases(spark, sf_dir).filter(F.size("failures") > 0)
-    worst = F.slice(F.array_sort(F.collect_list(F.struct((-F.size("failures")).alias("k"), "doc_id"))), 1, 3)
-    return c.groupBy("source").agg(worst.alias("w")).select("source", F.col("w.doc_id").alias("worst"))
+    top = c.withColumn("k", -F.size("failures")).withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("k", "doc_id"))).filter("r <= 3")
+    return top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "doc_id"))).alias("w")).select("source", F.col("w.doc_id").alias("worst"))
 
 
 @query("w9_change_detection", "SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER w AS pt, lag(value > 50) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type IS DISTINCT FROM pt OR (value > 50) IS DISTINCT FROM pv")
@@ -444,6 +469,25 @@ def s11(spark, sf_dir):
     return long.join(both, "doc_id", "left_semi").groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"))
 
 
+@query("s11_wide_predictions", """
+WITH w AS (SELECT doc_id, ' ' || lower(CASE quality WHEN 1 THEN 'Yes' ELSE 'No' END) AS gold, upper(CASE WHEN toxic = 0 THEN 'yes' ELSE 'no' END) AS plain, CASE WHEN quality = 1 THEN 'YES ' ELSE ' no' END AS chosen FROM labels)
+SELECT condition, count(*) AS n, count(*) FILTER (WHERE upper(trim(answer)) = upper(trim(gold))) AS passed FROM w UNPIVOT (answer FOR condition IN (plain, chosen)) GROUP BY condition""")
+def s11_wide(spark, sf_dir):
+    """One row a question with every condition's answer and the right one; letters' case and blanks do not count."""
+    good = F.col("quality") == 1
+    w = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit(" "), F.lower(F.when(good, "Yes").otherwise("No"))).alias("gold"), F.upper(F.when(F.col("toxic") == 0, "yes").otherwise("no")).alias("plain"), F.when(good, "YES ").otherwise(" no").alias("chosen"))
+    ok = F.upper(F.btrim("answer")) == F.upper(F.btrim("gold"))
+    return w.unpivot(["doc_id", "gold"], ["plain", "chosen"], "condition", "answer").groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"))
+
+
+@query("s11_nested_report", """
+SELECT o.condition AS condition, count(*) AS n, count(*) FILTER (WHERE o.passed) AS passed FROM (SELECT unnest([{'condition': 'a', 'passed': quality = 1}, {'condition': 'b', 'passed': toxic = 0}]) AS o FROM labels) GROUP BY o.condition""")
+def s11_nested(spark, sf_dir):
+    """A report's cases with a map of outcomes by condition."""
+    r = table(spark, sf_dir, "labels").select("doc_id", F.create_map(F.lit("a"), F.struct((F.col("quality") == 1).alias("passed")), F.lit("b"), F.struct((F.col("toxic") == 0).alias("passed"))).alias("outcomes"))
+    return r.select(F.explode("outcomes").alias("condition", "o")).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("o.passed").alias("passed"))
+
+
 @query("s12_marked_pool", "SELECT doc_id, regexp_replace(substr(text, 1, 1), '[^A-Z]', '') AS initial, CASE WHEN regexp_matches(text, '(?i)licensed') THEN 'audio' WHEN contains(text, '|') THEN 'visual' ELSE 'unmarked' END AS bucket FROM documents WHERE length(text) > 300 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def s12(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.length("text") > 300)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators.scoring import standardize
 from ..registry import query
 from ..sources.tables import sql_jaccard, sql_list, sql_tokens, sql_words, table
 from .moments import LEX_SQL, lexical
-from .textual import NOISY_TRANSCRIPT_SQL, SENTIMENT_STOP, SQL_SENTENCES, sentences
+from .textual import NOISY_TRANSCRIPT_SQL, SENTIMENT_STOP, SEVERITY_SQL, SQL_SENTENCES, requester_sql, sentences, sql_sentence_with
 
 G = ["video_id"]
 INTENTS = ["speech_semantic", "mixed_av", "visual_object_action"]
@@ -132,10 +133,15 @@ def e7(spark, sf_dir):
     return E.drop_weak(supported(spark, sf_dir), G).select("video_id", "id")
 
 
-@query("e9_query_classes", f"WITH {SUPPORT_SQL} SELECT DISTINCT video_id, intent = 'speech_semantic' AS transcript_first, tq AS transcript_question, ms AS mixed_speech, vt AS visual_text FROM e6")
+_EXACT_SQL = "(" + " OR ".join(f"contains(lq, ' {p} ')" for p in E.EXACT_TEXT) + ") AND NOT (" + " OR ".join(f"contains(lq, ' {w} ')" for w in ("after", "before", "then", "next")) + ")"
+
+
+@query("e9_query_classes", f"WITH {SUPPORT_SQL}, x AS (SELECT *, modality = 'visual' AND ocr AND relevance >= 0.95 AS strong FROM e6) SELECT video_id, any_value(intent) = 'speech_semantic' AS transcript_first, any_value(tq) AS transcript_question, any_value(ms) AS mixed_speech, any_value(vt) AS visual_text, any_value({_EXACT_SQL}) AND starts_with(lower(any_value(answer)), 'on-screen text near') AND bool_or(strong) AS exact_text FROM x GROUP BY video_id")
 def e9(spark, sf_dir):
-    s = selected(spark, sf_dir).select("video_id", "query", "intent").distinct()
-    return s.select("video_id", *[c.alias(n) for n, c in E.query_classes(F.col("query"), F.col("intent")).items()])
+    ocr = F.startswith(F.lower("text"), F.lit("on-screen text near"))
+    s = selected(spark, sf_dir).groupBy("video_id", "query", "intent", "answer").agg(F.bool_or((F.col("modality") == "visual") & ocr & (F.col("relevance") >= 0.95)).alias("strong"))
+    classes = E.query_classes(F.col("query"), F.col("intent"))
+    return s.select("video_id", *[c.alias(n) for n, c in classes.items()], E.exact_text_answer(F.col("query"), F.col("answer"), F.col("strong")).alias("exact_text"))
 
 
 @query("e10_extractive_answer", f"""
@@ -218,13 +224,17 @@ def l1(spark, sf_dir):
     return labelled(spark, sf_dir).select("video_id", "id", "label", F.round(F.least(F.greatest("relevance", "label_score"), F.lit(1.0)), 6).alias("confidence"), F.coalesce(F.nullif("start", F.lit(0.0)), "t").alias("a"), (F.col("start") + 30.0).alias("z"))
 
 
+_REPLY_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(label, '{n}')" for n in names) + f" THEN '{reply}'" for names, reply in terms.RESPONSES) + f" WHEN list_has_any(w, {sql_list(terms.REQUEST_WORDS)}) THEN '{terms.REQUEST_RESPONSE}' END"
+
+
 @query("l2_field_values", f"""
-WITH {LEX_SQL}, {_label_sql()}, v AS (SELECT video_id, id, b.label AS label, lower(text) AS l FROM lb WHERE b.score >= 0.2)
-SELECT video_id, id, nullif(regexp_extract(l, '\\b(?:customer|buyer|prospect|user|founder|builder|team)\\b'), '') AS speaker, CASE WHEN contains(label, 'pricing') THEN 'Clarify budget impact, ROI, and pricing flexibility.' WHEN contains(label, 'timing') THEN 'Clarify timeline, urgency, and next decision point.' END AS response FROM v""")
+WITH {LEX_SQL}, {_label_sql()}, v AS (SELECT video_id, id, b.label AS label, text, {sql_words('text')} AS w FROM lb WHERE b.score >= 0.2)
+SELECT video_id, id, label, {requester_sql('text')} AS speaker, {_REPLY_SQL} AS response, {SEVERITY_SQL} AS severity, {sql_sentence_with(terms.PRIORITY_TERMS, 'text')} AS priority, {sql_sentence_with(terms.PAIN_TERMS, 'text')} AS pain_point FROM v""")
 def l2(spark, sf_dir):
-    who = F.regexp_extract(F.lower("text"), r"\b((?:customer|buyer|prospect|user|founder|builder|team))\b", 1)
-    reply = F.when(F.contains("label", F.lit("pricing")), "Clarify budget impact, ROI, and pricing flexibility.").when(F.contains("label", F.lit("timing")), "Clarify timeline, urgency, and next decision point.")
-    return labelled(spark, sf_dir).select("video_id", "id", F.nullif(who, F.lit("")).alias("speaker"), reply.alias("response"))
+    return labelled(spark, sf_dir).select(
+        "video_id", "id", "label", T.requester("text").alias("speaker"), T.suggested_response("text", F.col("label")).alias("response"), T.severity("text").alias("severity"),
+        T.sentence_with("text", terms.PRIORITY_TERMS).alias("priority"), T.sentence_with("text", terms.PAIN_TERMS).alias("pain_point"),
+    )
 
 
 DUPLICATE = "x.label = y.label and (coalesce(try_divide(greatest(least(x.stop, y.stop) - greatest(x.start, y.start), 0D), least(x.stop - x.start, y.stop - y.start)), 0D) >= 0.5D or size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= 0.72D)"

@@ -62,13 +62,14 @@ def q6(spark, sf_dir):
 
 
 @query("q7_vector_similarity", """
-WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5)
+WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)
 SELECT q, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q""")
 def q7(spark, sf_dir):
-    """Five stored query vectors against all rows."""
+    """The stored vectors whose id is divisible by 50 against all rows, in blocks of queries."""
     e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")))
-    return e.crossJoin(q).select("q", "vec_id", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("similarity"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    blocks = q.groupBy(F.expr("q div 12800").alias("b")).agg(F.collect_list(F.struct("q", "v")).alias("qs")).drop("b")
+    return e.crossJoin(blocks).select("vec_id", "embedding", F.explode("qs").alias("x")).select("x.q", "vec_id", F.round(cosine(F.col("embedding"), F.col("x.v")), 6).alias("similarity"))
 
 
 @query("q8_vector_literal", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: round(x, 8))), 5) AS total, len(embedding)::INT AS n FROM embeddings")
@@ -90,12 +91,15 @@ def q10(spark, sf_dir):
 
 
 @query("q11_cascade_delete", """
-WITH o AS (SELECT * FROM orders WHERE o_custkey % 7 <> 0) SELECT 'orders' AS kind, count(*) AS n FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""")
+WITH o AS (SELECT o_orderkey, c_acctbal < 0 AS gone FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT 'orders' AS kind, count(*) FILTER (WHERE gone IS NOT TRUE) AS kept, count(*) FILTER (WHERE gone) AS deleted FROM o UNION ALL SELECT 'lineitem', count(*) FILTER (WHERE gone IS NOT TRUE), count(*) FILTER (WHERE gone) FROM lineitem LEFT JOIN o ON l_orderkey = o_orderkey""")
 def q11(spark, sf_dir):
-    gone = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti")
-    items = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    n = lambda d, kind: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    """Owners in debt go with their orders and those orders' items; what stays and what goes is counted."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") < 0).alias("gone"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey", "left")
+    gone = F.coalesce("gone", F.lit(False))
+    n = lambda d, kind: d.agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("deleted")).select(F.lit(kind).alias("kind"), "kept", "deleted")
     return n(orders, "orders").unionByName(n(items, "lineitem"))
 
 
@@ -134,10 +138,16 @@ def q16(spark, sf_dir):
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_custkey")
 
 
-@query("q17_login", "SELECT c_custkey FROM customer WHERE sha256(c_name) IN (SELECT sha256(c_name) FROM customer WHERE c_custkey % 50 = 1) AND c_acctbal > 0")
+@query("q17_login", """
+WITH s AS (SELECT o_orderkey, o_custkey, sha256(o_orderkey::VARCHAR) AS h, o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 900 DAY AS valid FROM orders), p AS (SELECT DISTINCT sha256(l_orderkey::VARCHAR) AS h FROM lineitem)
+SELECT s.o_orderkey, s.o_custkey, p.h IS NOT NULL AS logged_in FROM s LEFT JOIN p ON s.h = p.h WHERE valid""")
 def q17(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("h", F.sha2("c_name", 256))
-    return c.filter("c_acctbal > 0").join(c.filter("c_custkey % 50 = 1").select("h"), "h", "left_semi").select("c_custkey")
+    """Sessions (orders) after the expired ones are purged, and which of them a presented token's hash logs in."""
+    o = table(spark, sf_dir, "orders")
+    now = o.agg(F.max("o_orderdate").alias("now"))
+    s = o.crossJoin(F.broadcast(now)).filter(F.col("o_orderdate") > F.col("now") - F.expr("interval 900 days")).select("o_orderkey", "o_custkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
+    p = table(spark, sf_dir, "lineitem").select(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("h")).distinct().withColumn("logged_in", F.lit(True))
+    return s.join(p, "h", "left").select("o_orderkey", "o_custkey", F.coalesce("logged_in", F.lit(False)).alias("logged_in"))
 
 
 @query("q18_guarded_counter", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 2 AS allowed FROM events")

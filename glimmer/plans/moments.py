@@ -9,7 +9,8 @@ from ..functions import text as T
 from ..operators import moments as M
 from ..operators.scoring import standardize
 from ..registry import query
-from ..sources.tables import EVENT_CANDIDATES_SQL, TURNS_SQL, event_candidates, sql_jaccard, sql_tokens, table, turns
+from ..functions.terms import WHY_ANSWER_TERMS
+from ..sources.tables import EVENT_CANDIDATES_SQL, TURNS_SQL, event_candidates, sql_jaccard, sql_list, sql_tokens, table, turns
 from .selecting import SCALE, Z_SQL, scored
 
 #: Seconds of a segment on the events' scale.
@@ -93,7 +94,7 @@ def j1(spark, sf_dir):
 
 
 @query("k11_moment_fusion", f"""
-WITH {LEX_SQL}, nv AS (SELECT a.video_id, a.id, a.t, a.relevance, v.id AS vid, row_number() OVER (PARTITION BY a.video_id, a.id ORDER BY abs(a.t - v.t) NULLS LAST, v.t, v.id) AS rn
+WITH {LEX_SQL}, nv AS (SELECT a.video_id, a.id, a.t, round(a.relevance + CASE WHEN starts_with(lower(trim(a.query)), 'why') THEN 0.2::DOUBLE * len(list_filter({sql_list(WHY_ANSWER_TERMS)}, lambda k: contains(lower(a.text), k))) ELSE 0 END, 9) AS relevance, v.id AS vid, row_number() OVER (PARTITION BY a.video_id, a.id ORDER BY abs(a.t - v.t) NULLS LAST, v.t, v.id) AS rn
   FROM lex a LEFT JOIN lex v ON a.video_id = v.video_id AND v.modality = 'visual' AND abs(a.t - v.t) <= 31 WHERE a.modality = 'audio' AND a.relevance >= 0.12),
 one AS (SELECT * FROM nv WHERE rn = 1), f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY relevance DESC, t, id) AS place FROM one)
 SELECT video_id, CASE WHEN vid IS NULL THEN id ELSE id || '+' || vid END AS id, 'audio' AS modality, round(relevance, 6) AS relevance FROM f WHERE place <= 8

@@ -216,6 +216,30 @@ def k20(spark, sf_dir):
     return out.select("video_id", "modality", "id", "rank", F.round("mmr", 6).alias("mmr"))
 
 
+@query("k20_intent_split", f"""
+WITH RECURSIVE {Z_SQL}, sp AS (SELECT video_id || '/' || modality AS video_id, id, t, modality, z, NULL::DOUBLE AS anchor_t FROM zs), {mmr_sql("sp", 8, 0.72, 14 * SCALE)},
+r AS (SELECT split_part(video_id, '/', 1)::BIGINT AS v, modality, id, rank, mmr FROM rec WHERE rn = 1)
+SELECT v AS video_id, modality, id, rank, round(mmr, 6) AS mmr FROM r WHERE rank <= CASE v % 3 WHEN 0 THEN CASE modality WHEN 'visual' THEN 4 ELSE 8 END WHEN 1 THEN CASE modality WHEN 'visual' THEN 8 ELSE 4 END ELSE 6 END""")
+def k20_intent(spark, sf_dir):
+    """The balanced budget leaning to what the question asks for (intents go round by video): a third, two thirds or
+    half of it for visuals, the rest for audio, each chosen within its modality."""
+    k, lam, sigma = terms.PRESETS["balanced"]
+    intents = F.element_at(F.array(F.lit("speech_semantic"), F.lit("visual_object_action"), F.lit("mixed_av")), (F.col("video_id") % 3 + 1).cast("int"))
+    p = selection.pools(scored(spark, sf_dir).withColumn("m", F.col("modality")), ["video_id", "m"])
+    p = p.withColumn("k", selection.split_budget(k, intents, F.col("m")))
+    out = p.select("video_id", F.expr(f"inline({selection.mmr_expression('k', f'{lam}D', f'{sigma * SCALE}D', False)})"))
+    return out.select("video_id", "modality", "id", "rank", F.round("mmr", 6).alias("mmr"))
+
+
+@query("k9_window_subset", f"""
+WITH {EVENT_CANDIDATES_SQL}, o AS (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY t, id) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM cand WHERE modality = 'audio')
+SELECT DISTINCT video_id, id FROM o JOIN range(0, 5) r(j) ON o.i = CASE WHEN n <= 5 THEN j ELSE round_even(j * ((n - 1) / 4.0::DOUBLE), 0) END""")
+def k9_windows(spark, sf_dir):
+    """Five audio windows of each video to transcribe, evenly spread."""
+    a = event_candidates(spark, sf_dir).filter("modality = 'audio'")
+    return selection.uniform(a, GROUP, 5, ["t", "id"]).select("video_id", "id").distinct()
+
+
 @query("w3_rank_within_group", f"WITH {EVENT_CANDIDATES_SQL} SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY t, id)::INT AS evidence_rank FROM cand")
 def w3(spark, sf_dir):
     return event_candidates(spark, sf_dir).select("video_id", "id", F.row_number().over(W.partitionBy("video_id").orderBy("t", "id")).alias("evidence_rank"))
@@ -233,7 +257,7 @@ WITH {EVENT_CANDIDATES_SQL},
 SELECT video_id, CASE WHEN v >= 0.8 AND a <= 0.5 THEN 'vision-dominant' WHEN a >= 0.8 AND v <= 0.5 THEN 'audio-dominant' WHEN a >= 0.8 OR v >= 0.8 THEN 'consensus' ELSE 'weak' END AS dominance FROM g""")
 def w5(spark, sf_dir):
     """One score high and the other low, one or both high, or neither."""
-    p = event_candidates(spark, sf_dir).withColumn("pct", F.cume_dist().over(W.partitionBy("modality").orderBy("saliency")))
+    p = scoring.spread_cume_dist(event_candidates(spark, sf_dir), "modality", "saliency", "pct")
     g = p.groupBy("video_id").agg(F.max(F.when(F.col("modality") == "audio", F.col("pct"))).alias("a"), F.max(F.when(F.col("modality") == "visual", F.col("pct"))).alias("v"))
     d = F.when((F.col("v") >= 0.8) & (F.col("a") <= 0.5), "vision-dominant").when((F.col("a") >= 0.8) & (F.col("v") <= 0.5), "audio-dominant").when((F.col("a") >= 0.8) | (F.col("v") >= 0.8), "consensus").otherwise("weak")
     return g.select("video_id", d.alias("dominance"))

@@ -155,11 +155,7 @@ def t15(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_transcript("text").alias("backed"))
 
 
-def sentences(text) -> F:
-    """Cut after . ! ? before white space; no blank ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-
-
+sentences = T.sentences
 SQL_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 
 
@@ -237,9 +233,9 @@ def t19(spark, sf_dir):
 
 
 @query("t20_term_recall", f"""
-SELECT doc_id, round(len(list_filter(['the', 'and', 'licensed', 'zzz'], lambda x: contains(lower(text), x)))::DOUBLE / 4, 6) AS recall FROM documents""")
+SELECT doc_id, round(len(list_filter(['the', 'and', 'licensed', 'zzz'], lambda x: contains(lower(text), x)))::DOUBLE / 4, 6) AS recall, contains(lower(text), 'licensed') OR contains(lower(text), 'zzz') AS any_rare FROM documents""")
 def t20(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.term_recall(T.words_in(RECALL_TERMS), "text"), 6).alias("recall"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.term_recall(T.words_in(RECALL_TERMS), "text"), 6).alias("recall"), T.contains_any(F.lower("text"), ["licensed", "zzz"]).alias("any_rare"))
 
 
 MC = [
@@ -274,36 +270,50 @@ def t23(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_proxy("text").alias("n"))
 
 
-SENTIMENT_STOP = "a an and for in is of on or the to with".split()
-POSITIVE, NEGATIVE = "good great love strong positive works useful".split(), "bad expensive hate negative problem issue hard".split()
+SENTIMENT_STOP, POSITIVE, NEGATIVE = terms.KEYWORD_STOP, terms.POSITIVE, terms.NEGATIVE
+
+
+def sql_overlap(keywords, text: str) -> str:
+    words = f"list_filter({sql_words(text)}, lambda w: NOT list_contains({sql_list(SENTIMENT_STOP)}, w))"
+    return "((" + " + ".join(("contains(lower({}), '{}')::INT".format(text, k.replace("'", "''")) if " " in k or "'" in k else f"list_contains({words}, '{k}')::INT") for k in keywords) + f")::DOUBLE / {len(keywords)})"
+
+
+def sql_sentence_with(keywords, text: str) -> str:
+    parts = f"list_filter(list_transform(string_split_regex({text}, '[.!?]+'), lambda p: trim(p)), lambda p: p <> '')"
+    best = f"list_sort(list_transform({parts}, lambda p, i: {{'n': -({sql_overlap(keywords, 'p')}), 'i': i, 's': p}}))[1]"
+    return f"(SELECT CASE WHEN b.n < 0 THEN CASE WHEN length(b.s) <= 180 THEN b.s ELSE rtrim(substr(b.s, 1, 177)) || '...' END END FROM (SELECT {best} AS b))"
 
 
-@query("t24_sentiment_summary", f"""
+def requester_sql(text: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(lower({text}), '{p}'), '')" for p in terms.REQUESTER_PATTERNS) + ")"
+
+
+SEVERITY_SQL = "CASE " + " ".join(f"WHEN list_has_any(w, {sql_list(ws)}) THEN '{level}'" for level, ws in terms.SEVERITY.items()) + " END"
+
+
+@query("t24_field_texts", f"""
 WITH t AS (SELECT conv_id, turn, role, text, {sql_words('text')} AS w, {SQL_SENTENCES} AS s FROM conversations)
 SELECT conv_id, turn, role, CASE WHEN list_has_any(w, {sql_list(NEGATIVE)}) THEN 'negative' WHEN list_has_any(w, {sql_list(POSITIVE)}) THEN 'positive' ELSE 'neutral' END AS sentiment,
-  CASE WHEN length(coalesce(s[1], text)) <= 260 THEN coalesce(s[1], text) ELSE rtrim(substr(coalesce(s[1], text), 1, 257)) || '...' END AS summary FROM t""")
+  CASE WHEN length(coalesce(s[1], text)) <= 260 THEN coalesce(s[1], text) ELSE rtrim(substr(coalesce(s[1], text), 1, 257)) || '...' END AS summary,
+  {SEVERITY_SQL} AS severity, {requester_sql('text')} AS speaker, {sql_sentence_with(terms.PRIORITY_TERMS, 'text')} AS priority, {sql_sentence_with(terms.PAIN_TERMS, 'text')} AS pain_point FROM t""")
 def t24(spark, sf_dir):
     w = T.ascii_words("text")
     first = F.coalesce(F.try_element_at(sentences(F.col("text")), F.lit(1)), F.col("text"))
     sentiment = F.when(F.arrays_overlap(w, T.words_in(NEGATIVE)), "negative").when(F.arrays_overlap(w, T.words_in(POSITIVE)), "positive").otherwise("neutral")
-    summary = F.when(F.length(first) <= 260, first).otherwise(F.concat(F.rtrim(F.substring(first, 1, 257)), F.lit("...")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", sentiment.alias("sentiment"), summary.alias("summary"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", sentiment.alias("sentiment"), T.shortened(first, 260).alias("summary"), T.severity("text").alias("severity"), T.requester("text").alias("speaker"),
+        T.sentence_with("text", terms.PRIORITY_TERMS).alias("priority"), T.sentence_with("text", terms.PAIN_TERMS).alias("pain_point"),
+    )
 
 
 KEYWORDS = ["too much", "price", "the", "not now", "and"]
 
 
-def keyword_overlap(keywords, text):
-    low, ws = F.lower(text), T.ascii_words(text)
-    hit = F.filter(T.words_in(keywords), lambda k: F.when(F.contains(k, F.lit(" ")), F.contains(low, k)).otherwise(F.array_contains(F.array_except(ws, T.words_in(SENTIMENT_STOP)), k)))
-    return F.size(hit) / F.lit(float(len(keywords)))
-
-
 @query("t25_keyword_overlap", f"""
 WITH t AS (SELECT doc_id, lower(text) AS l, list_filter({sql_words('text')}, lambda w: NOT list_contains({sql_list(SENTIMENT_STOP)}, w)) AS w FROM documents)
 SELECT doc_id, round(len(list_filter({sql_list(KEYWORDS)}, lambda k: CASE WHEN contains(k, ' ') THEN contains(l, k) ELSE list_contains(w, k) END))::DOUBLE / 5, 6) AS overlap FROM t""")
 def t25(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(keyword_overlap(KEYWORDS, F.col("text")), 6).alias("overlap"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.keyword_overlap(KEYWORDS, "text"), 6).alias("overlap"))
 
 
 def _preset_sql() -> str:

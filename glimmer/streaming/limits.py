@@ -53,18 +53,18 @@ def decide(events: DataFrame, key: str, seconds: str, tie: str, limits: list[tup
     return ordered.mapInArrow(task, f"`{key}` {types[key]}, `{tie}` {types[tie]}, wait double")
 
 
-def make_processor(limits: list[tuple[int, float]]):
+def make_processor(limits: list[tuple[int, float]], expire: bool = True):
     """Streaming form for transformWithStateInPandas: input (key, tie, t), output (key, tie, wait).
 
-    The state is the list of recorded times inside the longest window. It expires when a key has had no event for
-    twice that window of processing time, so idle keys leave the store."""
+    The state is the list of recorded times inside the longest window. With ``expire`` it goes when a key has had no
+    event for twice that window of processing time, so idle keys leave the store."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     longest = max(w for _, w in limits)
 
     class Limiter(StatefulProcessor):
         def init(self, handle) -> None:
-            self.seen = handle.getListState("seen", "t double", ttlDurationMs=int(2000 * longest))
+            self.seen = handle.getListState("seen", "t double", ttlDurationMs=int(2000 * longest) if expire else None)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             seen = sorted(x[0] for x in self.seen.get())
@@ -87,9 +87,10 @@ def make_processor(limits: list[tuple[int, float]]):
     return Limiter()
 
 
-def limit_stream(events: DataFrame, limits: list[tuple[int, float]]) -> DataFrame:
-    """events(key, tie, t) as a stream."""
-    return events.groupBy("key").transformWithStateInPandas(make_processor(limits), "key long, tie long, wait double", "Append", "ProcessingTime")
+def limit_stream(events: DataFrame, limits: list[tuple[int, float]], expire: bool = True) -> DataFrame:
+    """events(key, tie, t) as a stream. State that expires makes Spark plan batches for ever, so a run that is to end by
+    itself (``availableNow``) goes without."""
+    return events.groupBy("key").transformWithStateInPandas(make_processor(limits, expire), "key long, tie long, wait double", "Append", "ProcessingTime" if expire else "none")
 
 
 def active_cap(requests: DataFrame, key: str, start: str, stop: str, tie: str, most: int = 2) -> DataFrame:
@@ -114,14 +115,14 @@ def active_cap(requests: DataFrame, key: str, start: str, stop: str, tie: str, m
     return rows.repartition(F.col(key)).sortWithinPartitions(key, "__a", tie).mapInArrow(task, f"`{key}` {types[key]}, `{tie}` {types[tie]}, admitted boolean")
 
 
-def progress_stream(updates: DataFrame, key: str, time: str, state: str, terminal: tuple[str, ...] = ("ready", "failed"), late: str = "1 hour") -> DataFrame:
+def progress_stream(updates: DataFrame, key: str, time: str, state: str, terminal: tuple[str, ...] = ("ready", "failed"), expire: bool = True) -> DataFrame:
     """Change detection over a stream of status rows: (key, state, seen_at) whenever a key's state differs from the one
-    before; after a terminal state a key is silent. State is kept for keys that are not terminal and expires with them."""
+    before; after a terminal state a key is silent. With ``expire``, a key's state goes after a week without a row."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Progress(StatefulProcessor):
         def init(self, handle) -> None:
-            self.last = handle.getValueState("last", "state string", ttlDurationMs=7 * 86_400_000)
+            self.last = handle.getValueState("last", "state string", ttlDurationMs=7 * 86_400_000 if expire else None)
 
         def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             last = self.last.get()[0] if self.last.exists() else None
@@ -140,7 +141,7 @@ def progress_stream(updates: DataFrame, key: str, time: str, state: str, termina
             pass
 
     rows = updates.select(F.col(key).cast("long").alias("key"), F.col(state).alias("state"), F.col(time).cast("double").alias("seen_at"))
-    return rows.groupBy("key").transformWithStateInPandas(Progress(), "key long, state string, seen_at double", "Append", "ProcessingTime")
+    return rows.groupBy("key").transformWithStateInPandas(Progress(), "key long, state string, seen_at double", "Append", "ProcessingTime" if expire else "none")
 
 
 def staged_answers(questions: DataFrame, answer, sink, checkpoint: str | None = None):

@@ -36,6 +36,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
+    assert name in SQL, "a query without SQL needs a test of its own"
     if name in SQL:
         out = duck.sql(SQL[name])
         assert sorted(out.columns) == columns

@@ -71,7 +71,7 @@ def test_limit_stream_equals_batch(spark, tmp_path):
     e = spark.createDataFrame([(k, k * 100 + i, t) for k, i, t in rows], "key long, tie long, t double")
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = limits.limit_stream(stream, [(2, 10.0)]).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = limits.limit_stream(stream, [(2, 10.0)], expire=False).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     got = sorted((r.tie, r.wait) for r in spark.table("limited").collect())
     want = sorted((r.tie, r.wait) for r in limits.decide(e, "key", "t", "tie", [(2, 10.0)]).collect())
