@@ -564,3 +564,17 @@ def test_op10_passing_keeps_columns(spark, edge):
     assert left.schema == d.schema
     verdict = rows(quality.quality(d).filter("kept"), "doc_id")
     assert rows(left, "doc_id") == verdict
+
+
+def test_words_put_together_from_pieces_have_the_library_s_ids():
+    """Contractions, Latin-1 letters, marks, signs that normal forms change, and strings of special tokens."""
+    import random
+
+    from glimmer.llm.encoding import Encoder, default_path
+    from tokenizers import Tokenizer
+
+    parts = ["a", "B", "é", "É", "ß", "ẞ", "Ÿ", "×", "÷", "©", "́", "'s", "'ll", "'", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "²", "İ", "K", "Σ", ".", "--", "</w>", "　", "\x1c", "\x7f", "漢", "🙂", "Ġ", " "]
+    rnd = random.Random(5)
+    texts = ["", " ", *("".join(rnd.choices(parts, k=rnd.randint(1, 14))) for _ in range(3000))]
+    library = Tokenizer.from_file(default_path())
+    assert [x.tolist() for x in Encoder(default_path()).encode([t.encode() for t in texts])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
