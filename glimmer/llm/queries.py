@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, linededup, mixing, quality, setjoin, substrings, tokenbits, tokencounts, warc
+from . import decontamination, fillmiddle, filteraudit, licenses, linededup, mixing, quality, setjoin, substrings, tokenbits, tokencounts, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_token_bits": tokenbits.op8,
         "op9_warc": warc.op9,
         "op10_quality": quality.op10,
+        "op11_filter_audit": filteraudit.op11,
+        "op13_fill_middle": fillmiddle.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op6_set_join": setjoin.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op6_set_join": setjoin.ORACLE, "op7_line_dedup": linededup.ORACLE, "op9_warc": warc.ORACLE, "op11_filter_audit": filteraudit.ORACLE, "op13_fill_middle": fillmiddle.ORACLE}
