@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fillmiddle, filteraudit, licenses, linededup, mixing, quality, setjoin, substrings, tokenbits, tokencounts, warc
+from . import decontamination, fillmiddle, filteraudit, licenses, linededup, mixing, personal, quality, setjoin, substrings, tokenbits, tokencounts, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_warc": warc.op9,
         "op10_quality": quality.op10,
         "op11_filter_audit": filteraudit.op11,
+        "op12_personal_data": personal.op12,
         "op13_fill_middle": fillmiddle.op13,
     }
 
