@@ -31,13 +31,15 @@ from .shared import documents, keyed
 #: Spans that the patterns find, in the order in which they are listed; the field adds to these, and secrets.
 BASE = ("email", "ip", "card", "phone")
 CARD_DIGITS, PHONE_DIGITS, MOST_PART = (13, 19), (9, 15), 255
-#: Digits that a span of a kind must hold to be whole, where the field has found it.
-WHOLE = {"card": (13, 19), "phone": (7, 15), "ip": (4, 12)}
+#: Digits (of a secret: letters and digits) that a span of a kind must hold to be whole, where the field has found it.
+WHOLE = {"card": (13, 19), "phone": (7, 15), "ip": (4, 12), "secret": (16, 1 << 30)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+#: An address as such, or with words for its signs: name, at, host.
+_SPOKEN = re.compile(rb"(?<![^\s@])[^\s@]++@[^\s@]*[^\s@.,;:!?]|(?<!\S)(?!at\b)\S++\s+[(\[]?at[)\]]?\s+(?!at\b)[^\s.]+(?:\.[^\s.]+|\s+[(\[]?dot[)\]]?\s+[^\s.]+)+", re.I)
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 
@@ -117,6 +119,17 @@ def _spread(flags: np.ndarray, owner: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
+def _whole(kind: str, inner: bytes) -> Iterator[tuple[int, int]]:
+    """The parts of a stretch of one kind that are whole; addresses that stand side by side are told apart."""
+    if kind == "email":
+        yield from (m.span() for m in _SPOKEN.finditer(inner))
+        return
+    low, high = WHOLE[kind]
+    counts = (lambda c: not _SIGN[c]) if kind == "secret" else (lambda c: 48 <= c < 58)
+    if low <= sum(map(counts, inner)) <= high:
+        yield 0, len(inner)
+
+
 def added_spans(field: S.Field, data: np.ndarray, offs: np.ndarray, known: list[list[tuple[str, int, int]]], skip: bool = True) -> list[list[tuple[str, int, int]]]:
     """What the field finds in each text beside the known spans; all offsets in bytes."""
     found: list[list[tuple[str, int, int]]] = [[] for _ in known]
@@ -159,14 +172,10 @@ def added_spans(field: S.Field, data: np.ndarray, offs: np.ndarray, known: list[
         a = int(s[at[k]] - offs[d]) + len(head[: S.core(head)[0]].encode())
         b = int(s[at[m - 1]] - offs[d]) + len(tail[: S.core(tail)[1]].encode())
         inner = raw[offs[d] + a : offs[d] + b]
-        low, high = WHOLE.get(kind, (0, 1 << 30))
-        whole = b > a and low <= sum(48 <= c < 58 for c in inner) <= high
-        if kind == "email":
-            whole = whole and len(inner) > 4 and any(x in inner.lower() for x in (b"@", b"at"))
-        elif kind == "secret":
-            whole = whole and sum(not _SIGN[c] for c in inner) >= 16
-        if whole and all(b <= x or y <= a for _, x, y in known[d]):
-            found[d].append((kind, a, b))
+        for x, y in _whole(kind, inner) if b > a else ():
+            x, y = a + x, a + y
+            if all(y <= v or w <= x for _, v, w in known[d]):
+                found[d].append((kind, x, y))
     return found
 
 
