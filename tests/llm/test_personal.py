@@ -61,8 +61,19 @@ def digest(spans):
 def test_op12_rows_on_edge_cases(spark, edge):
     folder, docs, *_ = edge
     got = personal.op12(spark, str(folder)).collect()
-    want = Counter((x[0], digest(plain_spans(x[1] or ""))) for x in docs)
-    assert Counter((r.doc_id, r.base_sha256) for r in got) == want
+    want = Counter((x[0], digest(p), *(sum(k == kind for k, *_ in p) for kind in PATTERNS)) for x in docs for p in [plain_spans(x[1] or "")])
+    assert Counter((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == want
+
+
+def test_op12_rows_of_labelled_texts(spark, tmp_path):
+    texts = [" ".join(w for w, _ in t) for t in skipchain.labelled_texts(60, 8)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = personal.op12(spark, str(tmp_path)).collect()
+    assert sum(r.n_email for r in got) and sum(r.n_phone for r in got) and sum(r.n_card for r in got) and sum(r.n_ip for r in got)
+    for r in got:
+        plain = plain_spans(texts[r.doc_id])
+        assert (r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) == (digest(plain), *(sum(k == kind for k, *_ in plain) for kind in PATTERNS))
+        assert {f"{k}:{a}:{b}" for k, a, b in plain} <= set(r.spans.split(","))
 
 
 TEXTS = [
