@@ -90,17 +90,21 @@ def twice_seen(keyed_docs: DataFrame, lines: int, min_key: int, bits: int = SEGM
             yield sent()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by segment; only one segment's two filters are held."""
-        now, once, twice = None, np.zeros(0, bool), np.zeros(0, bool)
+        """Rows come sorted by segment; only one segment's two filters are held, and the suspects it has sent: what the
+        twice-seen filter does not know is new, what it may know is looked up there, so no suspect is lost to it."""
+        now, once, twice, sent = None, np.zeros(0, bool), np.zeros(0, bool), set()
         for batch in batches:
             out = []
             for k, packed, again in zip(*(batch.column(c).to_pylist() for c in ("segment", "hashes", "again"))):
                 if k != now:
-                    now, once, twice = k, np.zeros(bits, bool), np.zeros(bits, bool)
+                    now, once, twice, sent = k, np.zeros(bits, bool), np.zeros(bits, bool), set()
                 h = np.frombuffer(packed, U64)
                 a, b = _probes(h, bits)
                 seen = (once[a] & once[b]) | np.frombuffer(again, bool)
-                fresh = seen & ~(twice[a] & twice[b])
+                known = np.flatnonzero(seen & twice[a] & twice[b])
+                fresh = seen.copy()
+                fresh[known] = [x not in sent for x in h[known].tolist()]
+                sent.update(h[fresh].tolist())
                 once[a] = once[b] = True
                 twice[a[fresh]] = twice[b[fresh]] = True
                 out.append(h[fresh].tobytes())

@@ -7,6 +7,7 @@ import pytest
 from glimmer.llm import decontamination, licenses, linededup, mixing, quality, setjoin, substrings, tokenbits, tokencounts, warc
 from glimmer.llm.encoding import default_path
 from glimmer.llm.queries import queries
+from glimmer.llm.shared import keep
 
 from . import brute
 
@@ -451,6 +452,33 @@ def test_op7_suspects_are_few_at_any_number_of_segments(spark):
     assert bits in (1 << 13, 1 << 14) and len(packed) == bits // 8
 
 
+def test_op7_no_repeat_is_lost(spark):
+    """200,000 keys in 10 documents each over 16 tasks, and as many in 9: filters fill, and every line of the first goes."""
+    from pyspark.sql import functions as F
+
+    def texts(first, copies):
+        block = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("line "), (F.col("block") * 1000 + i).cast("string")))
+        return spark.range(200 * copies).select((F.pmod("id", F.lit(200)) + first).alias("block")).select(F.concat_ws("\n", block).alias("text"))
+
+    docs = keep(texts(0, 10).union(texts(1000, 9)).repartition(16).withColumn("doc_id", F.monotonically_increasing_id()), "many")
+    out = linededup.dedup_lines(docs).groupBy((F.col("n_dropped") > 0).alias("hot")).agg(F.sum("n_lines").alias("n"), F.sum("n_dropped").alias("d")).collect()
+    assert {(r.hot, r.n, r.d) for r in out} == {(True, 2_000_000, 2_000_000), (False, 1_800_000, 0)}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 14])
+def test_op7_suspects_are_all_repeats_at_any_filling(spark, bits):
+    """Counted exactly: whatever the filters' size, each hash of a repeat is among the suspects once."""
+    import numpy as np
+
+    texts = [f"own {i}\nthird {i // 3}\nhalf {i // 2}\nall" for i in range(3000)]
+    docs = linededup.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    sent = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in linededup.twice_seen(docs, 12000, 1, bits).collect()])
+    repeats = [f"third {i}" for i in range(1000)] + [f"half {i}" for i in range(1500)] + ["all"]
+    ends = np.cumsum([len(x) + 1 for x in repeats]) - 1
+    want = linededup.B.hashes(np.frombuffer(" ".join(repeats).encode(), np.uint8), ends - [len(x) for x in repeats], ends, True)
+    assert len(sent) == len(set(sent.tolist())) and set(want.tolist()) <= set(sent.tolist())
+
+
 def test_op8_tokens(spark, edge):
     folder, docs, *_ = edge
     assert rows(tokenbits.op8(spark, str(folder)), "doc_id", "start", "n_tokens", "ids_crc32") == Counter(brute.tokens(pairs(docs), default_path(), 2))
