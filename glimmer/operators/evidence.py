@@ -117,7 +117,7 @@ def first_fit(df: DataFrame, group: list[str], order: list[str], alike: str) ->
         cast(array() as array<struct<cluster: int, row: {_struct_type(df, cols)}>>),
         (acc, x) -> array_append(acc, named_struct('cluster',
             coalesce(array_min(transform(filter(acc, m -> exists(array(m.row), y -> {alike})), m -> m.cluster)), coalesce(array_max(transform(acc, m -> m.cluster)), -1) + 1), 'row', x)))"""
-    return pool.select(*group, F.explode(F.expr(fold)).alias("m")).select(*group, F.col("m.cluster").alias("cluster"), "m.row.*")
+    return pool.select(*group, F.explode_outer(F.expr(fold)).alias("m")).filter("m is not null").select(*group, F.col("m.cluster").alias("cluster"), "m.row.*")
 
 
 def _struct_type(df: DataFrame, cols: list[str]) -> str:

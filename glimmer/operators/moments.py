@@ -86,6 +86,37 @@ def repeated_anchor_penalty(a: Column, b: Column) -> Column:
     return F.when((F.size(a) >= 3) & (F.size(b) >= 3) & (share >= 0.55), 0.85).otherwise(0.0)
 
 
+def running_best(df: DataFrame, group: list[str], a: str, b: str, reach: float) -> DataFrame:
+    """(group, id, t, a, b) -> each row as an anchor with (target, target_t, target_b, gap): of the rows after it within
+    ``reach`` the one whose b, less what its distance costs (a quarter over the whole reach), is largest; none: no row.
+
+    The cost of a distance is the difference of two times, so targets can be compared without their anchors: the best
+    of a range of times is a running maximum. Times are cut into buckets of ``reach``; an anchor's range is the rest of
+    its bucket and the beginning of the next one, a suffix and a prefix. So each row takes part in two sorted passes,
+    and no pair is formed, however many rows lie within reach."""
+    rows = df.select(*group, "id", "t", a, b, F.floor(F.col("t") / reach).alias("__b"))
+    value = F.struct((-F.round(F.col(b) - 0.25 * F.col("t") / reach, 9)).alias("v"), F.col("t"), F.col("id"), F.col(b).alias("b"))
+    w = W.partitionBy(*group, "__b")
+    # later rows of the own bucket: ranks, since rows of one time are not after each other
+    own = rows.withColumn("__v", value).withColumn("__k", F.dense_rank().over(w.orderBy(F.desc("t"))))
+    own = own.withColumn("__rest", F.min("__v").over(w.orderBy("__k").rangeBetween(W.unboundedPreceding, -1)))
+    # the next bucket's rows up to the end of reach: anchors stand among them at that end
+    ends = own.select(*group, (F.col("__b") + 1).alias("__b"), (F.col("t") + reach).alias("__t"), F.lit(None).cast(own.schema["__v"].dataType).alias("__v"), F.struct("id", "t", a, "__rest").alias("__a"))
+    both = own.select(*group, "__b", F.col("t").alias("__t"), "__v", F.lit(None).cast(ends.schema["__a"].dataType).alias("__a")).unionByName(ends)
+    upto = w.orderBy("__t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    best = both.withColumn("__next", F.min("__v").over(upto)).filter(F.col("__a").isNotNull()).withColumn("__best", F.least("__next", "__a.__rest")).filter(F.col("__best").isNotNull())
+    return best.select(*group, F.col("__a.id").alias("id"), F.col("__a.t").alias("t"), F.col(f"__a.{a}").alias(a), F.col("__best.id").alias("target"), F.col("__best.t").alias("target_t"), F.col("__best.b").alias("target_b"), (F.col("__best.t") - F.col("__a.t")).alias("gap"))
+
+
+def best_directed_pair(df: DataFrame, group: list[str], a: str, b: str, reach: float) -> DataFrame:
+    """(group, anchor, target): the pair, target after anchor within ``reach``, with the largest a + b + nearness; ties to
+    the smaller gap, the earlier anchor, the smaller ids."""
+    best = running_best(df, group, a, b, reach)
+    score = F.round(F.col(a) + F.col("target_b") + 0.25 * (1 - F.col("gap") / reach), 9)
+    picked = F.min(F.struct((-score).alias("s"), F.col("gap"), F.col("t"), F.col("id"), F.col("target")))
+    return best.groupBy(*group).agg(picked.alias("p")).select(*group, F.col("p.id").alias("anchor"), F.col("p.target").alias("target"))
+
+
 def temporal_pairs(df: DataFrame, group: list[str], direction: str, target_query: str, anchor_query: str = "", reach: float = 300.0) -> DataFrame:
     """(group, id, t, segment_id, anchor_score, target_score, text) -> anchor, target, score.
 

@@ -47,11 +47,17 @@ def pools(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("t", "id", "modality", "z", "anchor_t", "toks"))).alias("pool"))
 
 
+def unfolded(df: DataFrame, fold: str, *keep) -> DataFrame:
+    """The rows of a fold that yields an array of structs with an id. The outer generator has no filter on its array, which
+    the optimizer would push down as a second and third copy of the whole fold."""
+    return df.select(*keep, F.expr(f"inline_outer({fold})")).filter("id is not null")
+
+
 def mmr_select(df: DataFrame, group: list[str], preset: str = "balanced", scale: float = 1.0, drop_neighbors: bool = True, name: str = "sel") -> DataFrame:
     """(group, t, id, modality, z) -> (group, id, rank, mmr, t, modality) of the chosen."""
     k, lam, sigma = terms.PRESETS[preset]
     expr = mmr_expression(str(k), f"{lam}D", f"{sigma * scale}D", drop_neighbors)
-    return pools(df, group).select(*group, F.expr(f"inline({expr})"))
+    return unfolded(pools(df, group), expr, *group)
 
 
 def top_k(df: DataFrame, group: list[str], k: int, order: list, rank: str = "rank") -> DataFrame:

@@ -74,12 +74,10 @@ WITH {EVENT_CANDIDATES_SQL}, p AS (SELECT a.video_id, a.id AS anchor, b.id AS ta
 SELECT video_id, unnest([anchor, target]) AS id FROM p WHERE r = 1""")
 def k14(spark, sf_dir):
     """The best directed pair of each video is forced into its pool."""
-    c = event_candidates(spark, sf_dir)
-    a, b = c.alias("a"), c.alias("b")
-    p = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("b.t") > F.col("a.t")) & (F.col("b.t") <= F.col("a.t") + REACH))
-    score = F.round(F.col("a.saliency") / 500 + 1 - F.col("b.saliency") / 500 + 0.25 * (1 - (F.col("b.t") - F.col("a.t")) / REACH), 9)
-    best = p.groupBy("a.video_id").agg(F.min_by(F.array("a.id", "b.id"), F.struct(-score, F.col("b.t") - F.col("a.t"), F.col("a.t"), F.col("a.id"), F.col("b.id"))).alias("ids"))
-    return best.select("video_id", F.explode("ids").alias("id"))
+    from ..operators.moments import best_directed_pair
+
+    c = event_candidates(spark, sf_dir).select("video_id", "id", "t", (F.col("saliency") / 500).alias("a"), (1 - F.col("saliency") / 500).alias("b"))
+    return best_directed_pair(c, G, "a", "b", REACH).select("video_id", F.explode(F.array("anchor", "target")).alias("id"))
 
 
 @query("k22_ranked_cards", f"""
@@ -121,7 +119,7 @@ def k23(spark, sf_dir):
     pool = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("q", "r", "t", "id", "toks"))).alias("pool"))
     fold = f"""aggregate(pool, cast(array() as array<struct<t: double, id: string, toks: array<string>>>), (acc, x) ->
         if(size(acc) >= {MAX_DISPLAY_MOMENTS} or exists(acc, y -> size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= {NEAR_DUPLICATE_TRANSCRIPT}D), acc, array_append(acc, named_struct('t', x.t, 'id', x.id, 'toks', x.toks))))"""
-    return pool.select("video_id", F.posexplode(F.array_sort(F.expr(fold))).alias("place", "m")).select("video_id", "place", "m.id")
+    return pool.select("video_id", F.posexplode_outer(F.array_sort(F.expr(fold))).alias("place", "m")).filter("m is not null").select("video_id", "place", "m.id")
 
 
 @query("j4_claimed_context_audio", f"""
@@ -140,7 +138,7 @@ def j4(spark, sf_dir):
     fold = f"""aggregate(vs, cast(array() as array<struct<visual: string, audio: string>>), (acc, v) -> transform(
         array(array_min(transform(filter(audio, a -> abs(a.t - v.t) <= {30 * SCALE}D and not exists(acc, c -> c.audio = a.id)), a -> named_struct('gap', abs(a.t - v.t), 'id', a.id)))),
         b -> if(b is null, acc, array_append(acc, named_struct('visual', v.id, 'audio', b.id))))[0])"""
-    return v.join(a, "video_id").select("video_id", F.expr(f"inline({fold})"))
+    return v.join(a, "video_id").select("video_id", F.expr(f"inline_outer({fold})")).filter("visual is not null")
 
 
 @query("j12_nearby_audio", f"""

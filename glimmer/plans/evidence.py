@@ -261,7 +261,7 @@ def l3(spark, sf_dir):
     fold = f"""aggregate(transform(pool, p -> p.row), cast(array() as array<{row}>), (acc, x) -> transform(
         array(array_min(filter(transform(acc, (y, i) -> if({DUPLICATE}, i, null)), i -> i is not null))),
         j -> case when j is null then array_append(acc, x) when x.confidence > acc[j].confidence then transform(acc, (y, i) -> if(i = j, x, y)) else acc end)[0])"""
-    return p.select("video_id", F.explode(F.expr(fold)).alias("m")).select("video_id", "m.id", "m.label", F.round("m.confidence", 6).alias("confidence"))
+    return p.select("video_id", F.explode_outer(F.expr(fold)).alias("m")).filter("m is not null").select("video_id", "m.id", "m.label", F.round("m.confidence", 6).alias("confidence"))
 
 
 @query("l5_extraction_evaluation", f"""

@@ -82,7 +82,7 @@ SELECT query_id, {case(1, 'mixed_av')} AS intent, {case(2, r['none'])} AS reason
 
 @query("t7_query_intent", _intent_sql())
 def t7(spark, sf_dir):
-    return _asked(spark, sf_dir).select("query_id", F.inline(F.array(T.query_intent("query"))))
+    return _asked(spark, sf_dir).select("query_id", F.inline_outer(F.array(T.query_intent("query"))))
 
 
 @query("t8_decompose", f"""
@@ -225,10 +225,11 @@ def t19(spark, sf_dir):
     forms = F.create_map(*[F.lit(x) for pair in KEYWORD_FORMS.items() for x in pair])
     one = F.transform(raw, lambda x: F.coalesce(F.try_element_at(forms, x), x))
     ok = F.filter(one, lambda x: ~x.isin(KEYWORD_STOPWORDS) & ~x.rlike(r"[0-9'\-]") & (F.length(x) <= 24))
-    s = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(ok).alias("s")).filter(F.size("s") > 0)
-    s = s.withColumn("at", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"))
+    s = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(ok).alias("s"))
+    s = s.withColumn("at", F.expr("filter(sequence(0, size(s)), i -> i < size(s) and (i = 0 or s[i] <> s[i - 1]))"))
     best = F.expr("slice(array_sort(zip_with(at, slice(concat(at, array(size(s))), 2, size(at)), (a, b) -> named_struct('o', a - b, 'term', s[a]))), 1, 16)")
-    rows = s.select("doc_id", F.posexplode(best).alias("i", "b"))
+    # an outer generator: a filter on its array would be pushed down as further copies of the whole chain
+    rows = s.select("doc_id", F.posexplode_outer(best).alias("i", "b")).filter("b is not null")
     return rows.select("doc_id", "b.term", (-F.col("b.o")).cast("long").alias("n"), (F.col("i") + 1).alias("rank"))
 
 
