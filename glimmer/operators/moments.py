@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,7 +125,7 @@ def temporal_pairs(df: DataFrame, group: list[str], direction: str, target_query
     """(group, id, t, segment_id, anchor_score, target_score, text) -> anchor, target, score.
 
     For each anchor the targets on its side within ``reach``: if some lie in other segments, the best of each of the
-    eight nearest such segments, else the single nearest."""
+    eight nearest such segments, else the single nearest (see ``targets_by_sweep``). ids are unique in a group."""
     rows = df.filter(F.col("anchor_score").isNotNull() & F.col("target_score").isNotNull()).withColumn("content", content_terms(F.col("text")))
     tq = F.lit(target_query)
     rows = rows.withColumn("bonus", target_text_bonus(tq, F.col("text"))).withColumn("noise", target_noise_penalty(tq, F.col("text")))
@@ -130,24 +134,94 @@ def temporal_pairs(df: DataFrame, group: list[str], direction: str, target_query
     opening = F.greatest(F.lit(60.0), F.least(F.lit(120.0), F.greatest(hi - lo, F.lit(1.0)) * 0.02))
     asked = F.arrays_overlap(T.ascii_words(F.lit(anchor_query)), T.words_in(OPENING_WORDS))
     rows = rows.withColumn("position", F.when(asked, 1.1 * F.greatest(1.0 - F.greatest(F.col("t") - lo, F.lit(0.0)) / opening, F.lit(0.0))).otherwise(0.0))
-    a, b = rows.alias("a"), rows.alias("b")
-    side = (F.col("b.t") > F.col("a.t")) & (F.col("b.t") <= F.col("a.t") + reach) if direction == "after" else (F.col("b.t") < F.col("a.t")) & (F.col("b.t") >= F.col("a.t") - reach)
-    on = side
-    for g in group:
-        on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    p = a.join(b, on).select(
-        *[F.col(f"a.{g}") for g in group], F.col("a.id").alias("anchor"), F.col("b.id").alias("target"), F.col("a.t").alias("at"), F.col("b.t").alias("bt"), F.abs(F.col("a.t") - F.col("b.t")).alias("gap"), F.col("b.segment_id").alias("seg"),
-        F.coalesce(F.col("a.segment_id") != F.col("b.segment_id"), F.lit(False)).alias("moved"), F.col("a.anchor_score").alias("sa"), F.col("b.target_score").alias("sb"), F.col("b.bonus").alias("bonus"), F.col("b.noise").alias("noise"), F.col("a.position").alias("position"), F.col("a.content").alias("ca"), F.col("b.content").alias("cb"),
-    )
-    per = W.partitionBy(*group, "anchor")
-    p = p.withColumn("any_moved", F.bool_or("moved").over(per)).withColumn("near", F.row_number().over(per.orderBy("gap", "bt", "target")))
-    p = p.withColumn("seg_gap", F.min(F.when(F.col("moved"), F.struct("gap", "bt", "target"))).over(W.partitionBy(*group, "anchor", "seg")))
-    p = p.withColumn("seg_place", F.dense_rank().over(W.partitionBy(*group, "anchor", "moved").orderBy("seg_gap"))).withColumn("best", F.row_number().over(W.partitionBy(*group, "anchor", "seg", "moved").orderBy(F.desc("bonus"), F.desc("sb"), "bt", "target")))
-    p = p.filter(F.when(F.col("any_moved"), F.col("moved") & (F.col("seg_place") <= 8) & (F.col("best") == 1)).otherwise(F.col("near") == 1))
+    found = targets_by_sweep(rows, group, direction, reach)
+    a, b = rows.select(*group, F.col("id").alias("anchor"), F.col("t").alias("at"), F.col("anchor_score").alias("sa"), "position", F.col("content").alias("ca")), rows.select(*group, F.col("id").alias("target"), F.col("t").alias("bt"), F.col("target_score").alias("sb"), "bonus", "noise", F.col("content").alias("cb"))
+    p = found.join(a, [*group, "anchor"]).join(b, [*group, "target"]).withColumn("gap", F.abs(F.col("at") - F.col("bt")))
     score = F.col("sa") + F.col("sb") + 0.25 * F.greatest(1.0 - F.col("gap") / reach, F.lit(0.0)) + F.when(F.col("moved"), 0.1).otherwise(0.0) + F.col("position") + F.col("bonus") - F.col("noise") - repeated_anchor_penalty(F.col("ca"), F.col("cb"))
     return p.select(*group, "anchor", "target", score.alias("score"), "gap", "at")
 
 
+NEAREST_SEGMENTS = 8
+
+
+class _Walk:
+    """One stretch of time of one group, walked against the direction: what has been passed is what an anchor may reach."""
+
+    def __init__(self, after: bool, reach: float):
+        self.sign, self.reach = 1.0 if after else -1.0, reach
+        self.segments: dict = {}  # a segment's last row passed, the latest at the end
+        self.best: dict = defaultdict(deque)  # a segment's rows that may still be its best, the best first
+        self.last = None
+
+    def inside(self, t: float, passed: float) -> bool:
+        return passed <= t + self.reach if self.sign > 0 else passed >= t - self.reach
+
+    def targets(self, t: float, segment) -> list[tuple[str, bool]]:
+        near = []
+        for seg in reversed(self.segments):
+            if len(near) == NEAREST_SEGMENTS or not self.inside(t, self.segments[seg]):
+                break
+            if segment is not None and seg is not None and seg != segment:
+                near.append(seg)
+        for seg in near:
+            while not self.inside(t, self.best[seg][0][2]):
+                self.best[seg].popleft()
+        if near or self.last is None or not self.inside(t, self.last[0]):
+            return [(self.best[seg][0][3], True) for seg in near]
+        return [(self.last[1], False)]
+
+    def passes(self, t: float, id, segment, bonus: float, score: float) -> None:
+        # a larger bonus, then score, then the earlier time, then the smaller id
+        row, mine = (-bonus, -score, t, id), self.best[segment]
+        while mine and mine[-1] > row:
+            mine.pop()
+        mine.append(row)
+        self.segments.pop(segment, None)
+        self.segments[segment] = t
+        self.last = t, id
+
+
+def _sweep(group: list[str], after: bool, reach: float):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by stretch, then along the walk; those of one time are passed after all of them have asked."""
+        stretch, walk, waiting = None, None, []
+        for batch in batches:
+            out: list[tuple] = []
+            keys = list(zip(*(batch.column(g).to_pylist() for g in (*group, "b"))))
+            for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("t", "id", "segment_id", "bonus", "target_score", "own")))):
+                if key != stretch:
+                    stretch, walk, waiting = key, _Walk(after, reach), []
+                if waiting and waiting[0][0] != row[0]:
+                    for w in waiting:
+                        walk.passes(*w)
+                    waiting = []
+                if row[5]:
+                    out += [(*key[:-1], row[1], *x) for x in walk.targets(row[0], row[2])]
+                waiting.append(row[:5])
+            columns = list(zip(*out)) or [()] * (len(group) + 3)
+            types = [*(batch.schema.field(g).type for g in (*group, "id", "id")), pa.bool_()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=[*group, "anchor", "target", "moved"])
+
+    return task
+
+
+def targets_by_sweep(rows: DataFrame, group: list[str], direction: str, reach: float) -> DataFrame:
+    """(group, id, t, segment_id, bonus, target_score) -> anchor, target, moved.
+
+    Times are cut into buckets of ``reach``; a bucket is walked with the one that its anchors look into, so a group of any
+    length is many tasks. The walk keeps the segments by when they were last passed and, for each, a queue of the rows that
+    can still be its best (a row that is worse than a nearer one never is), so its work is near linear in the rows, where
+    pairing all rows within reach is not."""
+    after = direction == "after"
+    own = F.floor(F.col("t") / reach)
+    cut = rows.select(*group, "id", "t", F.col("segment_id").cast("string").alias("segment_id"), F.col("bonus").cast("double").alias("bonus"), F.col("target_score").cast("double").alias("target_score"), F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + (-1 if after else 1)).alias("b"), F.lit(False).alias("own")))).alias("x"))
+    cut = cut.select("*", "x.b", "x.own").drop("x")
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{g}` {types[g]}" for g in group), f"anchor {types['id']}", f"target {types['id']}", "moved boolean"])
+    along = F.desc("t") if after else F.col("t")
+    return cut.repartition(*group, "b").sortWithinPartitions(*group, "b", along, F.desc("id")).mapInArrow(_sweep(group, after, reach), schema)
+
+
 def merge_edges(df: DataFrame, group: list[str], sigma: float, ratio: float = terms.MERGE_RATIO) -> DataFrame:
     """(group, id, modality, t, toks) -> source, target, similarity: rows alternate in time between two sides, every
     row of the first takes its most similar one of the second, and the strongest edges stay."""

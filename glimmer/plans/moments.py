@@ -131,7 +131,7 @@ def k16(spark, sf_dir):
 
 
 @query("j5_temporal_pairs", f"""
-WITH {EVENT_CANDIDATES_SQL}, s AS (SELECT video_id, id, t, segment_id, saliency / 500 AS sa, 1 - saliency / 500 AS sb FROM cand WHERE saliency > 20),
+WITH {EVENT_CANDIDATES_SQL}, s AS (SELECT video_id, id, t, segment_id, saliency / 500 AS sa, 1 - saliency / 500 AS sb FROM cand),
 p AS (SELECT a.video_id, a.id AS anchor, b.id AS target, a.t AS at, b.t AS bt, abs(a.t - b.t) AS gap, b.segment_id AS seg, a.segment_id <> b.segment_id AS moved, a.sa, b.sb FROM s a JOIN s b ON a.video_id = b.video_id AND b.t > a.t AND b.t <= a.t + {REACH}::DOUBLE),
 q AS (SELECT *, bool_or(moved) OVER (PARTITION BY video_id, anchor) AS anym, row_number() OVER (PARTITION BY video_id, anchor ORDER BY gap, bt, target) AS near,
   min(CASE WHEN moved THEN gap END) OVER (PARTITION BY video_id, anchor, seg) AS sgap, row_number() OVER (PARTITION BY video_id, anchor, seg ORDER BY sb DESC, bt, target) AS best FROM p),
@@ -139,7 +139,7 @@ k AS (SELECT *, dense_rank() OVER (PARTITION BY video_id, anchor, moved ORDER BY
 SELECT video_id, anchor, target, round(sa + sb + 0.25::DOUBLE * greatest(1 - gap / {REACH}::DOUBLE, 0) + CASE WHEN moved THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM k
 WHERE CASE WHEN anym THEN moved AND place <= 8 AND best = 1 ELSE near = 1 END""")
 def j5(spark, sf_dir):
-    c = event_candidates(spark, sf_dir).filter("saliency > 20").withColumn("anchor_score", F.col("saliency") / 500).withColumn("target_score", 1 - F.col("saliency") / 500).withColumn("text", F.lit(""))
+    c = event_candidates(spark, sf_dir).withColumn("anchor_score", F.col("saliency") / 500).withColumn("target_score", 1 - F.col("saliency") / 500).withColumn("text", F.lit(""))
     return M.temporal_pairs(c, ["video_id"], "after", "what happens", "the event", REACH).select("video_id", "anchor", "target", F.round("score", 6).alias("score"))
 
 

@@ -195,3 +195,21 @@ def test_running_best_of_a_group_of_many_rows(spark):
     best = M.best_directed_pair(df, ["g"], "a", "b", 1000.0)
     assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
     assert best.count() == 1
+
+
+@pytest.mark.parametrize("direction", ["after", "before"])
+def test_sweep_finds_what_all_pairs_have(spark, direction):
+    rng = random.Random(12)
+    rows = [(g, f"r{i:03d}", float(rng.randrange(0, 300)), rng.choice([None, "a", "b", "c", *(f"s{k}" for k in range(12))]), float(rng.randrange(2)), rng.randrange(6) / 4) for g in range(10) for i in range(rng.randrange(0, 90))]
+    df = spark.createDataFrame(rows, "g long, id string, t double, segment_id string, bonus double, target_score double")
+    got = sorted((r.g, r.anchor, r.target, r.moved) for r in M.targets_by_sweep(df, ["g"], direction, 50.0).collect())
+    want = []
+    for g, i, t, s, *_ in rows:
+        side = [x for x in rows if x[0] == g and (t < x[2] <= t + 50.0 if direction == "after" else t - 50.0 <= x[2] < t)]
+        moved = [x for x in side if s is not None and x[3] is not None and x[3] != s]
+        if moved:
+            near = sorted({x[3] for x in moved}, key=lambda seg: min((abs(x[2] - t), x[2], x[1]) for x in moved if x[3] == seg))[:8]
+            want += [(g, i, min((-x[4], -x[5], x[2], x[1]) for x in moved if x[3] == seg)[3], True) for seg in near]
+        elif side:
+            want.append((g, i, min((abs(x[2] - t), x[2], x[1]) for x in side)[2], False))
+    assert got == sorted(want)
