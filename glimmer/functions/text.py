@@ -232,6 +232,15 @@ def sentences(text) -> Column:
     return F.filter(F.transform(F.split(col(text), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
 
 
+def cited_ranks(answer, n) -> Column:
+    """Ranks from 1 to n that an answer cites, in prose ("evidence 2") or in a list ("Evidence: 1, 3"), in order."""
+    low = F.lower(col(answer))
+    prose = F.regexp_extract_all(low, F.lit(r"evidence\s+(\d+)"), F.lit(1))
+    listed = F.regexp_extract_all(F.regexp_extract(low, r"evidence:\s*([\d,\s]+)", 1), F.lit(r"(\d+)"), F.lit(1))
+    ranks = F.filter(F.transform(F.concat(prose, listed), lambda v: v.try_cast("int")), lambda v: (v >= 1) & (v <= n))
+    return F.array_sort(F.array_distinct(ranks))
+
+
 def keyword_overlap(keywords, text) -> Column:
     """Share of the keywords that a text has, phrases as they stand and words as words."""
     low = F.lower(col(text))

@@ -194,20 +194,17 @@ def t17(spark, sf_dir):
     return s.select("conv_id", "turn", "role", F.size("claims").alias("n_claims"), "claims")
 
 
-CITED = [("a1", "Supported by evidence 1 and evidence 3.", 4), ("a2", "Evidence: 2, 4, 9", 4), ("a3", "nothing", 4), ("a4", "Evidence 2 shows it. Evidence: 1", 2)]
+_CITING = "text || CASE turn % 3 WHEN 0 THEN ' See evidence ' || (turn + 1) || ' and Evidence 9.' WHEN 1 THEN ' Evidence: ' || turn || ', ' || (turn + 2) || ', 77' ELSE '' END"
 
 
-@query("t18_citations", r"""
-WITH a(id, answer, n) AS (VALUES ('a1', 'Supported by evidence 1 and evidence 3.', 4), ('a2', 'Evidence: 2, 4, 9', 4), ('a3', 'nothing', 4), ('a4', 'Evidence 2 shows it. Evidence: 1', 2)),
-x AS (SELECT id, n, list_concat(regexp_extract_all(lower(answer), 'evidence\s+(\d+)', 1), regexp_extract_all(regexp_extract(lower(answer), 'evidence:\s*([\d,\s]+)', 1), '\d+')) AS r FROM a)
-SELECT id, list_sort(list_distinct(list_filter(list_transform(r, lambda v: v::INT), lambda v: v BETWEEN 1 AND n))) AS ranks FROM x""")
+@query("t18_citations", rf"""
+WITH a AS (SELECT conv_id, turn, role, {_CITING} AS answer, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+x AS (SELECT conv_id, turn, role, n, list_concat(regexp_extract_all(lower(answer), 'evidence\s+(\d+)', 1), regexp_extract_all(regexp_extract(lower(answer), 'evidence:\s*([\d,\s]+)', 1), '\d+')) AS r FROM a)
+SELECT conv_id, turn, role, list_sort(list_distinct(list_filter(list_transform(r, lambda v: v::INT), lambda v: v BETWEEN 1 AND n))) AS ranks FROM x""")
 def t18(spark, sf_dir):
-    a = spark.createDataFrame(CITED, "id string, answer string, n int")
-    low = F.lower("answer")
-    prose = F.regexp_extract_all(low, F.lit(r"evidence\s+(\d+)"), F.lit(1))
-    listed = F.regexp_extract_all(F.regexp_extract(low, r"evidence:\s*([\d,\s]+)", 1), F.lit(r"(\d+)"), F.lit(1))
-    ranks = F.filter(F.transform(F.concat(prose, listed), lambda v: v.cast("int")), lambda v: (v >= 1) & (v <= F.col("n")))
-    return a.select("id", F.array_sort(F.array_distinct(ranks)).alias("ranks"))
+    """Turns as answers that cite in prose, in a list or not at all; ranks count up to the conversation's turns."""
+    a = table(spark, sf_dir, "conversations").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("conv_id"))).withColumn("answer", F.expr(_CITING))
+    return a.select("conv_id", "turn", "role", T.cited_ranks("answer", F.col("n")).alias("ranks"))
 
 
 def _form_sql(x):
