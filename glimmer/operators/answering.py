@@ -8,6 +8,8 @@ another, what is seen, what is said and seen of an entity, and the best sentence
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ QUESTION = r"(?:^|[\s,;:])(why|what|how|when|where|who|which)\s+"
 ON_SCREEN, PLACEHOLDER = "on-screen text near", "visual frame sampled at"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once and stands once in the expression, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _has(words: Column, of) -> Column:
     return F.arrays_overlap(words, T.words_in(of))
 
@@ -42,12 +49,10 @@ def _common(ws: Column, of) -> Column:
 
 def summary_score(text: Column) -> Column:
     """How much a text says about a topic: content and technical words, less administration, fillers and noise."""
-    ws, raw, low = content_terms(text), T.ascii_words(text), F.lower(text)
-    singles = F.coalesce(F.try_divide(F.size(F.filter(raw, lambda w: F.length(w) == 1)), F.size(raw)), F.lit(0.0))
-    return (
-        F.least(F.size(ws), F.lit(16)) / F.lit(8.0) + 0.45 * _common(ws, terms.GLOBAL_TOPIC_LABELS) - 0.7 * _common(ws, terms.GLOBAL_ADMIN_TERMS) - 0.35 * T.count_contained(text, terms.GLOBAL_FILLER_PHRASES)
-        - 3.0 * singles - F.when(F.startswith(low, F.lit(PLACEHOLDER)), 2.0).otherwise(0.0) - F.when(F.size(ws) < 3, 2.0).otherwise(0.0)
-    )
+    low = F.lower(text)
+    singles = let(T.ascii_words(text), lambda raw: F.coalesce(F.try_divide(F.size(F.filter(raw, lambda w: F.length(w) == 1)), F.size(raw)), F.lit(0.0)))
+    worth = let(content_terms(text), lambda ws: F.least(F.size(ws), F.lit(16)) / F.lit(8.0) + 0.45 * _common(ws, terms.GLOBAL_TOPIC_LABELS) - 0.7 * _common(ws, terms.GLOBAL_ADMIN_TERMS) - F.when(F.size(ws) < 3, 2.0).otherwise(0.0))
+    return worth - 0.35 * T.count_contained(text, terms.GLOBAL_FILLER_PHRASES) - 3.0 * singles - F.when(F.startswith(low, F.lit(PLACEHOLDER)), 2.0).otherwise(0.0)
 
 
 def summary_noise(text: Column) -> Column:
@@ -63,21 +68,25 @@ def _listed(labels: Column) -> Column:
 def topic_labels(ws: Column) -> Column:
     """Labels of the technical words, in order and once; a label whose words are part of another's is left out."""
     names = F.create_map(*[F.lit(x) for pair in terms.GLOBAL_TOPIC_LABELS.items() for x in pair])
-    labels = F.array_distinct(F.transform(F.filter(ws, lambda w: w.isin(list(terms.GLOBAL_TOPIC_LABELS)) & ~w.isin(terms.GLOBAL_ADMIN_TERMS)), lambda w: F.try_element_at(names, w)))
+    named = F.array_distinct(F.transform(F.filter(ws, lambda w: w.isin(list(terms.GLOBAL_TOPIC_LABELS)) & ~w.isin(terms.GLOBAL_ADMIN_TERMS)), lambda w: F.try_element_at(names, w)))
 
     def inside(x: Column, y: Column) -> Column:
         a, b = F.split(x, " "), F.split(y, " ")
         return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) > 0)
 
-    return F.filter(labels, lambda x: ~F.exists(labels, lambda y: inside(x, y)))
+    return let(named, lambda labels: F.filter(labels, lambda x: ~F.exists(labels, lambda y: inside(x, y))))
 
 
 def topic_phrase(text: Column) -> Column:
     """The technical topics of a text, at most four, else its first words if it says enough; else an empty string."""
     ws = F.filter(T.ascii_words(text), lambda w: ~w.isin(terms.VISUAL_STOPWORDS) & ~w.isin(terms.GLOBAL_TOPIC_STOPWORDS) & (F.length(w) > 2))
-    labels = topic_labels(ws)
-    enough = (F.size(ws) >= 3) & (summary_score(text) > terms.GLOBAL_TOPIC_MIN_SCORE) & ~summary_noise(text)
-    return F.when(F.size(labels) > 0, _listed(F.slice(labels, 1, 4))).when(enough, F.array_join(F.slice(ws, 1, 7), " ")).otherwise("")
+
+    def of(ws: Column) -> Column:
+        enough = (F.size(ws) >= 3) & (summary_score(text) > terms.GLOBAL_TOPIC_MIN_SCORE) & ~summary_noise(text)
+        plain = F.when(enough, F.array_join(F.slice(ws, 1, 7), " ")).otherwise("")
+        return let(F.slice(topic_labels(ws), 1, 4), lambda labels: F.when(F.size(labels) > 0, _listed(labels)).otherwise(plain))
+
+    return let(ws, of)
 
 
 def clean_snippet(text: Column) -> Column:
@@ -104,9 +113,8 @@ def snippet(text: Column) -> Column:
 
 
 def topic(snip: Column) -> Column:
-    phrase = topic_phrase(snip)
     thin = summary_noise(snip) | (summary_score(snip) <= terms.GLOBAL_TOPIC_MIN_SCORE)
-    return F.when(snip == "", "").when(phrase != "", phrase).when(thin, "").otherwise(F.rtrim(snip, F.lit(" .")))
+    return F.when(snip == "", "").otherwise(F.coalesce(F.nullif(topic_phrase(snip), F.lit("")), F.when(thin, "").otherwise(F.rtrim(snip, F.lit(" .")))))
 
 
 def agenda_topics(text: Column) -> Column:
@@ -128,7 +136,8 @@ def agenda_topics(text: Column) -> Column:
 
 
 def _covers(topics: Column) -> Column:
-    return F.when(F.size(topics) > 0, F.concat(F.lit("The video covers: "), F.array_join(F.transform(topics, lambda x: F.rtrim(x, F.lit(" ."))), "; "), F.lit(".")))
+    listed = F.array_join(F.transform(topics, lambda x: F.rtrim(x, F.lit(" ."))), "; ")
+    return F.concat(F.lit("The video covers: "), F.nullif(listed, F.lit("")), F.lit("."))
 
 
 def summary_answer(items: Column) -> Column:
@@ -142,7 +151,7 @@ def summary_answer(items: Column) -> Column:
         alike = lambda y: F.coalesce(F.try_divide(F.size(F.array_intersect(x["ws"], y["ws"])), F.least(F.size(x["ws"]), F.size(y["ws"]))), F.lit(0.0)) >= terms.GLOBAL_TOPIC_OVERLAP
         return F.when(F.exists(acc, alike), acc).otherwise(F.array_append(acc, x))
 
-    kept = F.aggregate(ranked, F.slice(ranked, 1, 0), add)
+    kept = let(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), add))
     strongest = F.array_sort(F.transform(F.slice(kept, 1, terms.MAX_GLOBAL_TOPICS), lambda x: F.struct(x["t"], x["id"], x["topic"])))
     return F.coalesce(_covers(planned), _covers(F.transform(strongest, lambda x: x["topic"])))
 
@@ -156,12 +165,10 @@ def enumerated(query: Column, ss: Column) -> Column:
     asks = asks & _has(T.ascii_words(query), ENUMERATED_TOPICS)
 
     def from_here(s: Column, i: Column) -> Column:
-        one = F.btrim(F.regexp_replace(s, r"(?i)^.*?(?=\bOne,)", ""))
-        next_two = F.slice(ss, i + 2, 2)
         step = lambda acc, x: F.when(((F.size(acc) == 1) & F.contains(F.lower(x), F.lit("two,"))) | ((F.size(acc) == 2) & F.contains(F.lower(x), F.lit("three,"))), F.array_append(acc, F.btrim(x))).otherwise(acc)
-        all_three = F.aggregate(next_two, F.array(one), step)
-        found = F.when(F.contains(F.lower(one), F.lit("three,")), one).when(F.size(all_three) >= 3, F.array_join(all_three, " "))
-        return F.when(F.contains(F.lower(s), F.lit("one,")) & (one != ""), found)
+        three = lambda one: let(F.aggregate(F.slice(ss, i + 2, 2), F.array(one), step), lambda x: F.when(F.size(x) >= 3, F.array_join(x, " ")))
+        found = let(F.btrim(F.regexp_replace(s, r"(?i)^.*?(?=\bOne,)", "")), lambda one: F.when(one != "", F.when(F.contains(F.lower(one), F.lit("three,")), one).otherwise(three(one))))
+        return F.when(F.contains(F.lower(s), F.lit("one,")), found)
 
     return F.when(asks, F.get(F.filter(F.transform(ss, from_here), lambda x: x.isNotNull()), F.lit(0)))
 
@@ -170,10 +177,14 @@ def followup(query: Column, ss: Column, best: Column) -> Column:
     """Questions for a mistake take the answer that follows a sentence which only leads to it."""
     asks = F.contains(F.lower(query), F.lit("what")) & _has(T.ascii_words(query), FOLLOWUP_TOPICS) & T.contains_any(F.lower(best), SETUP_PHRASES)
     after = F.slice(ss, F.array_position(ss, best).cast("int") + 1, 4)
-    s = F.get(F.filter(after, lambda x: T.contains_any(F.lower(x), FOLLOWUP_PHRASES)), F.lit(0))
-    bare = F.regexp_replace(F.btrim(s), r"(?i)^they ", "")
-    whole = F.concat(F.lit("Startups fail when they "), F.lower(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30))
-    return F.when(asks, F.when(F.array_contains(T.ascii_words(query), "startups") & ~F.contains(F.lower(s), F.lit("startup")), whole).otherwise(s))
+    found = F.get(F.filter(after, lambda x: T.contains_any(F.lower(x), FOLLOWUP_PHRASES)), F.lit(0))
+    whole = lambda s: let(F.regexp_replace(F.btrim(s), r"(?i)^they ", ""), lambda bare: F.concat(F.lit("Startups fail when they "), F.lower(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
+    unnamed = lambda s: F.array_contains(T.ascii_words(query), "startups") & ~F.contains(F.lower(s), F.lit("startup"))
+    return F.when(asks, let(found, lambda s: F.when(unnamed(s), whole(s)).otherwise(s)))
+
+
+def alike(query: Column, text: Column) -> Column:
+    return let(T.tokens(query), lambda a: let(T.tokens(text), lambda b: T.jaccard(a, b)))
 
 
 def asks_why(query: Column) -> Column:
@@ -183,10 +194,13 @@ def asks_why(query: Column) -> Column:
 def best_sentence(query: Column, text: Column) -> Column:
     """An enumeration or follow-up if the question is of that kind, else the sentence most like the question; a why
     question looks for reasons too. Of a text without sentences, all of it."""
-    ss, q = cut_sentences(F.btrim(text)), T.tokens(query)
-    score = lambda s: F.round(T.jaccard(q, T.tokens(s)) + F.when(asks_why(query), 0.35 * T.count_contained(s, terms.WHY_ANSWER_TERMS)).otherwise(0.0), 9)
-    best = first_best(ss, score)
-    return F.coalesce(enumerated(query, ss), followup(query, ss, best), best, F.btrim(text))
+    score = lambda s: F.round(alike(query, s) + F.when(asks_why(query), 0.35 * T.count_contained(s, terms.WHY_ANSWER_TERMS)).otherwise(0.0), 9)
+
+    def of(text: Column) -> Column:
+        chosen = lambda ss: let(first_best(ss, score), lambda best: F.coalesce(enumerated(query, ss), followup(query, ss, best), best, text))
+        return let(cut_sentences(text), chosen)
+
+    return let(F.btrim(text), of)
 
 
 # What is seen, and what is said of it
@@ -212,7 +226,7 @@ def seen_answer(query: Column, intent: Column, items: Column) -> Column:
     placed = low.rlike("^(where|when) ") & (F.size(F.array_except(ws, T.words_in(terms.VISUAL_STOPWORDS))) > 0)
     asks = (intent != "mixed_av") & ~marked(F.btrim(query), WRITTEN) & (_has(ws, SEEN_WORDS) | placed)
     best = first_best(_of(items, "visual"), lambda x: x["s_visual"], lambda x: x["relevance"], lambda x: x["z"])
-    return F.when(asks & best.isNotNull(), F.concat(F.lit("Visual evidence shows "), seen_target(query), time_span(best), F.lit(".")))
+    return F.when(asks, let(best, lambda x: F.when(x.isNotNull(), F.concat(F.lit("Visual evidence shows "), seen_target(query), time_span(x), F.lit(".")))))
 
 
 def entity_answer(query: Column, items: Column) -> Column:
@@ -220,14 +234,12 @@ def entity_answer(query: Column, items: Column) -> Column:
     asks = ~F.btrim(F.lower(query)).rlike(QUESTION) & ~marked(F.btrim(query), WRITTEN) & (F.size(F.array_distinct(F.split(target, " "))) <= 5)
     seen = first_best(_of(items, "visual"), lambda x: x["s_visual"], lambda x: x["relevance"], lambda x: x["z"], lambda x: -x["rank"])
     said = F.filter(_of(items, "audio"), lambda x: F.arrays_overlap(own, T.ascii_words(x["text"])))
-    said = first_best(said, lambda x: F.round(T.jaccard(T.tokens(query), T.tokens(x["text"])), 9), lambda x: x["relevance"], lambda x: x["z"], lambda x: -x["rank"])
-    sentence = F.nullif(best_sentence(query, said["text"]), F.lit(""))
-    parts = F.filter(F.array(
-        F.when(seen.isNotNull(), F.concat(F.lit("visual evidence shows "), target, time_span(seen))),
-        F.when(said.isNotNull(), F.concat(F.lit("transcript evidence mentions "), target, time_span(said), F.lit(": "), sentence)),
-    ), lambda p: p.isNotNull())
-    text = F.concat(F.lit("Selected evidence indicates that "), F.array_join(parts, "; "))
-    return F.when(asks & (F.size(parts) > 0), F.when(text.rlike(r"[.?!]$"), text).otherwise(F.concat(text, F.lit("."))))
+    said = first_best(said, lambda x: F.round(alike(query, x["text"]), 9), lambda x: x["relevance"], lambda x: x["z"], lambda x: -x["rank"])
+    shows = let(seen, lambda x: F.when(x.isNotNull(), F.concat(F.lit("visual evidence shows "), target, time_span(x))))
+    mentions = let(said, lambda x: F.when(x.isNotNull(), F.concat(F.lit("transcript evidence mentions "), target, time_span(x), F.lit(": "), F.nullif(best_sentence(query, x["text"]), F.lit("")))))
+    parts = F.nullif(F.array_join(F.array(shows, mentions), "; "), F.lit(""))
+    ended = lambda text: F.when(text.rlike(r"[.?!]$"), text).otherwise(F.concat(text, F.lit(".")))
+    return F.when(asks, let(F.concat(F.lit("Selected evidence indicates that "), parts), ended))
 
 
 # The best evidence
@@ -241,21 +253,20 @@ def target_score(query: Column, x: Column, items: Column) -> Column:
     first = F.array_min(F.transform(items, lambda y: y["t"]))
     clause = F.element_at(F.split(low, F.when(after, F.lit(" after ")).otherwise(F.lit(" before ")), 2), -1)
     anchor = F.filter(T.ascii_words(clause), lambda w: ~w.isin("a", "an", "and", "the", "this", "that", "what", "which"))
-    times = F.transform(F.filter(items, lambda y: F.arrays_overlap(anchor, T.ascii_words(y["text"]))), lambda y: y["t"])
-    side = F.when(after, x["t"] > F.array_max(times)).otherwise(x["t"] < F.array_min(times))
-    placed = F.when(F.size(times) == 0, 0.0).when(F.arrays_overlap(anchor, T.ascii_words(x["text"])), -0.4).when(side, 0.6).otherwise(0.0)
+    found = F.transform(F.filter(items, lambda y: F.arrays_overlap(anchor, T.ascii_words(y["text"]))), lambda y: y["t"])
+    side = lambda times: F.when(after, x["t"] > F.array_max(times)).otherwise(x["t"] < F.array_min(times))
+    placed = let(found, lambda times: F.when(F.size(times) == 0, 0.0).when(F.arrays_overlap(anchor, T.ascii_words(x["text"])), -0.4).when(side(times), 0.6).otherwise(0.0))
     return F.when(after | before, placed).when(opens, F.greatest(1.5 - F.greatest(x["t"] - first, F.lit(0.0)) / 60.0, F.lit(-0.5))).otherwise(0.0)
 
 
 def extracted_answer(query: Column, items: Column) -> Column:
     low = F.btrim(F.lower(query))
     spoken = F.filter(_of(items, "audio"), lambda x: ~F.startswith(F.lower(x["text"]), F.lit(PLACEHOLDER)))
-    worded = F.filter(items, lambda x: ~F.lower(x["text"]).rlike(f"^({PLACEHOLDER}|{ON_SCREEN})"))
-    pool = F.when(marked(F.btrim(query), WRITTEN), items).when(low.rlike(QUESTION) & (F.size(spoken) > 0), spoken).otherwise(worded)
-    score = lambda x: F.round(T.jaccard(T.tokens(query), T.tokens(x["text"])) + F.when(asks_why(query), 0.25 * T.count_contained(x["text"], terms.WHY_ANSWER_TERMS)).otherwise(0.0) + target_score(query, x, items), 9)
-    best = first_best(pool, score)
-    s = F.nullif(best_sentence(query, best["text"]), F.lit(""))
-    return F.when(~asks_why(query) | F.lower(F.btrim(s)).rlike("^(because|he|she|they|the) "), s).otherwise(F.concat(F.lit("The evidence suggests: "), F.btrim(s)))
+    told = F.filter(items, lambda x: ~F.lower(x["text"]).rlike(f"^({PLACEHOLDER}|{ON_SCREEN})"))
+    pool = F.when(marked(F.btrim(query), WRITTEN), items).when(low.rlike(QUESTION) & (F.size(spoken) > 0), spoken).otherwise(told)
+    score = lambda x: F.round(alike(query, x["text"]) + F.when(asks_why(query), 0.25 * T.count_contained(x["text"], terms.WHY_ANSWER_TERMS)).otherwise(0.0) + target_score(query, x, items), 9)
+    worded = lambda s: F.when(~asks_why(query) | F.lower(F.btrim(s)).rlike("^(because|he|she|they|the) "), s).otherwise(F.concat(F.lit("The evidence suggests: "), F.btrim(s)))
+    return let(F.nullif(best_sentence(query, first_best(pool, score)["text"]), F.lit("")), worded)
 
 
 BRANCHES = ["summary", "temporal", "seen", "entity", "extracted"]
@@ -282,7 +293,6 @@ def answers(evidence: DataFrame, group: list[str], targets: DataFrame | None = N
     }
 
     def said(name: str) -> Column:
-        text = tried[name]
-        return F.transform(F.array(text), lambda a: F.when(a.isNotNull(), F.struct(F.lit(name).alias("branch"), a.alias("answer"))))[0]
+        return let(tried[name], lambda a: F.when(a.isNotNull(), F.struct(F.lit(name).alias("branch"), a.alias("answer"))))
 
     return g.select(*group, F.inline_outer(F.array(F.coalesce(*map(said, BRANCHES)))))
