@@ -9,8 +9,8 @@ demand gives the copy's position in training. Copies whose middle the demand doe
 no position and are not taken, so what is taken is within half a document of the target. Range-sorting by position
 interleaves the sources as their schedules say.
 
-One source may hold a third of the corpus: documents are grouped by (source, slice of the pseudo-random order),
-sizes are summed per slice before any shuffle, and only slices are accumulated per source, so no task meets a source.
+One source may hold a third of the corpus: documents are grouped by (source, slice of the pseudo-random order of their
+ids and texts, so one id may be on any number of rows; only rows equal in both share a slice), sizes are summed per slice before any shuffle, and only slices are accumulated per source, so no task meets a source.
 
 Cases: null or empty texts have size 0 and are taken as others are, with 0 words; null sources form one source that
 comes last; rows that share a doc_id (repeated rows too) are separate documents, ordered by doc_id and key (a hash of
@@ -40,9 +40,11 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def place(doc_id: str = "doc_id") -> Column:
-    """60 pseudo-random bits of a document id, the same in any engine with md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def place(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """60 pseudo-random bits of a document's id and text, the same in any engine with md5. The text is part of it so that
+    documents without an id, or with one id, do not all fall into one slice."""
+    name = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def areas(schedule: tuple[float, ...]) -> list[float]:
@@ -90,9 +92,9 @@ def inverse_demand(share: Column, cls: Column, schedules=SCHEDULES) -> Column:
 
 
 def plan(sized: DataFrame, schedules=SCHEDULES, cap: float = CAP, slices: int = SLICES) -> DataFrame:
-    """(doc_id, xh, source, size) -> also source_size, target and positions: where in training each copy of the
+    """(doc_id, xh, r, source, size) -> also source_size, target and positions: where in training each copy of the
     document that the mix takes is due, ascending."""
-    rows = sized.withColumn("r", place()).withColumn("slice", F.shiftrightunsigned("r", 60 - (slices - 1).bit_length()))
+    rows = sized.withColumn("slice", F.shiftrightunsigned("r", 60 - (slices - 1).bit_length()))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sums = sums.withColumn("before", F.sum("slice_size").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)))
     per_source = targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), schedules, cap)
@@ -114,7 +116,7 @@ def training_order(planned: DataFrame, *columns: str) -> DataFrame:
 
 
 def sized(docs: DataFrame, key: Column | None = None) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64("text") if key is None else key).alias("xh"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64("text") if key is None else key).alias("xh"), place().alias("r"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -150,7 +152,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS r
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS r
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

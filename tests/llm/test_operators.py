@@ -112,6 +112,16 @@ def test_op1_mix_keeps_rows_apart_that_differ_elsewhere(spark):
     assert abs(words["s"] - 4) <= 3 and abs(words["t"] - 8) <= 3
 
 
+def test_op1_rows_without_an_id_spread_over_slices(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    slices = mixing.sized(d).groupBy(F.shiftrightunsigned("r", 50)).count()
+    assert slices.count() == 1024 and slices.agg(F.max("count")).head()[0] < 60
+    out = mixing.plan(mixing.sized(d))
+    assert out.agg(F.sum(F.size("positions") * F.col("size"))).head()[0] == pytest.approx(40_000, abs=2)
+
+
 LEAK = ("doc_id", "item_id", "start_word", "end_word", "item_start", "n_equal")
 
 
