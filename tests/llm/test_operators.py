@@ -616,3 +616,60 @@ def test_words_put_together_from_pieces_have_the_library_s_ids():
     texts = ["", " ", *("".join(rnd.choices(parts, k=rnd.randint(1, 14))) for _ in range(3000))]
     library = Tokenizer.from_file(default_path())
     assert [x.tolist() for x in Encoder(default_path()).encode([t.encode() for t in texts])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+#: Written out again, so that a change of the module's own bands shows.
+LIMITS = [(64, 0.0, 1.8), (128, 0.3, 1.2), (160, 0.3, 0.98), (200, 0.3, 0.93), (256, 0.3, 0.88), (384, 0.3, 0.83), (512, 0.3, 0.79), (768, 0.3, 0.76), (1024, 0.3, 0.74), (4096, 0.28, 0.66), (16384, 0.24, 0.6), (10**12, 0.2, 0.56)]
+
+
+def kept_by_hand(text):
+    """The verdict by streaming compression of pieces cut here."""
+    import io
+
+    import zstandard
+
+    def fair(b):
+        out = io.BytesIO()
+        with zstandard.ZstdCompressor(level=3).stream_writer(out, closefd=False, size=len(b)) as w:
+            w.write(b)
+        low, high = next(x[1:] for x in LIMITS if len(b) <= x[0])
+        return low <= len(out.getvalue()) / len(b) <= high
+
+    b = (text or "").encode()
+    if not b or brute.quality(text)[5] or not fair(b):
+        return False
+    pieces = [b[i : i + 512] for i in range(0, len(b), 512)] if len(b) > 512 else []
+    return sum(len(p) for p in pieces if not fair(p)) <= 0.3 * len(b)
+
+
+def test_op10_kept_by_another_call_path(spark):
+    import base64
+    import random
+
+    rng = random.Random(31)
+    syllables = "the and ing er re on ti es st en ha th ou wh ly".split()
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(n))
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    texts = [prose(rng.randrange(1, 700)) for _ in range(120)] + [prose(rng.randrange(10, 200)) + " " + noise(rng.randrange(20, 900)) for _ in range(120)]
+    texts += [noise(n) for n in range(40, 1600, 40)] + [("word " * n) for n in range(1, 200, 9)] + [noise(400)[:512] + " " + prose(400), None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in quality.quality(d).collect()}
+    assert got == {i: kept_by_hand(t) for i, t in enumerate(texts)}
+    assert sum(got[i] for i in range(120)) > 90 and any(got.values())
+
+
+@pytest.mark.parametrize("length", [2048, 2049, 4096, 20_000])
+def test_op10_half_noise_goes(length):
+    import base64
+    import random
+
+    import zstandard
+
+    rng, c = random.Random(length), zstandard.ZstdCompressor(level=quality.LEVEL)
+    syllables = "the and ing er re on ti es st en ha th ou wh ly".split()
+    for _ in range(20):
+        prose = " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(length // 3)).encode()
+        noise = base64.b64encode(rng.randbytes(length))
+        assert quality.compression(prose[:length], c)[2]
+        assert not quality.compression(prose[: length // 2] + noise[: length - length // 2], c)[2]
+        assert not quality.compression(noise[:length], c)[2] and not quality.compression(noise[:200], c)[2]
