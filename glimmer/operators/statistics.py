@@ -1,4 +1,4 @@
-"""Paired resampling."""
+"""Paired resampling and percentiles."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+#: Bytes of all groups' values up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Rows of a group up to which its values travel as one array.
 MOST_VALUES = 1_000_000
 
@@ -21,14 +25,18 @@ def resample_index(resample: str, position: str, n: str) -> str:
 def bootstrap(outcomes: DataFrame, keys: list[str], values: list[str], order: str, resamples: int) -> DataFrame:
     """(keys, resample, values): means over n draws with replacement from a group's n rows, the same draws for each value.
 
-    A group of up to MOST_VALUES rows becomes one array, which every resample folds where it is: nothing is shuffled but
-    a resample's means. Beyond, draws are joined with rows by (group, position), which holds no group in one place."""
+    A group of up to MOST_VALUES rows becomes one array, which goes to all tasks if it is small, and every resample folds it
+    where it is: numbers of resamples are shuffled, values are not. Beyond, draws are joined with rows by (group, position), which holds no group in one place."""
     n = outcomes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
     r = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
     if n <= MOST_VALUES:
         row = F.struct(*values)
         pools = outcomes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, row.alias("row")))), lambda x: x["row"]).alias("__p"))
-        draws = pools.select(*keys, "__p", r.alias("resample")).repartition(outcomes.sparkSession.sparkContext.defaultParallelism, "resample")
+        spark = outcomes.sparkSession
+        numbers = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism).select(F.col("id").cast("int").alias("resample"))
+        pools = cut(pools)
+        small = (pools.agg(F.sum(F.size("__p") * len(values) * 8)).head()[0] or 0) <= BROADCAST_BYTES
+        draws = numbers.join(F.broadcast(pools)) if small else numbers.crossJoin(pools)
         zero = ", ".join(f"'{v}', 0D" for v in values)
         add = ", ".join(f"'{v}', s.{v} + __p[i].{v}" for v in values)
         sums = f"aggregate(transform(sequence(0, size(__p) - 1), j -> {resample_index('resample', 'j', 'size(__p)')}), named_struct({zero}), (s, i) -> named_struct({add}))"
@@ -38,3 +46,37 @@ def bootstrap(outcomes: DataFrame, keys: list[str], values: list[str], order: st
     draws = rows.select(*keys, "__i", "__n", r.alias("resample")).select(*keys, "resample", F.expr(resample_index("resample", "__i", "__n")).alias("__j"))
     drawn = draws.join(rows.select(*keys, F.col("__i").alias("__j"), *values), [*keys, "__j"])
     return drawn.groupBy(*keys, "resample").agg(*[F.avg(v).alias(v) for v in values])
+
+
+#: Buckets of a round of ``percentiles``, and rows of a bucket that are sorted in one task.
+BUCKETS = 1024
+MOST_SORTED = 100_000
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], between: bool, buckets: int = BUCKETS, most: int = MOST_SORTED) -> DataFrame:
+    """(keys, value) -> a column for each p: the value at rank ceil(p * n) (``between`` false), or at rank p * (n - 1) counted
+    from 0, linearly between its neighbours. Nulls do not count; keys without a value are left out.
+
+    Distributed selection: each wanted rank has a range of values, at first all of them. A round counts the rows of its
+    range in buckets, before any shuffle, and narrows the range to the bucket that holds the rank, until that has few rows
+    or one value; only such rows are sorted. So no task holds the values of a key, and rounds are few."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).filter("__x is not null")
+    spans = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    wanted = []
+    for name, p in ps.items():
+        at = p * (F.col("__n") - 1) if between else F.greatest(F.ceil(F.lit(p) * F.col("__n")) - 1, F.lit(0)).cast("double")
+        wanted += [F.struct(F.lit(name).alias("name"), F.floor(at).alias("rank"), (1 - (at - F.floor(at))).alias("share")), F.struct(F.lit(name).alias("name"), F.ceil(at).alias("rank"), (at - F.floor(at)).alias("share"))]
+    state = spans.withColumn("w", F.explode(F.array(*wanted))).select(*keys, "w.*", F.lit(0).cast("long").alias("before"), "__n", "__lo", "__hi").filter("share > 0")
+    on, of = [*keys, "name", "rank"], W.partitionBy(*keys, "name", "rank")
+    state = cut(state)
+    while not state.filter((F.col("__n") > most) & (F.col("__lo") < F.col("__hi"))).isEmpty():
+        inside = rows.join(state, keys).filter((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
+        bucket = F.least(F.floor(F.try_divide(F.col("__x") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets), F.lit(buckets - 1))
+        counted = inside.groupBy(*on, "share", "before", F.coalesce(bucket, F.lit(0)).alias("__b")).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        upto = counted.withColumn("__upto", F.col("before") + F.sum("__n").over(of.orderBy("__b")))
+        state = cut(upto.filter((F.col("__upto") > F.col("rank")) & (F.col("__upto") - F.col("__n") <= F.col("rank"))).select(*keys, "name", "rank", "share", (F.col("__upto") - F.col("__n")).alias("before"), "__n", "__lo", "__hi"))
+    one = state.filter("__lo = __hi").select(*keys, "name", "share", F.col("__lo").alias("__v"))
+    inside = rows.join(state.filter("__lo < __hi"), keys).filter((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
+    few = inside.withColumn("__r", F.row_number().over(of.orderBy("__x")) - 1 + F.col("before")).filter("__r = rank").select(*keys, "name", "share", F.col("__x").alias("__v"))
+    both = one.unionByName(few).groupBy(*keys).agg(*[F.sum(F.when(F.col("name") == n, F.col("__v") * F.col("share"))).alias(n) for n in ps])
+    return both

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine
+from ..operators import nearest
 from ..registry import query
 from ..sources.tables import table
 
@@ -72,6 +73,18 @@ def q7(spark, sf_dir):
     return e.crossJoin(blocks).select("vec_id", "embedding", F.explode("qs").alias("x")).select("x.q", "vec_id", F.round(cosine(F.col("embedding"), F.col("x.v")), 6).alias("similarity"))
 
 
+@query("q7_nearest_vectors", """
+WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM s)
+SELECT q, vec_id, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10""")
+def q7_nearest(spark, sf_dir):
+    """The ten nearest of all stored vectors for each one whose id is divisible by 50."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found, _ = nearest.top_k(e, e.filter("id % 50 = 0"), 10)
+    return found.select("q", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("q8_vector_literal", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: round(x, 8))), 5) AS total, len(embedding)::INT AS n FROM embeddings")
 def q8(spark, sf_dir):
     """Vectors as stored: eight decimals."""

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import moments as M
 from ..operators.scoring import standardize
+from ..operators.similar import similar
 from ..registry import query
-from ..functions.terms import WHY_ANSWER_TERMS
+from ..functions.terms import DUPLICATE_ITEM_SIMILARITY, WHY_ANSWER_TERMS
 from ..sources.tables import EVENT_CANDIDATES_SQL, TURNS_SQL, event_candidates, sql_jaccard, sql_list, sql_tokens, table, turns
 from .selecting import SCALE, Z_SQL, scored
 
@@ -210,10 +211,8 @@ WITH {TURNS_SQL}, k AS (SELECT *, {sql_tokens('text')} AS c, row_number() OVER (
 SELECT x.video_id, x.id, bool_or(y.i IS NOT NULL AND {sql_jaccard('x.c', 'y.c')} >= 0.72) AS duplicate FROM k x LEFT JOIN k y ON x.video_id = y.video_id AND x.modality = y.modality AND y.i < x.i GROUP BY x.video_id, x.id, x.i""")
 def j16(spark, sf_dir):
     k = turns(spark, sf_dir).withColumn("c", T.tokens("text")).withColumn("i", F.row_number().over(W.partitionBy("video_id").orderBy("turn", "id", "text")))
-    x, y = k.alias("x"), k.alias("y")
-    p = x.join(y, (F.col("x.video_id") == F.col("y.video_id")) & (F.col("x.modality") == F.col("y.modality")) & (F.col("y.i") < F.col("x.i")), "left")
-    hit = F.col("y.i").isNotNull() & (T.jaccard(F.col("x.c"), F.col("y.c")) >= 0.72)
-    return p.groupBy("x.video_id", "x.id", "x.i").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("duplicate")).drop("i")
+    hit = similar(k.select("video_id", "modality", "i", F.col("c").alias("toks")), ["video_id", "modality"], DUPLICATE_ITEM_SIMILARITY).select("video_id", "i").distinct()
+    return k.join(hit.withColumn("hit", F.lit(True)), ["video_id", "i"], "left").select("video_id", "id", F.coalesce("hit", F.lit(False)).alias("duplicate"))
 
 
 @query("k25_head_per_group", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 3")
