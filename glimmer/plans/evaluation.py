@@ -439,11 +439,20 @@ def r6(spark, sf_dir):
     return active_cap(e.withColumn("z", F.col("a") + F.col("value") * 3600), "user_id", "a", "z", "event_id")
 
 
-@query("r2_limit_table", "SELECT * FROM (VALUES ('general', 600, 60.0::DOUBLE), ('ingest', 3, 3600.0), ('login', 5, 60.0), ('login', 20, 3600.0), ('query', 10, 60.0)) t(kind, count, seconds)")
+@query("r2_limit_table", """
+WITH l(kind, n, seconds) AS (VALUES ('general', 600, 60), ('ingest', 3, 3600), ('login', 5, 60), ('login', 20, 3600), ('query', 10, 60)),
+e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'query' WHEN 'click' THEN 'general' WHEN 'purchase' THEN 'ingest' ELSE 'login' END AS kind, epoch_us(ts) // 1000000 AS s FROM events),
+w AS (SELECT user_id, e.kind, l.n, l.seconds, s // l.seconds AS w, count(*) AS used FROM e JOIN l ON e.kind = l.kind GROUP BY ALL)
+SELECT user_id, kind, n AS count, seconds::DOUBLE AS seconds, max(used) AS most, max(used) >= n AS reached FROM w GROUP BY user_id, kind, n, seconds""")
 def r2(spark, sf_dir):
+    """Each user's use of each kind of request in the windows of its limits: the most in one, and whether a limit is reached."""
     from ..streaming.limits import LIMITS
 
-    return spark.createDataFrame([(k, c, s) for k, ls in LIMITS.items() for c, s in ls], "kind string, count int, seconds double")
+    limits = spark.createDataFrame([(k, c, s) for k, ls in LIMITS.items() for c, s in ls], "kind string, count int, seconds double")
+    kind = F.when(F.col("event_type") == "view", "query").when(F.col("event_type") == "click", "general").when(F.col("event_type") == "purchase", "ingest").otherwise("login")
+    e = table(spark, sf_dir, "events").select("user_id", kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).join(F.broadcast(limits), "kind")
+    w = e.groupBy("user_id", "kind", "count", "seconds", F.floor(F.col("s") / F.col("seconds")).alias("w")).agg(F.count(F.lit(1)).alias("used"))
+    return w.groupBy("user_id", "kind", "count", "seconds").agg(F.max("used").alias("most"), (F.max("used") >= F.first("count")).alias("reached"))
 
 
 @query("s3_heterogeneous_benchmark", """

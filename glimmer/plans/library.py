@@ -189,16 +189,16 @@ def q20(spark, sf_dir):
     return e.select("event_id", "day", reset.alias("resets_at"))
 
 
-CODES = [("k1", "glim-0123-4567-89ab-cdef"), ("k2", "O123 4567 89AB CDEI"), ("k3", "short"), ("k4", "0123456789abcdeu"), ("k5", "glim0123456789abcdef")]
+_CODE = "CASE c_custkey % 4 WHEN 0 THEN concat('glim-', substr(md5(c_name), 1, 8), '-', substr(md5(c_name), 9, 8)) WHEN 1 THEN concat('O ', substr(md5(c_name), 1, 15)) WHEN 2 THEN substr(md5(c_name), 1, 10) ELSE concat(substr(md5(c_name), 1, 15), 'u') END"
 
 
-@query("q21_code_hash", """
-WITH c(id, code) AS (VALUES ('k1', 'glim-0123-4567-89ab-cdef'), ('k2', 'O123 4567 89AB CDEI'), ('k3', 'short'), ('k4', '0123456789abcdeu'), ('k5', 'glim0123456789abcdef')),
-r AS (SELECT id, regexp_replace(upper(code), '[^0-9A-Z]', '', 'g') AS r FROM c), s AS (SELECT id, translate(CASE WHEN starts_with(r, 'GLIM') AND length(r) = 20 THEN substr(r, 5) ELSE r END, 'OIL', '011') AS s FROM r),
-v AS (SELECT id, CASE WHEN regexp_full_match(s, '[0123456789ABCDEFGHJKMNPQRSTVWXYZ]{16}') THEN s END AS code FROM s)
-SELECT id, code, sha256(code) AS hash FROM v""")
+@query("q21_code_hash", f"""
+WITH r AS (SELECT c_custkey, regexp_replace(upper({_CODE}), '[^0-9A-Z]', '', 'g') AS r FROM customer), s AS (SELECT c_custkey, translate(CASE WHEN starts_with(r, 'GLIM') AND length(r) = 20 THEN substr(r, 5) ELSE r END, 'OIL', '011') AS s FROM r),
+v AS (SELECT c_custkey, CASE WHEN regexp_full_match(s, '[0123456789ABCDEFGHJKMNPQRSTVWXYZ]{{16}}') THEN s END AS code FROM s)
+SELECT c_custkey, code, sha256(code) AS hash FROM v""")
 def q21(spark, sf_dir):
-    c = spark.createDataFrame(CODES, "id string, code string").select("id", T.normalize_code("code").alias("code"))
+    """Customers' codes as people type them: with prefix and dashes, with look-alike letters, too short, with a letter that is none."""
+    c = table(spark, sf_dir, "customer").withColumn("typed", F.expr(_CODE)).select("c_custkey", T.normalize_code("typed").alias("code"))
     return c.withColumn("hash", F.sha2("code", 256))
 
 

@@ -123,9 +123,21 @@ def a4(spark, sf_dir):
     return m.select("video_id", "n_in", "n_out", "v_out", "a_out", F.round((1 - F.col("n_out") / F.col("n_in")) * 100, 6).alias("reduction_percent"), base.alias("baseline_tokens"), out.alias("compressed_tokens"), F.round(F.greatest(base - out, F.lit(0)) / base, 6).alias("token_reduction"))
 
 
-@query("k3_presets", "SELECT * FROM (VALUES ('aggressive', 6, 0.66::DOUBLE, 10.0::DOUBLE), ('balanced', 12, 0.72::DOUBLE, 14.0::DOUBLE), ('conservative', 24, 0.78::DOUBLE, 18.0::DOUBLE)) t(preset, max_items, relevance_weight, sigma)")
+_PRESETS_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', {k}, {w}::DOUBLE, {s}::DOUBLE)" for i, (n, (k, w, s)) in enumerate(terms.PRESETS.items())) + ") pr(m, preset, max_items, relevance_weight, sigma)"
+
+
+@query("k3_presets", f"""
+WITH {Z_SQL}, n AS (SELECT video_id, count(*) AS n, arg_min(t, (-z, t, id)) AS peak FROM zs GROUP BY video_id)
+SELECT n.video_id, preset, max_items, relevance_weight, sigma, least(n, max_items)::BIGINT AS budget, (SELECT count(*) FROM zs WHERE zs.video_id = n.video_id AND abs(zs.t - peak) <= sigma * {SCALE}::DOUBLE) AS near_peak
+FROM n JOIN {_PRESETS_SQL} ON n.video_id % 3 = m""")
 def k3(spark, sf_dir):
-    return spark.createDataFrame([(n, *v) for n, v in terms.PRESETS.items()], "preset string, max_items int, relevance_weight double, sigma double")
+    """Presets in turn by video: what each allows of its pool, and how much lies within its kernel of the strongest moment."""
+    p = spark.createDataFrame([(i, n, *v) for i, (n, v) in enumerate(terms.PRESETS.items())], "m int, preset string, max_items int, relevance_weight double, sigma double")
+    z = scored(spark, sf_dir)
+    n = z.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("z")).alias("z"), "t", "id"))["t"].alias("peak"))
+    n = n.join(F.broadcast(p), F.col("video_id") % 3 == F.col("m"))
+    near = z.join(n, "video_id").groupBy("video_id").agg(F.count_if(F.abs(F.col("t") - F.col("peak")) <= F.col("sigma") * SCALE).alias("near_peak"))
+    return n.join(near, "video_id").select("video_id", "preset", "max_items", "relevance_weight", "sigma", F.least("n", F.col("max_items").cast("long")).alias("budget"), "near_peak")
 
 
 @query("k6_scene_budget", f"""

@@ -243,11 +243,12 @@ MC = [
 
 
 @query("t21_answer_exact", r"""
-WITH m(id, p, e) AS (VALUES ('m1', 'b', 'B'), ('m2', 'The answer is a', 'red'), ('m3', 'it was bright green paint', 'green'), ('m4', '', 'red'), ('m5', 'a red door', 'red'), ('m6', 'blue', 'red'), ('m7', 'large wooden ship', 'a large ship made of wood')),
-n AS (SELECT id, array_to_string(regexp_extract_all(lower(p), '[a-z0-9]+'), ' ') AS p, array_to_string(regexp_extract_all(lower(e), '[a-z0-9]+'), ' ') AS e FROM m)
-SELECT id, p, e, CASE WHEN p = '' THEN 0.0::DOUBLE WHEN p = e OR contains(p, e) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM n""")
+WITH n AS (SELECT conv_id, turn, role, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS p, array_to_string(regexp_extract_all(lower(CASE turn % 3 WHEN 0 THEN '(' || text || '!' WHEN 1 THEN split_part(text, ' ', 2) ELSE 'unsaid ' || turn END), '[a-z0-9]+'), ' ') AS e FROM conversations)
+SELECT conv_id, turn, role, p, e, CASE WHEN p = '' THEN 0.0::DOUBLE WHEN p = e OR contains(p, e) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM n""")
 def t21(spark, sf_dir):
-    m = spark.createDataFrame([x[:3] for x in MC], "id string, p string, e string").select("id", T.answer_form("p").alias("p"), T.answer_form("e").alias("e"))
+    """Turns as answers, against themselves in other spelling, a word of theirs, or what was not said."""
+    e = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("("), "text", F.lit("!"))).when(F.col("turn") % 3 == 1, F.split_part("text", F.lit(" "), F.lit(2))).otherwise(F.concat(F.lit("unsaid "), F.col("turn").cast("string")))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.answer_form("text").alias("p"), T.answer_form(e).alias("e"))
     return m.withColumn("score", F.when(F.col("p") == "", 0.0).when((F.col("p") == F.col("e")) | F.contains("p", F.col("e")), 1.0).otherwise(0.0))
 
 
@@ -360,12 +361,12 @@ def t29(spark, sf_dir):
 
 
 @query("t30_scorer_routing", f"""
-WITH i AS ({_intent_sql()}), q AS (SELECT i.query_id, i.intent, {sql_words('a.query')} AS w, d.dur, d.whisper, d.clap FROM i JOIN {QUESTIONS_SQL.replace('questions(', 'a(')} ON i.query_id = a.query_id, (VALUES (300, true, true), (900, true, true), (900, true, false), (900, false, true)) d(dur, whisper, clap))
+WITH i AS ({_intent_sql()}), q AS (SELECT i.query_id, i.intent, {sql_words('a.query')} AS w, d.dur, d.whisper, d.clap FROM i JOIN (WITH {_ASKED_SQL} SELECT * FROM asked) a ON i.query_id = a.query_id, (VALUES (300, true, true), (900, true, true), (900, true, false), (900, false, true)) d(dur, whisper, clap))
 SELECT query_id, dur, whisper, clap, CASE WHEN dur >= 600 AND (intent IN ('speech_semantic', 'mixed_av', 'global_summary', 'sound_event') OR (intent = 'temporal_before_after' AND list_has_any(w, ['ask', 'asks', 'asked', 'mention', 'mentions', 'said', 'say', 'says', 'speak', 'speaker', 'tell', 'tells', 'told'])))
   THEN CASE WHEN whisper AND clap THEN 'dispatcher' WHEN whisper THEN 'whisper' ELSE 'baseline' END ELSE 'baseline' END AS scorer FROM q""")
 def t30(spark, sf_dir):
     d = spark.createDataFrame([(300, True, True), (900, True, True), (900, True, False), (900, False, True)], "dur int, whisper boolean, clap boolean")
-    q = questions(spark).withColumn("intent", T.query_intent("query")["intent"]).crossJoin(F.broadcast(d))
+    q = _asked(spark, sf_dir).withColumn("intent", T.query_intent("query")["intent"]).crossJoin(F.broadcast(d))
     spoken = F.arrays_overlap(T.ascii_words("query"), T.words_in("ask asks asked mention mentions said say says speak speaker tell tells told".split()))
     wanted = (F.col("dur") >= 600) & (F.col("intent").isin("speech_semantic", "mixed_av", "global_summary", "sound_event") | ((F.col("intent") == "temporal_before_after") & spoken))
     return q.select("query_id", "dur", "whisper", "clap", F.when(wanted & F.col("whisper") & F.col("clap"), "dispatcher").when(wanted & F.col("whisper"), "whisper").otherwise("baseline").alias("scorer"))
