@@ -1,8 +1,9 @@
 """Choosing a small diverse subset of each group's candidates.
 
-Greedy choice depends on what was chosen before, so a group's candidates are gathered into one ordered array (groups
-are bounded by construction: one source's pool) and folded with higher-order functions. Each step keeps, per
-remaining candidate, its largest similarity to what is chosen, so a pick costs one pass over the pool.
+Greedy choice depends on what was chosen before, so a group's candidates are gathered into one ordered array and folded
+with higher-order functions. Each step keeps, per remaining candidate, its largest similarity to what is chosen, so a pick
+costs one pass over the pool. A pool may be of any size: a choice can lower a candidate's score by a bounded amount only, so
+``reachable`` leaves out, before anything is gathered, what cannot be chosen whatever is chosen before it.
 """
 
 from __future__ import annotations
@@ -53,9 +54,19 @@ def unfolded(df: DataFrame, fold: str, *keep) -> DataFrame:
     return df.select(*keep, F.expr(f"inline_outer({fold})")).filter("id is not null")
 
 
+def reachable(df: DataFrame, group: list[str], k: int, relevance: float) -> DataFrame:
+    """The candidates that a choice of k can reach. Similarity lies in [0, 1], so a score is between lam * z - (1 - lam) and
+    lam * z; of the k best by z one is left at every step, so nothing that is more than (1 - lam) / lam below the k-th of
+    them is ever the best. Holds where choices remove nothing but themselves."""
+    last = F.nth_value("z", k).over(W.partitionBy(*group).orderBy(F.desc("z")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return df.withColumn("__last", last).filter(F.col("__last").isNull() | (F.col("z") >= F.col("__last") - (1 - relevance) / relevance - 1e-9)).drop("__last")
+
+
 def mmr_select(df: DataFrame, group: list[str], preset: str = "balanced", scale: float = 1.0, drop_neighbors: bool = True, name: str = "sel") -> DataFrame:
     """(group, t, id, modality, z) -> (group, id, rank, mmr, t, modality) of the chosen."""
     k, lam, sigma = terms.PRESETS[preset]
+    if not drop_neighbors:
+        df = reachable(df, group, k, lam)
     expr = mmr_expression(str(k), f"{lam}D", f"{sigma * scale}D", drop_neighbors)
     return unfolded(pools(df, group), expr, *group)
 

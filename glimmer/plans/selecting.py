@@ -223,7 +223,7 @@ SELECT split_part(video_id, '/', 1)::BIGINT AS video_id, modality, id, rank, rou
 def k20(spark, sf_dir):
     """An even split: half the balanced budget within each modality."""
     k, lam, sigma = terms.PRESETS["balanced"]
-    p = selection.pools(scored(spark, sf_dir).withColumn("m", F.col("modality")), ["video_id", "m"])
+    p = selection.pools(selection.reachable(scored(spark, sf_dir).withColumn("m", F.col("modality")), ["video_id", "m"], k // 2, lam), ["video_id", "m"])
     out = selection.unfolded(p, selection.mmr_expression(str(k // 2), f"{lam}D", f"{sigma * SCALE}D", False), "video_id")
     return out.select("video_id", "modality", "id", "rank", F.round("mmr", 6).alias("mmr"))
 
@@ -237,7 +237,7 @@ def k20_intent(spark, sf_dir):
     half of it for visuals, the rest for audio, each chosen within its modality."""
     k, lam, sigma = terms.PRESETS["balanced"]
     intents = F.element_at(F.array(F.lit("speech_semantic"), F.lit("visual_object_action"), F.lit("mixed_av")), (F.col("video_id") % 3 + 1).cast("int"))
-    p = selection.pools(scored(spark, sf_dir).withColumn("m", F.col("modality")), ["video_id", "m"])
+    p = selection.pools(selection.reachable(scored(spark, sf_dir).withColumn("m", F.col("modality")), ["video_id", "m"], k, lam), ["video_id", "m"])
     p = p.withColumn("k", selection.split_budget(k, intents, F.col("m")))
     out = selection.unfolded(p, selection.mmr_expression("k", f"{lam}D", f"{sigma * SCALE}D", False), "video_id")
     return out.select("video_id", "modality", "id", "rank", F.round("mmr", 6).alias("mmr"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.operators import nearest, similar, statistics
+from glimmer.functions import terms
+from glimmer.operators import nearest, selection, similar, statistics
 
 
 def vectors(seed, n, spread):
@@ -89,3 +90,21 @@ def test_bootstrap_shuffles_no_values(spark):
     assert "Aggregate" not in plan and "RepartitionByExpression" not in plan
     means = [r.x for r in out.filter("g = 0").collect()]
     assert len(means) == 50 and abs(np.mean(means) - 199) < 15 and len(set(means)) > 30
+
+
+@pytest.mark.parametrize("preset", ["aggressive", "balanced", "conservative"])
+def test_unreachable_candidates_are_never_chosen(spark, preset):
+    rng = random.Random(preset)
+    rows = [(g, f"i{i:03d}", float(rng.choice([rng.randrange(100), rng.uniform(0, 4000)])), rng.choice(["visual", "audio"]), rng.choice([rng.gauss(0, 1), rng.randrange(-2, 3) / 2]), None) for g in range(25) for i in range(rng.randrange(0, 160))]
+    df = spark.createDataFrame(rows, "g long, id string, t double, modality string, z double, anchor_t double")
+    k, lam, sigma = terms.PRESETS[preset]
+    whole = selection.unfolded(selection.pools(df, ["g"]), selection.mmr_expression(str(k), f"{lam}D", f"{sigma}D", False), "g")
+    pruned = selection.mmr_select(df, ["g"], preset, drop_neighbors=False)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, pruned.collect()))
+    assert selection.reachable(df, ["g"], k, lam).count() < df.count()
+
+
+def test_a_pool_of_200000_rows_is_cut_before_it_is_gathered(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("g"), F.format_string("i%06d", "id").alias("id"), (F.col("id") * 1.5).alias("t"), F.lit("visual").alias("modality"), F.randn(3).alias("z"))
+    assert selection.reachable(df, ["g"], 12, 0.72).count() < 500
+    assert selection.mmr_select(df, ["g"], "balanced", drop_neighbors=False).count() == 12
