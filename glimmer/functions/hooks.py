@@ -123,3 +123,17 @@ def semantic_scores(candidates: DataFrame, vector: str = "vector", query_vector:
     a, b = F.col(vector), F.col(query_vector)
     cosine = F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
     return candidates.withColumn("saliency", F.when(F.btrim(F.coalesce("text", F.lit(""))) == "", 0.0).otherwise(F.greatest(F.lit(0.0), cosine))).drop(vector)
+
+
+def screen_reader(load: Callable[[], Callable[[bytes], str]], crop: Callable[[bytes], bytes], content: str = "content", out: str = "text"):
+    """A step for ``cache.cached``: text on screen, and where a frame gives none, that of its crop."""
+
+    def compute(df: DataFrame) -> DataFrame:
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = load()
+            for pdf in batches:
+                yield pdf[["key"]].assign(**{out: [(model(bytes(x)) or "").strip() or (model(crop(bytes(x))) or "").strip() for x in pdf[content]]})
+
+        return df.mapInPandas(task, f"key string, {out} string")
+
+    return compute

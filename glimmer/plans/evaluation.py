@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import statistics as S
+from ..operators.rates import filled
 from ..registry import query
 from ..sources.tables import EVENT_CANDIDATES_SQL, event_candidates, table
 from .selecting import SCALE
@@ -252,6 +253,26 @@ def a26(spark, sf_dir):
     return s.select("l_returnflag", F.round((F.col("xc") * F.col("yy") - F.col("yc") * F.col("xy")) / det, 4).alias("per_x"), F.round((F.col("yc") * F.col("xx") - F.col("xc") * F.col("xy")) / det, 4).alias("per_y"))
 
 
+_STAGES_SQL = "SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag || '-' || (l_suppkey % 3) AS stage, l_quantity AS x, CASE WHEN l_suppkey % 3 = 0 THEN 2 * l_quantity ELSE l_discount * 100 END AS y, CASE WHEN l_linenumber <> 2 AND NOT (l_returnflag = 'R' AND l_suppkey % 3 = 2) THEN l_extendedprice END AS cost FROM lineitem"
+
+
+@query("a26_predicted_costs", f"""
+WITH r AS ({_STAGES_SQL}), m AS (SELECT * FROM r WHERE cost IS NOT NULL),
+s AS (SELECT stage, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * cost) AS xc, sum(y * cost) AS yc, avg(cost / nullif(x, 0)) AS rate, avg(cost) AS mean FROM m GROUP BY stage),
+f AS (SELECT *, xx * yy - xy * xy AS det FROM s)
+SELECT r.stage, count(*) AS n, count(cost) AS n_known, round(sum(coalesce(cost, CASE WHEN det > 1e-9 * xx * yy THEN (xc * yy - yc * xy) / det * x + (yc * xx - xc * xy) / det * y END, rate * x, mean)), 2) AS spent FROM r LEFT JOIN f ON r.stage = f.stage GROUP BY r.stage""")
+def a26_predicted(spark, sf_dir):
+    """Costs of the stages of lines: fitted on two predictors where they tell two rates, by a mean rate where one is twice the
+    other, and unknown for a stage that was never measured."""
+    third, flag = F.col("l_suppkey") % 3, F.col("l_returnflag")
+    r = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", flag, third.cast("string")).alias("stage"), F.col("l_quantity").alias("x"), F.when(third == 0, 2 * F.col("l_quantity")).otherwise(F.col("l_discount") * 100).alias("y"),
+        F.when((F.col("l_linenumber") != 2) & ~((flag == "R") & (third == 2)), F.col("l_extendedprice")).alias("cost"),
+    )
+    out = filled(r, ["stage"], "x", "y", "cost")
+    return out.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count("cost").alias("n_known"), F.round(F.sum("spent"), 2).alias("spent"))
+
+
 @query("a21_video_stats", "SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) > 2000) AS long_ones, arg_min(lang, doc_id) AS domain FROM documents GROUP BY source")
 def a21(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 2000).alias("long_ones"), F.min_by("lang", "doc_id").alias("domain"))
