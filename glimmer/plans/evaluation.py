@@ -167,11 +167,13 @@ WITH e AS (SELECT *, event_type || '-' || (user_id % 4) AS cond, value < 5 AS oo
 a AS (SELECT cond, count(*) AS n, count(*) FILTER (WHERE oom) AS n_oom, count(*) FILTER (WHERE NOT oom AND r > 1) AS n_used, median(value) FILTER (WHERE NOT oom AND r > 1) AS med, avg(value) FILTER (WHERE NOT oom AND r > 1) AS mean, max(value) AS reserved FROM o GROUP BY cond)
 SELECT cond, n, n_oom, n_used, round(med, 6) AS med, round(mean, 4) AS mean, reserved, round((SELECT med FROM a WHERE cond = 'view-0') / med, 2) AS speedup FROM a""")
 def a15(spark, sf_dir):
-    """Per condition: the first success is a warm-up; medians against the baseline's."""
+    """Per condition: the first success is a warm-up; medians against the baseline's. The first is a minimum and the medians
+    are selected by rank, so no condition's rows are sorted in one task."""
     e = table(spark, sf_dir, "events").withColumn("cond", F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string"))).withColumn("oom", F.col("value") < 5)
-    e = e.withColumn("r", F.row_number().over(W.partitionBy("cond", "oom").orderBy("ts", "event_id")))
-    used = F.when(~F.col("oom") & (F.col("r") > 1), F.col("value"))
-    a = e.groupBy("cond").agg(F.count(F.lit(1)).alias("n"), F.count_if("oom").alias("n_oom"), F.count(used).alias("n_used"), F.percentile(used, 0.5).alias("med0"), F.round(F.avg(used), 4).alias("mean"), F.max("value").alias("reserved"))
+    first = e.filter("not oom").groupBy("cond").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("first"))
+    e = e.join(first, "cond", "left").withColumn("used", F.when(~F.col("oom") & (F.col("event_id") != F.col("first")), F.col("value")))
+    a = e.groupBy("cond").agg(F.count(F.lit(1)).alias("n"), F.count_if("oom").alias("n_oom"), F.count("used").alias("n_used"), F.round(F.avg("used"), 4).alias("mean"), F.max("value").alias("reserved"))
+    a = a.join(S.percentiles(e, ["cond"], "used", {"med0": 0.5}, True), "cond", "left")
     base = a.filter("cond = 'view-0'").select(F.col("med0").alias("base"))
     return a.crossJoin(F.broadcast(base)).select("cond", "n", "n_oom", "n_used", F.round("med0", 6).alias("med"), "mean", "reserved", F.round(F.col("base") / F.col("med0"), 2).alias("speedup"))
 
