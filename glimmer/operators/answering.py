@@ -9,6 +9,7 @@ another, what is seen, what is said and seen of an entity, and the best sentence
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,7 +270,25 @@ def extracted_answer(query: Column, items: Column) -> Column:
     return let(F.nullif(best_sentence(query, first_best(pool, score)["text"]), F.lit("")), worded)
 
 
-BRANCHES = ["summary", "temporal", "seen", "entity", "extracted"]
+@lru_cache(1)
+def _expressions(application: str) -> tuple[dict[str, Column], Column]:
+    """(columns of a row of evidence, the answer of a question): built once, since they name columns and no table."""
+    summary, query, intent, items = F.col("intent") == "global_summary", F.col("query"), F.col("intent"), F.col("items")
+    shown, snip = F.when(F.col("modality") == "audio", 0.2).otherwise(0.0), F.col("snippet")
+    of_row = {
+        "snippet": F.when(summary, snippet(F.col("text"))), "agenda": F.when(summary, agenda_topics(F.col("text"))), "topic": F.when(summary, topic(snip)),
+        "gain": F.when(F.coalesce(snip, F.lit("")) != "", F.round(summary_score(snip) + shown, 9)),
+    }
+    told = F.transform(items, lambda x: F.struct(x["t"], x["id"], x["agenda"], x["topic"], x["gain"]))
+    branches = {
+        "summary": F.when(summary, summary_answer(told)), "temporal": F.when(F.col("target_text").isNotNull(), F.nullif(best_sentence(query, F.col("target_text")), F.lit(""))),
+        "seen": seen_answer(query, intent, items), "entity": entity_answer(query, items), "extracted": extracted_answer(query, items),
+    }
+
+    def said(name: str, text: Column) -> Column:
+        return let(text, lambda a: F.when(a.isNotNull(), F.struct(F.lit(name).alias("branch"), a.alias("answer"))))
+
+    return of_row, F.inline_outer(F.array(F.coalesce(*[said(*x) for x in branches.items()])))
 
 
 def answers(evidence: DataFrame, group: list[str], targets: DataFrame | None = None) -> DataFrame:
@@ -277,22 +296,11 @@ def answers(evidence: DataFrame, group: list[str], targets: DataFrame | None = N
     order of moments, (group, target_text) -> (group, branch, answer); both null where no branch answers.
 
     Nothing about a summary is computed for other questions, and no later branch for a question that is answered."""
-    summary = F.col("intent") == "global_summary"
-    rows = evidence.withColumn("snippet", F.when(summary, snippet(F.col("text"))))
-    rows = rows.withColumn("gain", F.when(F.coalesce(F.col("snippet"), F.lit("")) != "", F.round(summary_score(F.col("snippet")) + F.when(F.col("modality") == "audio", 0.2).otherwise(0.0), 9)))
-    rows = rows.withColumn("topic", F.when(summary, topic(F.col("snippet")))).withColumn("agenda", F.when(summary, agenda_topics(F.col("text"))))
+    of_row, answer = _expressions(evidence.sparkSession.sparkContext.applicationId)
+    rows = evidence
+    for name, column in of_row.items():  # one after another: those after the snippet read it
+        rows = rows.withColumn(name, column)
     fields = ["rank", "id", "t", "start", "stop", "modality", "text", "s_visual", "relevance", "z", "agenda", "topic", "gain"]
     g = rows.groupBy(*group).agg(F.first("query").alias("query"), F.first("intent").alias("intent"), F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
     g = g.join(targets, group, "left") if targets is not None else g.withColumn("target_text", F.lit(None).cast("string"))
-    query, intent, items = F.col("query"), F.col("intent"), F.col("items")
-    told = F.transform(items, lambda x: F.struct(x["t"], x["id"], x["agenda"], x["topic"], x["gain"]))
-    tried = {
-        "summary": F.when(intent == "global_summary", summary_answer(told)),
-        "temporal": F.when(F.col("target_text").isNotNull(), F.nullif(best_sentence(query, F.col("target_text")), F.lit(""))),
-        "seen": seen_answer(query, intent, items), "entity": entity_answer(query, items), "extracted": extracted_answer(query, items),
-    }
-
-    def said(name: str) -> Column:
-        return let(tried[name], lambda a: F.when(a.isNotNull(), F.struct(F.lit(name).alias("branch"), a.alias("answer"))))
-
-    return g.select(*group, F.inline_outer(F.array(F.coalesce(*map(said, BRANCHES)))))
+    return g.select(*group, answer)

@@ -64,6 +64,8 @@ def finalise(evidence: DataFrame, group: list[str], answerer: Answerer, steps=ST
     rows = rows.join(answerer(rows), group, "left").withColumn("rounds", F.lit(1))
     for step, cited in steps:
         rows = cut(rows, step, F.lit(True))
+        if rows.filter("__again").isEmpty():
+            continue
         fresh = answerer(rows.filter("__again")).withColumnRenamed("answer", "__fresh")
         rows = rows.join(fresh, group, "left").withColumn("answer", F.when(F.col("__again"), F.col("__fresh")).otherwise(F.col("answer"))).withColumn("rounds", F.col("rounds") + F.col("__again").cast("int"))
         if cited:
