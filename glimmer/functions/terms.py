@@ -124,3 +124,25 @@ VISUAL_INTENTS = ["visual_object_action"]
 CARD_KEEP_RATIO = 0.55
 CARD_PRE_CONTEXT_SECONDS = 30.0
 MAX_CARDS = 3
+
+# Fixed values of questions, keywords, answers and advice: they must equal those of the behaviour that this engine matches.
+
+SPOKEN = "say says said tell tells told ask asks asked admit admits admitted explain explains explained presenter speaker".split()
+EXACT_TEXT = ["on-screen text", "onscreen text", "screen text", "text says", "title says"]
+WRITTEN = "text words caption written title logo label slide".split()
+KEYWORD_STOPWORDS = "all and any about after again also answer are but because being clip does during evidence for from has have here his how its into like not our out she than that the their then there these they this those transcript was what when who where which why with would you your".split()
+KEYWORD_FORMS = {"it's": "its", "that's": "that", "there's": "there", "they're": "they", "you're": "you"}
+ROUTED_SPEECH = "ask asks asked mention mentions said say says speak speaker tell tells told".split()
+ADVICE = [
+    (["evidence_retrieval", "temporal_localization"], "Improve query-aware retrieval before changing answer generation."),
+    (["evidence_retrieval"], "Tune candidate scoring, query decomposition, or scene/audio fusion."),
+    (["temporal_localization"], "Adjust clip span, transcript anchoring, or temporal context expansion."),
+    (["answer_grounding"], "Improve answer synthesis and citation pruning from selected evidence."),
+    (["compression_budget"], "Tighten token estimation or reduce selected context budget."),
+    (["evidence_pruning"], "Make answer-support pruning more selective."),
+]
+SEEN_WORDS = "appear appears display displayed look screen see show shown visible watch".split()
+ENUMERATED_TOPICS = "startup startups ideas founders".split()
+FOLLOWUP_TOPICS = "mistake kills kill".split()
+SETUP_PHRASES = ["talking about", "have a listen", "let's listen", "question is", "what truly"]
+FOLLOWUP_PHRASES = ["they make", "users don't like", "users do not like", "do not like", "don't like", "that is the killer", "the mistake"]

@@ -18,12 +18,6 @@ from ..functions import terms
 from ..functions import text as T
 from .evidence import WRITTEN, marked
 
-#: Words of questions about what is seen, and phrases of sentences that lead to an answer or give it.
-SEEN_WORDS = "appear appears display displayed look screen see show shown visible watch".split()
-ENUMERATED_TOPICS = "startup startups ideas founders".split()
-FOLLOWUP_TOPICS = "mistake kills kill".split()
-SETUP_PHRASES = ["talking about", "have a listen", "let's listen", "question is", "what truly"]
-FOLLOWUP_PHRASES = ["they make", "users don't like", "users do not like", "do not like", "don't like", "that is the killer", "the mistake"]
 QUESTION = r"(?:^|[\s,;:])(why|what|how|when|where|who|which)\s+"
 ON_SCREEN, PLACEHOLDER = "on-screen text near", "visual frame sampled at"
 
@@ -163,7 +157,7 @@ def summary_answer(items: Column) -> Column:
 def enumerated(query: Column, ss: Column) -> Column:
     """How-questions about ideas take an enumeration: the sentence from "One," on, with those of two and three after it."""
     asks = F.contains(F.concat(F.lit(" "), F.lower(query), F.lit(" ")), F.lit(" how ")) | F.startswith(F.btrim(F.lower(query)), F.lit("how"))
-    asks = asks & _has(T.ascii_words(query), ENUMERATED_TOPICS)
+    asks = asks & _has(T.ascii_words(query), terms.ENUMERATED_TOPICS)
 
     def from_here(s: Column, i: Column) -> Column:
         step = lambda acc, x: F.when(((F.size(acc) == 1) & F.contains(F.lower(x), F.lit("two,"))) | ((F.size(acc) == 2) & F.contains(F.lower(x), F.lit("three,"))), F.array_append(acc, F.btrim(x))).otherwise(acc)
@@ -176,9 +170,9 @@ def enumerated(query: Column, ss: Column) -> Column:
 
 def followup(query: Column, ss: Column, best: Column) -> Column:
     """Questions for a mistake take the answer that follows a sentence which only leads to it."""
-    asks = F.contains(F.lower(query), F.lit("what")) & _has(T.ascii_words(query), FOLLOWUP_TOPICS) & T.contains_any(F.lower(best), SETUP_PHRASES)
+    asks = F.contains(F.lower(query), F.lit("what")) & _has(T.ascii_words(query), terms.FOLLOWUP_TOPICS) & T.contains_any(F.lower(best), terms.SETUP_PHRASES)
     after = F.slice(ss, F.array_position(ss, best).cast("int") + 1, 4)
-    found = F.get(F.filter(after, lambda x: T.contains_any(F.lower(x), FOLLOWUP_PHRASES)), F.lit(0))
+    found = F.get(F.filter(after, lambda x: T.contains_any(F.lower(x), terms.FOLLOWUP_PHRASES)), F.lit(0))
     whole = lambda s: let(F.regexp_replace(F.btrim(s), r"(?i)^they ", ""), lambda bare: F.concat(F.lit("Startups fail when they "), F.lower(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
     unnamed = lambda s: F.array_contains(T.ascii_words(query), "startups") & ~F.contains(F.lower(s), F.lit("startup"))
     return F.when(asks, let(found, lambda s: F.when(unnamed(s), whole(s)).otherwise(s)))
@@ -225,7 +219,7 @@ def _of(items: Column, modality: str) -> Column:
 def seen_answer(query: Column, intent: Column, items: Column) -> Column:
     ws, low = T.ascii_words(query), F.btrim(F.lower(query))
     placed = low.rlike("^(where|when) ") & (F.size(F.array_except(ws, T.words_in(terms.VISUAL_STOPWORDS))) > 0)
-    asks = (intent != "mixed_av") & ~marked(F.btrim(query), WRITTEN) & (_has(ws, SEEN_WORDS) | placed)
+    asks = (intent != "mixed_av") & ~marked(F.btrim(query), WRITTEN) & (_has(ws, terms.SEEN_WORDS) | placed)
     best = first_best(_of(items, "visual"), lambda x: x["s_visual"], lambda x: x["relevance"], lambda x: x["z"])
     return F.when(asks, let(best, lambda x: F.when(x.isNotNull(), F.concat(F.lit("Visual evidence shows "), seen_target(query), time_span(x), F.lit(".")))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as T
+from ..functions.terms import EXACT_TEXT, SPOKEN, WRITTEN
 
 #: Thresholds of citations and of redundant evidence.
 CITED_SUPPORT = 0.035
@@ -15,9 +16,6 @@ CITED_RELATIVE_SUPPORT = 0.35
 REDUNDANT_SIMILARITY = 0.6
 #: SQL over two rows: much the same words, or spans of one modality that overlap by half of the shorter.
 ALIKE = f"size(array_intersect(x.toks, y.toks)) / greatest(1, size(array_union(x.toks, y.toks))) >= {REDUNDANT_SIMILARITY}D or (x.modality = y.modality and coalesce(try_divide(greatest(least(x.stop, y.stop) - greatest(x.start, y.start), 0D), least(x.stop - x.start, y.stop - y.start)), 0D) >= 0.5D)"
-SPOKEN = "say says said tell tells told ask asks asked admit admits admitted explain explains explained presenter speaker".split()
-EXACT_TEXT = ["on-screen text", "onscreen text", "screen text", "text says", "title says"]
-WRITTEN = "text words caption written title logo label slide".split()
 
 
 def marked(query: Column, words) -> Column:

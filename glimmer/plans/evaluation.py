@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.terms import ADVICE
 from ..operators import statistics as S
 from ..operators.rates import filled
 from ..registry import query
@@ -75,16 +76,6 @@ def cases(spark, sf_dir):
     return c.withColumn("failures", F.array_compact(F.array(*[F.when(k, F.lit(n)) for n, k in rules])))
 
 
-ADVICE = [
-    (["evidence_retrieval", "temporal_localization"], "Improve query-aware retrieval before changing answer generation."),
-    (["evidence_retrieval"], "Tune candidate scoring, query decomposition, or scene/audio fusion."),
-    (["temporal_localization"], "Adjust clip span, transcript anchoring, or temporal context expansion."),
-    (["answer_grounding"], "Improve answer synthesis and citation pruning from selected evidence."),
-    (["compression_budget"], "Tighten token estimation or reduce selected context budget."),
-    (["evidence_pruning"], "Make answer-support pruning more selective."),
-]
-
-
 @query("v6_case_failures", f"WITH {CASES_SQL} SELECT doc_id, list_sort(failures) AS failures, CASE " + " ".join("WHEN " + " AND ".join(f"list_contains(failures, '{n}')" for n in ns) + f" THEN '{a}'" for ns, a in ADVICE) + " END AS advice FROM fl")
 def v6(spark, sf_dir):
     c = cases(spark, sf_dir)

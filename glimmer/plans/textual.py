@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as T
+from ..functions.terms import KEYWORD_FORMS, KEYWORD_STOPWORDS
 from ..registry import query
 from ..sources.tables import QUESTIONS_SQL, TURNS_SQL, questions, sql_jaccard, sql_list, sql_tokens, sql_words, table, turns
 
 RECALL_TERMS = [" The ", "and", "licensed", "", "zzz"]
-KEYWORD_STOPWORDS = "all and any about after again also answer are but because being clip does during evidence for from has have here his how its into like not our out she than that the their then there these they this those transcript was what when who where which why with would you your".split()
-KEYWORD_FORMS = {"it's": "its", "that's": "that", "there's": "there", "they're": "they", "you're": "you"}
 BLANK = r"[ \t\n\x0B\f\r]+"
 SQL_COLLAPSED = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
@@ -367,7 +366,7 @@ SELECT query_id, dur, whisper, clap, CASE WHEN dur >= 600 AND (intent IN ('speec
 def t30(spark, sf_dir):
     d = spark.createDataFrame([(300, True, True), (900, True, True), (900, True, False), (900, False, True)], "dur int, whisper boolean, clap boolean")
     q = _asked(spark, sf_dir).withColumn("intent", T.query_intent("query")["intent"]).crossJoin(F.broadcast(d))
-    spoken = F.arrays_overlap(T.ascii_words("query"), T.words_in("ask asks asked mention mentions said say says speak speaker tell tells told".split()))
+    spoken = F.arrays_overlap(T.ascii_words("query"), T.words_in(terms.ROUTED_SPEECH))
     wanted = (F.col("dur") >= 600) & (F.col("intent").isin("speech_semantic", "mixed_av", "global_summary", "sound_event") | ((F.col("intent") == "temporal_before_after") & spoken))
     return q.select("query_id", "dur", "whisper", "clap", F.when(wanted & F.col("whisper") & F.col("clap"), "dispatcher").when(wanted & F.col("whisper"), "whisper").otherwise("baseline").alias("scorer"))
 
