@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import SCENE_SIMILARITY
 from ..functions.vectors import cosine
-from ..operators import selection
+from ..operators import crossing, selection
 from ..registry import query
 from ..sources.tables import table
 
@@ -86,12 +86,7 @@ SELECT q, label, gold::INT AS gold_rank, coalesce(gold <= 1, false) AS hit1, coa
 def w6(spark, sf_dir):
     """The first rank in an expected range, for each stored vector whose id is divisible by 50: one more than the rows that
     are nearer than the nearest expected one. Rows are counted where they are compared, none is ranked."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    blocks = q.groupBy(F.expr("q div 12800").alias("b")).agg(F.collect_list(F.struct("q", "v")).alias("qs")).drop("b")
-    s = e.crossJoin(blocks).select("label", "vec_id", "embedding", F.explode("qs").alias("x"))
-    s = s.select("label", "vec_id", "x.q", F.struct((-F.round(cosine(F.col("embedding"), F.col("x.v")), 9)).alias("s"), "vec_id").alias("at"))
-    gold = s.groupBy("q", "label").agg(F.min(F.when((F.col("vec_id") % 20).between(5, 7), F.col("at"))).alias("gold"))
-    g = s.join(gold, ["q", "label"]).groupBy("q", "label").agg(F.count_if(F.col("at") <= F.col("gold")).cast("int").alias("n"))
-    rank = F.nullif("n", F.lit(0))
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    g = crossing.first_expected(e, e.filter("id % 50 = 0").withColumnRenamed("id", "q"), "label", (F.col("id") % 20).between(5, 7))
+    rank = F.col("rank")
     return g.select("q", "label", rank.alias("gold_rank"), F.coalesce(rank <= 1, F.lit(False)).alias("hit1"), F.coalesce(rank <= 5, F.lit(False)).alias("hit5"))
