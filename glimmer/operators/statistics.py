@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,42 +15,85 @@ from .lineage import cut
 
 #: Bytes of all groups' values up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Rows of a group up to which its values travel as one array.
+#: Values of a group that travel as one array.
 MOST_VALUES = 1_000_000
+#: Resamples that a task draws from an array, and draws at once.
+PER_ROW = 100
+STRIP = 1 << 18
 
 
-def resample_index(resample: str, position: str, n: str) -> str:
-    """SQL: a pseudo-random index below n, by integer steps that any engine repeats."""
-    h = f"(cast({resample} as bigint) * 1000003 + {position}) % 2147483648"
+def resample_index(resample: np.ndarray, position: np.ndarray, n: int) -> np.ndarray:
+    """Pseudo-random indices below n, by integer steps modulo 2^31 that any engine repeats; one row a resample."""
+    low = np.uint32(0x7FFFFFFF)
+    h = ((resample.astype(np.int64) * 1000003) & 0x7FFFFFFF).astype(np.uint32)[:, None] + position.astype(np.uint32)[None]
+    h &= low
     for _ in range(2):
-        h = f"transform(array({h}), h -> ((h ^ shiftright(h, 16)) * 73244475) % 2147483648)[0]"
-    return f"cast(transform(array({h}), h -> (h ^ shiftright(h, 16)) % {n})[0] as int)"
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(73244475)
+        h &= low
+    h ^= h >> np.uint32(16)
+    h -= h // np.uint32(n) * np.uint32(n)
+    return h
+
+
+def _sums(columns: list[np.ndarray], begin: int, n: int, resamples: np.ndarray) -> np.ndarray:
+    """(resample, column): sums of the drawn values that lie in a block of n positions, which begins at ``begin``."""
+    padded = [np.append(c, 0.0) for c in columns]
+    size = len(columns[0])
+    out = np.zeros((len(resamples), len(columns)))
+    at_once = max(1, STRIP // n)
+    for r in range(0, len(resamples), at_once):
+        for p in range(0, n, STRIP):
+            i = resample_index(resamples[r : r + at_once], np.arange(p, min(p + STRIP, n)), n)
+            if size < n:
+                # what lies in another block, also before this one, becomes the place of the zero
+                i = np.minimum(i - np.uint32(begin), np.uint32(size))
+            for k, c in enumerate(padded):
+                out[r : r + at_once, k] += c.take(i).sum(1)
+    return out
 
 
 def bootstrap(outcomes: DataFrame, keys: list[str], values: list[str], order: str, resamples: int) -> DataFrame:
     """(keys, resample, values): means over n draws with replacement from a group's n rows, the same draws for each value.
+    Nulls add nothing; a mean of nulls alone is null.
 
-    A group of up to MOST_VALUES rows becomes one array, which goes to all tasks if it is small, and every resample folds it
-    where it is: numbers of resamples are shuffled, values are not. Beyond, draws are joined with rows by (group, position), which holds no group in one place."""
+    A group's values become an array for each MOST_VALUES rows, which go to all tasks if they are small, and resamples draw
+    from it where it is, so no values are shuffled. A group of several arrays is drawn from each, and what they give is added."""
     n = outcomes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
-    r = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    row = F.struct(*[F.col(v).cast("double").alias(v) for v in values])
+    rows = outcomes.select(*keys, order, row.alias("row"))
     if n <= MOST_VALUES:
-        row = F.struct(*values)
-        pools = outcomes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, row.alias("row")))), lambda x: x["row"]).alias("__p"))
-        spark = outcomes.sparkSession
-        numbers = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism).select(F.col("id").cast("int").alias("resample"))
-        pools = cut(pools)
-        small = (pools.agg(F.sum(F.size("__p") * len(values) * 8)).head()[0] or 0) <= BROADCAST_BYTES
-        draws = numbers.join(F.broadcast(pools)) if small else numbers.crossJoin(pools)
-        zero = ", ".join(f"'{v}', 0D" for v in values)
-        add = ", ".join(f"'{v}', s.{v} + __p[i].{v}" for v in values)
-        sums = f"aggregate(transform(sequence(0, size(__p) - 1), j -> {resample_index('resample', 'j', 'size(__p)')}), named_struct({zero}), (s, i) -> named_struct({add}))"
-        return draws.select(*keys, "resample", "__p", F.expr(sums).alias("__s")).select(*keys, "resample", *[(F.col("__s")[v] / F.size("__p")).alias(v) for v in values])
-    w = W.partitionBy(*keys)
-    rows = outcomes.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    draws = rows.select(*keys, "__i", "__n", r.alias("resample")).select(*keys, "resample", F.expr(resample_index("resample", "__i", "__n")).alias("__j"))
-    drawn = draws.join(rows.select(*keys, F.col("__i").alias("__j"), *values), [*keys, "__j"])
-    return drawn.groupBy(*keys, "resample").agg(*[F.avg(v).alias(v) for v in values])
+        pools = rows.groupBy(*keys).agg(F.lit(0).cast("long").alias("__b"), F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(F.struct(order, "row"))).alias("__p"))
+    else:
+        w = W.partitionBy(*keys)
+        placed = rows.withColumn("__i", F.row_number().over(w.orderBy(order, "row")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+        pools = placed.groupBy(*keys, F.floor(F.col("__i") / MOST_VALUES).alias("__b"), "__n").agg(F.array_sort(F.collect_list(F.struct("__i", "row"))).alias("__p"))
+    pools = cut(pools.select(*keys, (F.col("__b") * MOST_VALUES).alias("__b"), "__n", F.transform("__p", lambda x: x["row"]).alias("__p")))
+    spark = outcomes.sparkSession
+    small = (pools.agg(F.sum(F.size("__p") * len(values) * 8)).head()[0] or 0) <= BROADCAST_BYTES
+    firsts = spark.range(0, resamples, PER_ROW, -(-resamples // PER_ROW) if small else spark.sparkContext.defaultParallelism).select(F.col("id").alias("__r"))
+    draws = firsts.join(F.broadcast(pools)) if small else firsts.crossJoin(pools)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                first, begin, size = (batch.column(c)[i].as_py() for c in ("__r", "__b", "__n"))
+                rs = np.arange(first, min(first + PER_ROW, resamples))
+                held = [batch.column("__p")[i].values.field(v) for v in values]
+                sums = _sums([pc.fill_null(h, 0.0).to_numpy(zero_copy_only=False) for h in held], begin, size, rs)
+                some = np.ones(sums.shape, bool)
+                gaps = [k for k, h in enumerate(held) if h.null_count]
+                if gaps:
+                    some[:, gaps] = _sums([np.asarray(held[k].is_valid()).astype(np.float64) for k in gaps], begin, size, rs) > 0
+                same = pa.array(np.full(len(rs), i))
+                out = [*(batch.column(k).take(same) for k in keys), pa.array(rs.astype(np.int32)), pa.array(np.full(len(rs), size))]
+                yield pa.record_batch([*out, *(pa.array(sums[:, k], mask=~some[:, k]) for k in range(len(values)))], names=[*keys, "resample", "__n", *values])
+
+    types = "".join(f"{k} {outcomes.schema[k].dataType.simpleString()}, " for k in keys)
+    drawn = draws.mapInArrow(draw, f"{types}resample int, __n long, {', '.join(f'{v} double' for v in values)}")
+    if n > MOST_VALUES:
+        drawn = drawn.groupBy(*keys, "resample", "__n").agg(*[F.sum(v).alias(v) for v in values])
+    return drawn.select(*keys, "resample", *[(F.col(v) / F.col("__n")).alias(v) for v in values])
 
 
 #: Buckets of a round of ``percentiles``, and rows of a bucket that are sorted in one task.

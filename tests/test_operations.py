@@ -141,3 +141,26 @@ def test_spread_cume_dist(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r.pct == pytest.approx((p[p.k == r.k].v <= r.v).mean())
+
+
+def test_bootstrap_draws_as_written_with_nulls_and_several_arrays(spark, monkeypatch):
+    def index(r, i, n):
+        h = (r * 1000003 + i) % 2**31
+        for _ in range(2):
+            h = ((h ^ (h >> 16)) * 73244475) % 2**31
+        return (h ^ (h >> 16)) % n
+
+    rows = [(g, i, None if i % 4 == 1 or g == 2 else float(i * i % 7)) for g in (1, 2, 3) for i in range(5 * g)]
+    want = {}
+    for g in (1, 2, 3):
+        xs = [x for h, _, x in rows if h == g]
+        for r in range(230):
+            drawn = [x for i in range(len(xs)) if (x := xs[index(r, i, len(xs))]) is not None]
+            want[g, r] = pytest.approx(sum(drawn) / len(xs)) if drawn else None
+    df = spark.createDataFrame(rows, "g int, i int, x double").repartition(4)
+    for most, strip in ((100, 1 << 18), (100, 4), (4, 6), (1, 100)):
+        monkeypatch.setattr(statistics, "MOST_VALUES", most)
+        monkeypatch.setattr(statistics, "STRIP", strip)
+        out = statistics.bootstrap(df, ["g"], ["x"], "i", 230)
+        assert {(r.g, r.resample): r.x for r in out.collect()} == want
+        assert "Join Inner, (" not in out._jdf.queryExecution().optimizedPlan().toString()
