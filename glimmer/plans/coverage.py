@@ -23,17 +23,18 @@ def with_quota(chosen, pool, modality: str, least: int, budget: int):
     """Chosen rows (id, modality, z, mmr, t) with ``least`` of a modality: the best of the pool by z come in, the
     weakest others by mmr go out while the budget is exceeded.
 
-    Closed form of the loop: how many are missing is known beforehand, so one ranking of what may come in and one of
-    what may go out suffice."""
-    w = W.partitionBy(*G)
-    n = chosen.groupBy(*G).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("modality") == modality).alias("m"))
-    left = pool.filter(F.col("modality") == modality).join(chosen.select(*G, "id"), [*G, "id"], "left_anti").join(n, G)
-    came = left.withColumn("r", F.row_number().over(w.orderBy(F.desc("z"), "t", "id"))).filter(F.col("r") <= F.greatest(F.lit(least) - F.col("m"), F.lit(0)))
-    k = came.groupBy(*G).agg(F.count(F.lit(1)).alias("k"))
-    rows = chosen.join(n, G).join(k, G, "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy(*G, F.col("modality") == modality).orderBy("mmr", F.desc("rank"))))
-    gone = (F.col("modality") != modality) & (F.col("r") <= F.greatest(F.col("n") + F.col("k") - budget, F.lit(0)))
-    return rows.filter(~gone).select(*G, "id").unionByName(came.select(*G, "id"))
+    Closed form of the loop: how many are missing is known beforehand, so the first of what may come in and of what may
+    go out suffice. A group's choice and its best rows, as many as could be needed, meet as two short arrays."""
+    best = F.row_number().over(W.partitionBy(*G).orderBy(F.desc("z"), "t", "id"))
+    top = pool.filter(F.col("modality") == modality).withColumn("r", best).filter(F.col("r") <= least + budget)
+    top = top.groupBy(*G).agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("top"))
+    sel = chosen.dropna(subset=G).groupBy(*G).agg(F.collect_list(F.struct("id", "modality", "mmr", "rank")).alias("sel"))
+    rows = sel.join(top, G, "left").withColumn("top", F.expr("coalesce(filter(top, x -> not exists(sel, y -> y.id = x.id)), array())"))
+    rows = rows.withColumn("came", F.expr(f"slice(top, 1, greatest({least} - size(filter(sel, y -> y.modality = '{modality}')), 0))"))
+    weakest = f"array_sort(transform(filter(sel, y -> y.modality <> '{modality}'), y -> struct(y.mmr is null, y.mmr, -y.rank as back)))"
+    rows = rows.withColumn("gone", F.expr(f"slice({weakest}, 1, greatest(size(sel) + size(came) - {budget}, 0)).back"))
+    ids = F.expr("concat(transform(filter(sel, y -> not array_contains(gone, -y.rank)), y -> y.id), transform(came, x -> x.id))")
+    return rows.select(*G, F.explode_outer(ids).alias("id")).filter("id is not null")
 
 
 QUOTA_SQL = """

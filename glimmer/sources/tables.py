@@ -26,6 +26,9 @@ QUESTIONS = [
     ("q16", "next"),
 ]
 
+#: Events that a task holds and sorts, about.
+EVENTS_OF_A_TASK = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,11 +42,15 @@ QUESTIONS_SQL = "(VALUES " + ", ".join("('{}', '{}')".format(a, b.replace("'", "
 
 
 def event_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """candidates(video_id, id, modality, t, saliency, segment_id): a user's events are one video's moments."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    t = (F.col("us") - F.min("us").over(W.partitionBy("user_id"))) / F.lit(1e6)
+    """candidates(video_id, id, modality, t, saliency, segment_id): a user's events are one video's moments.
+
+    Users are dealt over as many tasks as there are events for, and what follows by video stays where it is dealt: left
+    to the shuffle's own number of partitions, the rows of a task, and what its sorts hold, would grow with the table."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = e.repartition(max(spark.sparkContext.defaultParallelism, -(-e.count() // EVENTS_OF_A_TASK)), "video_id")
+    t = (F.col("us") - F.min("us").over(W.partitionBy("video_id"))) / F.lit(1e6)
     return e.select(
-        F.col("user_id").alias("video_id"),
+        "video_id",
         F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("id"),
         F.when(F.col("event_type").isin("view", "click"), "visual").otherwise("audio").alias("modality"),
         t.alias("t"),
