@@ -24,11 +24,12 @@ def with_quota(chosen, pool, modality: str, least: int, budget: int):
     weakest others by mmr go out while the budget is exceeded.
 
     Closed form of the loop: how many are missing is known beforehand, so the first of what may come in and of what may
-    go out suffice. A group's choice and its best rows, as many as could be needed, meet as two short arrays."""
+    go out suffice. A group's choice and its best rows, as many as could be needed, meet as two short arrays. Rows
+    without a group leave by ``is not null``, which the join infers for the other side, so that both are dealt once."""
     best = F.row_number().over(W.partitionBy(*G).orderBy(F.desc("z"), "t", "id"))
     top = pool.filter(F.col("modality") == modality).withColumn("r", best).filter(F.col("r") <= least + budget)
     top = top.groupBy(*G).agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("top"))
-    sel = chosen.dropna(subset=G).groupBy(*G).agg(F.collect_list(F.struct("id", "modality", "mmr", "rank")).alias("sel"))
+    sel = chosen.filter("video_id is not null").groupBy(*G).agg(F.collect_list(F.struct("id", "modality", "mmr", "rank")).alias("sel"))
     rows = sel.join(top, G, "left").withColumn("top", F.expr("coalesce(filter(top, x -> not exists(sel, y -> y.id = x.id)), array())"))
     rows = rows.withColumn("came", F.expr(f"slice(top, 1, greatest({least} - size(filter(sel, y -> y.modality = '{modality}')), 0))"))
     weakest = f"array_sort(transform(filter(sel, y -> y.modality <> '{modality}'), y -> struct(y.mmr is null, y.mmr, -y.rank as back)))"

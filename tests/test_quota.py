@@ -41,3 +41,11 @@ def test_more_events_are_more_tasks(spark, monkeypatch):
     n = tables.table(spark, SF, "events").count()
     monkeypatch.setattr(tables, "EVENTS_OF_A_TASK", n // 20)
     assert tables.event_candidates(spark, SF)._jdf.queryExecution().toRdd().getNumPartitions() >= 20
+
+
+def test_events_are_dealt_once_for_a_choice_and_its_quota(spark):
+    for name in ("k15_audio_quota", "k17_visual_quota"):
+        df = QUERIES[name](spark, SF)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in final and final.count("FileScan parquet") == 1
