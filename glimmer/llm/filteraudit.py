@@ -9,7 +9,8 @@ a SHA-256, by which filter E tells copies.
 E has no join on the text, of which a third of all rows may be copies: the smallest id of each text is found by
 pre-aggregation, and a row is the first of its text if (id, text) is in that list, a key that spreads. Rows that agree
 in id, text and part are counted before they travel on. Labels are broadcast behind a check of their size; beyond it
-they are joined on the id and a salt of the text.
+they are joined on the id and a salt of the text, by a shuffle: Spark takes the salted copies to be as small as the file
+that they are made from, and would broadcast them.
 
 Cases: null text is empty, null lang is the part ''; rows that share a doc_id are separate documents, and neither is a
 copy of the other by E, which asks for a smaller id; a null doc_id is smaller than none, is never removed by E and has
@@ -106,7 +107,7 @@ def with_labels(rows: DataFrame, labels: DataFrame, broadcast: bool | None = Non
         out = rows.join(F.broadcast(marks), "doc_id", "left")
     else:
         salted = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(salted, ["doc_id", "salt"], "left").drop("salt")
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["doc_id", "salt"], "left").drop("salt")
     return out.withColumn("label", F.coalesce("label", F.lit(0)))
 
 

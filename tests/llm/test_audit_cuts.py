@@ -68,6 +68,13 @@ def test_op11_a_hot_text_and_many_parts(spark):
     assert filteraudit.audit(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).agg(F.countDistinct("part"), F.count("*")).head()[:] == (300, 180_000)
 
 
+def test_op11_labels_beyond_the_bound_are_shuffled(spark, edge):
+    """Whatever Spark takes them to be: it does not count the copies by salt."""
+    rows = spark.createDataFrame([(1, "", 0, b"")], "doc_id long, part string, mask int, digest binary")
+    plan = filteraudit.with_labels(rows, spark.read.parquet(f"{edge[0]}/labels.parquet"), False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_op11_the_table_is_the_first_failure():
     assert filteraudit.FIRST.shape == (32, 120) and len(set(filteraudit.ORDERS)) == 120
     for m in range(32):
